@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from concord.functions.columns import let
+
 _BLOCK = 64
 
 
@@ -15,25 +17,20 @@ def _key_block(secret: Column) -> Column:
 
 
 def _pad(secret: Column, byte: int) -> Column:
-    """Key block XOR a repeated byte. Each hex digit maps through a fixed translation."""
-    hi, lo = byte >> 4, byte & 15
+    """Key block XOR a repeated byte. XOR with a constant is a fixed translation of hex digits, one
+    for the high and one for the low digit of each byte."""
     digits = "0123456789abcdef"
+    high, low = ("".join(digits[d ^ nibble] for d in range(16)) for nibble in (byte >> 4, byte & 15))
     block = _key_block(secret)
-    pairs = F.sequence(F.lit(0), F.lit(_BLOCK - 1))
-    even = "".join(digits[d ^ hi] for d in range(16))
-    odd = "".join(digits[d ^ lo] for d in range(16))
-    return F.unhex(
-        F.array_join(
-            F.transform(
-                pairs,
-                lambda i: F.concat(
-                    F.translate(F.substring(block, i * 2 + 1, F.lit(1)), digits, even),
-                    F.translate(F.substring(block, i * 2 + 2, F.lit(1)), digits, odd),
-                ),
-            ),
-            "",
-        )
+    both = F.struct(F.translate(block, digits, high).alias("h"), F.translate(block, digits, low).alias("l"))
+    positions = F.sequence(F.lit(1), F.lit(2 * _BLOCK - 1), F.lit(2))
+    mixed = let(
+        both,
+        lambda b: F.array_join(
+            F.transform(positions, lambda i: F.concat(F.substring(b["h"], i, F.lit(1)), F.substring(b["l"], i + 1, F.lit(1)))), ""
+        ),
     )
+    return F.unhex(mixed)
 
 
 def key_pads(secret: Column) -> Column:

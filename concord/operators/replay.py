@@ -13,6 +13,7 @@ point is the sequential result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -276,8 +277,14 @@ def _step(s: Column, e: Column) -> Column:
 
 def fold(groups: DataFrame) -> DataFrame:
     """`groups` has GROUP, `slots` (start state) and `steps` (sorted). Adds `out.slots` and `out.log`."""
+    return groups.withColumn("out", _fold_expr(groups.sparkSession.sparkContext.applicationId, tuple(provider_names())))
+
+
+@lru_cache(maxsize=4)
+def _fold_expr(_application: str, _providers: tuple[str, ...]) -> Column:
+    """The fold as one expression. It only names columns, so it is built once per application."""
     zero = F.struct(F.col("slots"), F.expr(f"cast(array() as array<{log_ddl()}>)").alias("log"))
-    return groups.withColumn("out", F.aggregate("steps", zero, _step))
+    return F.aggregate("steps", zero, _step)
 
 
 def to_slots(canonical: DataFrame, outbound: DataFrame | None) -> DataFrame:
@@ -336,8 +343,78 @@ def _fold_whole(steps: DataFrame, start: DataFrame) -> DataFrame:
 
 def _comparable(slots: Column) -> Column:
     """State as the next chunk sees it: without the change counter of the chunk that made it."""
-    return F.transform(
-        slots, lambda x: x.withField("changes", F.lit(0).cast("bigint")).withField("fresh", F.lit(False))
+    return F.sort_array(
+        F.transform(slots, lambda x: x.withField("changes", F.lit(0).cast("bigint")).withField("fresh", F.lit(False)))
+    )
+
+
+def _components(slot: Column) -> dict[str, Column]:
+    """The parts of a record state that are written independently of each other."""
+    parts = {f"f_{n}": F.struct(slot["f"][n].alias("value"), slot["prov"][n].alias("writer")) for n in FIELDS}
+    for name in ("versions", "written", "ids"):
+        parts.update({f"{name}_{p}": F.struct(slot[name][p].alias("value")) for p in provider_names()})
+    parts["tombstone"] = F.struct(slot["tombstone"].alias("value"))
+    parts["origin"] = F.struct(slot["origin_source"].alias("source"), slot["origin_event_id"].alias("event_id"))
+    parts["created"] = F.struct(slot["created_at"].alias("at"), slot["created_seq"].alias("seq"))
+    return parts
+
+
+def _assemble(entity_id: Column, parts: dict[str, Column]) -> Column:
+    """Inverse of `_components`."""
+
+    def providers(name: str) -> Column:
+        return _per(lambda p: parts[f"{name}_{p}"]["value"]).alias(name)
+
+    return F.struct(
+        entity_id.alias("entity_id"),
+        F.struct(*[parts[f"f_{n}"]["value"].alias(n) for n in FIELDS]).alias("f"),
+        F.struct(*[parts[f"f_{n}"]["writer"].alias(n) for n in FIELDS]).alias("prov"),
+        providers("versions"),
+        providers("written"),
+        providers("ids"),
+        parts["tombstone"]["value"].alias("tombstone"),
+        parts["origin"]["source"].alias("origin_source"),
+        parts["origin"]["event_id"].alias("origin_event_id"),
+        parts["created"]["at"].alias("created_at"),
+        parts["created"]["seq"].alias("created_seq"),
+        F.lit(0).cast("bigint").alias("changes"),
+        F.lit(False).alias("fresh"),
+    ).cast(slot_ddl())
+
+
+def _wanted_starts(done: DataFrame) -> DataFrame:
+    """The state each chunk must start from, given what the chunks before it produced.
+
+    Per component, a chunk either wrote it (its result differs from what it was given) or passed it
+    through; the wanted value is the last one written before. Facts such as a version set a million
+    chunks earlier thus arrive in one round. Input is one small row per chunk and record.
+    """
+    key = [*GROUP, "part", "chunk"]
+    states = done.select(*key, "start", "given", _comparable(F.col("out.slots")).alias("made"))
+    names = (
+        states.select(*GROUP, F.explode(F.transform(F.concat("start", "made"), lambda x: x["entity_id"])).alias("entity_id")).distinct()
+    )
+
+    def slot_of(array: str) -> Column:
+        return F.get(F.filter(array, lambda x: x["entity_id"] == F.col("entity_id")), F.lit(0)).alias(array)
+
+    rows = states.join(names, GROUP).select(*key, "entity_id", slot_of("start"), slot_of("given"), slot_of("made"))
+    before = W.partitionBy(*GROUP, "entity_id").orderBy("part", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    given, made, start = (_components(F.col(c)) for c in ("given", "made", "start"))
+    born = F.col("given").isNull() & F.col("made").isNotNull()
+    latest = {
+        n: F.coalesce(
+            F.last(F.when(born | ~made[n].eqNullSafe(given[n]), made[n]), ignorenulls=True).over(before),
+            start[n],
+        ).alias(n)
+        for n in made
+    }
+    present = (F.coalesce(F.max(born).over(before), F.lit(False)) | F.col("start").isNotNull()).alias("present")
+    return (
+        rows.select(*key, "entity_id", present, *latest.values())
+        .where("present")
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_list(_assemble(F.col("entity_id"), {n: F.col(n) for n in made}))).alias("wanted"))
     )
 
 
@@ -370,17 +447,13 @@ def _fold_chunked(steps: DataFrame, start: DataFrame, chunk_rows: int) -> DataFr
     done = cut_lineage(
         fold(pieces.join(assumed, key)).select(*key, "start", F.col("slots").alias("given"), "out"), "folded"
     )
-    line = W.partitionBy(*GROUP).orderBy("part", "chunk")
     while True:
-        # One small row per chunk: the state a chunk must start from is the latest state any earlier
-        # chunk produced that differs from what that chunk was given (no-op chunks pass it through).
-        made = F.when(~_comparable(F.col("out.slots")).eqNullSafe(F.col("given")), _comparable(F.col("out.slots")))
-        wanted = done.select(*key, "start", "given", made.alias("made")).select(
-            *key,
-            "given",
-            F.coalesce(F.last("made", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)), F.col("start")).alias("wanted"),
+        wanted = done.select(*key, "given").join(_wanted_starts(done), key, "left").select(
+            *key, "given", F.coalesce("wanted", _no_slots()).alias("wanted")
+        )
+        stale = cut_lineage(
+            wanted.where(~F.col("wanted").eqNullSafe(F.sort_array("given"))).select(*key, F.col("wanted").alias("slots")), "stale"
         )
-        stale = cut_lineage(wanted.where(~F.col("wanted").eqNullSafe(F.col("given"))).select(*key, F.col("wanted").alias("slots")), "stale")
         if stale.limit(1).count() == 0:
             break
         again = fold(pieces.join(stale, key)).select(*key, F.col("slots").alias("given"), "out")
@@ -513,7 +586,7 @@ def _states(folded: DataFrame, touched: DataFrame) -> DataFrame:
         .groupBy(*CK)
         .agg(F.sum(F.when(F.col("reborn").isNull() | (F.col("at") >= F.col("reborn")), F.col("n"))).alias("n"))
     )
-    before = touched.select(*CK, F.col("version").alias("before"))
+    before = touched.select(*CK, F.col("version").alias("before"), _entries("provider_ids").alias("ids_before"))
     s = F.col("slot")
 
     def as_map(values: Column, ddl: str) -> Column:
@@ -525,6 +598,9 @@ def _states(folded: DataFrame, touched: DataFrame) -> DataFrame:
     return (
         last.join(added, CK)
         .join(before, CK, "left")
+        # Records that were only within reach stay out: neither changed nor newly linked.
+        .withColumn("ids_now", _entries(as_map(s["ids"], "map<string,string>")))
+        .where((F.col("n") > 0) | ~F.col("ids_now").eqNullSafe(F.col("ids_before")))
         .select(
             *CK,
             s["f"].alias("fields"),
@@ -540,6 +616,11 @@ def _states(folded: DataFrame, touched: DataFrame) -> DataFrame:
     )
 
 
+def _entries(mapping) -> Column:
+    """A map in comparable form."""
+    return F.sort_array(F.map_entries(mapping))
+
+
 def conflict_records(log: DataFrame) -> DataFrame:
     """One record per event with clashes, built from the first clashing field; the first record of a
     conflict key stands."""
