@@ -59,7 +59,7 @@ def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text to UTC wall clock; null when it does not parse."""
     shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
     # The offset is applied by hand so that the result does not depend on the session zone.
-    wall = F.try_to_timestamp(F.regexp_replace(F.substring(text, 1, 19), "T", " ")).cast(NTZ)
+    wall = F.regexp_replace(F.substring(text, 1, 19), "T", " ").try_cast(NTZ)
     fraction = F.rpad(F.coalesce(F.nullif(F.regexp_extract(text, r"\.(\d{1,6})", 1), F.lit("")), F.lit("0")), 6, "0")
     sign = F.when(text.rlike(r"-\d{2}:\d{2}$"), F.lit(1)).otherwise(F.lit(-1))
     hours = F.regexp_extract(text, r"[+-](\d{2}):\d{2}$", 1).try_cast("int")

@@ -11,7 +11,7 @@ from concord.functions.columns import clamp_limit, event_key, parse_rfc3339
 from concord.functions.signature import key_pads, signature_ok
 from concord.operators.routing import mark_duplicates
 from concord.schemas import EK, EVENT_PROVENANCE_DDL
-from concord.session import small
+from concord.session import cut_lineage, small
 
 BODY_DDL = (
     "event_id string, source string, entity_type string, entity_id string, event_type string, source_version bigint, "
@@ -74,6 +74,8 @@ def reject_reason() -> Column:
 def accept(deliveries: DataFrame, tenants: DataFrame, connections: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Every delivery with its acknowledgement: `received`, `duplicate` or `rejected` + reason."""
     checked = with_defaults(parse(resolve_tenant(deliveries, tenants, connections))).withColumn("reason", reject_reason())
+    # Stored once: the steps below read it several times, and parsing and signing are the costly part.
+    checked = cut_lineage(checked.drop("hook", "pads", "secret"), "checked")
     good = mark_duplicates(checked.where(F.col("reason").isNull()), stored)
     bad = checked.where(F.col("reason").isNotNull()).withColumn("duplicate", F.lit(False))
     status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("duplicate"), "duplicate").otherwise("received")

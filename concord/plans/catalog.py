@@ -1049,3 +1049,60 @@ for _name, _value, _cond in (
 )
 def _(spark, sf):
     return metrics.latency_quantile(frame(spark, sf, "request_log"))
+
+
+# Ordered replay -----------------------------------------------------------------------------------
+
+from concord.operators.replay import replay  # noqa: E402
+from concord.plans import serial_sql as Q  # noqa: E402
+
+VIEWS["serial_events"] = Q.EVENTS
+VIEWS["serial_run"] = Q.steps_sql()
+
+
+def _replayed(spark, sf, **kw):
+    return replay(X.change_events(spark, sf), X.empty(spark, S.CANONICAL), frame(spark, sf, "policies"), connections=frame(spark, sf, "connections"), **kw)
+
+
+def _flat_records(c: DataFrame) -> DataFrame:
+    sv, ids, prov = (F.col(n) for n in ("source_versions", "provider_ids", "field_provenance"))
+    return c.select(
+        "tenant_id", "entity_id", "fields.*", "version", "tombstone",
+        F.try_element_at(sv, F.lit("salesforce")).alias("version_salesforce"), F.try_element_at(sv, F.lit("hubspot")).alias("version_hubspot"),
+        F.try_element_at(ids, F.lit("salesforce")).alias("salesforce_id"), F.try_element_at(ids, F.lit("hubspot")).alias("hubspot_id"),
+        prov["company"]["source"].alias("company_source"), prov["company"]["version"].alias("company_version"), prov["company"]["occurred_at"].alias("company_at"),
+        prov["phone"]["source"].alias("phone_source"), prov["phone"]["priority"].alias("phone_priority"),
+    )
+
+
+@query("replay_canonical", Q.RECORDS, recursive=True)
+def _(spark, sf):
+    return _flat_records(_replayed(spark, sf).canonical)
+
+
+@query("replay_outcomes", Q.OUTCOMES, recursive=True)
+def _(spark, sf):
+    return _replayed(spark, sf).outcomes.select(*S.EK, *S.ORDER, "entity_id", "outcome")
+
+
+@query("replay_changes", Q.CHANGES, recursive=True)
+def _(spark, sf):
+    r = _replayed(spark, sf)
+    ops = r.operations.select("tenant_id", "source", "event_id", F.col("target_source").alias("target"), "fingerprint")
+    return r.changes.join(ops, ["tenant_id", "source", "event_id", "target"]).select("tenant_id", "event_id", "entity_id", "target", "op", "provider_id", "fingerprint")
+
+
+@query("replay_outbound", Q.OUTBOUND, recursive=True)
+def _(spark, sf):
+    return _replayed(spark, sf).outbound.select("tenant_id", "entity_id", "target_source", "fingerprint", "applied_version")
+
+
+@query("replay_conflicts", Q.CONFLICTS, recursive=True)
+def _(spark, sf):
+    return _replayed(spark, sf).conflicts.select("tenant_id", "entity_id", "source_a", "source_b", "version_a", "version_b", "status", "resolution_strategy")
+
+
+@query("replay_chunked", Q.RECORDS, recursive=True)
+def _(spark, sf):
+    """The same result when every cluster above 20 events is cut into chunks and iterated."""
+    return _flat_records(_replayed(spark, sf, chunk_rows=20).canonical)

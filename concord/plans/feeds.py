@@ -193,7 +193,7 @@ def with_feeds(body: str, extra: dict[str, str] | None = None, recursive: bool =
     def plain(text: str) -> str:
         return re.sub(r"\{(\w+)\}", lambda m: "TIMESTAMP" if m[1] == "NTZ" else m[1], text).strip()
 
-    ctes = [f"{n} AS MATERIALIZED ({plain(known[n])})" for n in order]
+    ctes = [f"{n} AS {'' if re.search(rf'FROM {n} ', known[n]) else 'MATERIALIZED '}({plain(known[n])})" for n in order]
     text = plain(body)
     if not ctes:
         return text
