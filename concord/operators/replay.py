@@ -426,9 +426,8 @@ def _chunks(steps: DataFrame, chunk_rows: int) -> DataFrame:
     """
     spark = steps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = steps.repartitionByRange(parts, *GROUP, "arrival_seq", "delivery").sortWithinPartitions(
-        *GROUP, "arrival_seq", "delivery"
-    )
+    order = [*GROUP, "arrival_seq", "delivery", "event_id", "source"]
+    ordered = steps.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()
     placed = ordered.withColumn("part", F.shiftright(row, 33).cast("int")).withColumn(
         "chunk", F.floor(row.bitwiseAND((1 << 33) - 1) / F.lit(chunk_rows)).cast("int")
@@ -474,6 +473,7 @@ class Replay:
     conflicts: DataFrame  # conflict records, first per key
     claims: DataFrame  # event keys to remember as processed
     failures: DataFrame  # failed events with kind and message
+    observations: DataFrame  # one row per delivery for the counters
 
 
 def replay(
@@ -514,16 +514,31 @@ def replay(
     return _results(folded, routed, blocked, open_, touched, processed)
 
 
+def _event_columns() -> list[Column]:
+    """The event as it was delivered, for a later retry."""
+    plain = ["event_id", "tenant_id", "source", "entity_id", "event_type", "source_version", "occurred_at", "received_at", "correlation_id", "provenance", "payload"]
+    return [F.col("provider_entity_type").alias("entity_type"), *[F.col(c) for c in plain]]
+
+
 def _results(folded: DataFrame, routed: DataFrame, blocked: DataFrame, open_: DataFrame, touched: DataFrame, processed) -> Replay:
     log = folded.select("tenant_id", "entity_type", F.explode("log").alias("l")).select("tenant_id", "entity_type", "l.*")
     order = ["arrival_seq", "delivery"]
 
     decided = log.select(*EK, *order, "entity_id", "outcome")
-    marked = mark_duplicates(open_.select(*EK, *order), processed)
-    repeats = marked.where("duplicate").select(*EK, *order, F.lit(None).cast("string").alias("entity_id"), F.lit("duplicate").alias("outcome"))
+    marked = mark_duplicates(open_.select(*EK, *order, "received_at"), processed).where("duplicate")
+    repeats = marked.select(*EK, *order, F.lit(None).cast("string").alias("entity_id"), F.lit("duplicate").alias("outcome"))
     static = blocked.select(*EK, *order, F.lit(None).cast("string").alias("entity_id"), F.col("static_outcome").alias("outcome"))
     outcomes = decided.unionByName(repeats).unionByName(static)
 
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    observations = (
+        log.select("source", "outcome", F.col("received_at").alias("at"), F.size("writes").alias("n_writes"), F.size("conflicts").alias("n_conflicts"), none.alias("kind"))
+        .unionByName(marked.select("source", F.lit("duplicate").alias("outcome"), F.col("received_at").alias("at"), zero.alias("n_writes"), zero.alias("n_conflicts"), none.alias("kind")))
+        .unionByName(
+            blocked.select("source", F.col("static_outcome").alias("outcome"), F.col("received_at").alias("at"), zero.alias("n_writes"), zero.alias("n_conflicts"), F.col("error.kind").alias("kind"))
+        )
+    )
+
     sent = log.where(F.size("writes") > 0).select("*", F.posexplode("writes").alias("pos", "w"))
     changes = sent.select(
         *CK,
@@ -564,8 +579,9 @@ def _results(folded: DataFrame, routed: DataFrame, blocked: DataFrame, open_: Da
         conflicts=conflict_records(log),
         claims=log.select(*EK, "entity_type", F.col("pid").alias("entity_id"), F.col("received_at").alias("processed_at")),
         failures=blocked.where(F.col("static_outcome") == "failed").select(
-            *EK, *order, "error.kind", "error.message", F.to_json(F.struct("event_id", "tenant_id", "source", "event_type", "source_version", "payload")).alias("state")
+            *EK, *order, "error.kind", "error.message", F.to_json(F.struct(*_event_columns())).alias("state")
         ),
+        observations=observations,
     )
 
 

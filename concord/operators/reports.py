@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concord.functions.columns import clamp_limit
+from concord.functions.columns import clamp_limit, micros
 from concord.operators.scope import scoped
 from concord.session import cut_lineage
 
@@ -127,25 +127,18 @@ def _copies(df: DataFrame, at: str, seconds: int) -> DataFrame:
     """Each row in its own time slice and, marked as context, in the following one. A trailing window
     no longer than a slice then only needs the rows of one (key, slice) group, which cuts a key that
     holds a large share of the data by time."""
-    slice_ = F.floor(_micros(F.col(at)) / F.lit(seconds * 1_000_000))
+    slice_ = F.floor(micros(F.col(at)) / F.lit(seconds * 1_000_000))
     copies = F.array(F.struct(slice_.alias("slice"), F.lit(False).alias("context")), F.struct((slice_ + 1).alias("slice"), F.lit(True).alias("context")))
     return df.select("*", F.explode(copies).alias("c")).select(*df.columns, "c.*")
 
 
-def _micros(at: Column) -> Column:
-    """Microseconds since 1970 of a wall-clock time, without a session-zone conversion."""
-    days = F.date_diff(F.to_date(at), F.lit("1970-01-01").cast("date")).cast("bigint")
-    secs = days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60
-    return secs * 1_000_000 + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
-
-
 def lockouts(attempts: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
     """Failed attempts at which the account has `limit` or more failures in the trailing window, where
     a success clears the failures before it."""
     rows = _copies(attempts.select("tenant_id", "email", "success", "attempted_at"), "attempted_at", minutes * 60)
     group = ["tenant_id", "email", "slice"]
     line = W.partitionBy(*group).orderBy("attempted_at").rangeBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("epoch", F.sum(F.when(F.col("success"), 1).otherwise(0)).over(line)).withColumn("us", _micros(F.col("attempted_at")))
+    rows = rows.withColumn("epoch", F.sum(F.when(F.col("success"), 1).otherwise(0)).over(line)).withColumn("us", micros(F.col("attempted_at")))
     span = W.partitionBy(*group, "epoch").orderBy("us").rangeBetween(-(minutes * 60_000_000 - 1), 0)
     counted = rows.withColumn("recent_failures", F.sum(F.when(F.col("success"), 0).otherwise(1)).over(span))
     return counted.where(~F.col("context") & ~F.col("success") & (F.col("recent_failures") >= limit)).select(
@@ -161,7 +154,7 @@ def throttled(attempts: DataFrame, limit: int = 30, seconds: int = 60) -> DataFr
     doubling: every attempt time knows which attempt opens the window after its own, and each round
     doubles the length of the jumps, so n windows take log2(n) rounds.
     """
-    us = _micros(F.col("attempted_at"))
+    us = micros(F.col("attempted_at"))
     times = attempts.groupBy("ip", "attempted_at").agg(F.count(F.lit(1)).alias("n")).select("ip", us.alias("us"), "attempted_at", "n")
     times = cut_lineage(times, "attempt-times")
     width = seconds * 1_000_000

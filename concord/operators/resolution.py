@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import compose_id, decode_snapshot
+from concord.functions.columns import compose_id, decode_snapshot, micros
 from concord.schemas import EVENT_PROVENANCE_DDL
 
 
@@ -66,8 +66,8 @@ def resolution_events(decided: DataFrame, now: Column) -> DataFrame:
         F.lit(None).cast("string").alias("correlation_id"),
         prov.alias("provenance"),
         F.struct(native.alias("fields")).alias("payload"),
-        # Decisions of one batch on the same record apply in conflict order.
-        F.xxhash64("conflict_id").alias("arrival_seq"),
+        # Decisions of one batch on the same record apply in the order the conflicts were detected.
+        micros(F.col("detected_at")).alias("arrival_seq"),
         F.lit(1).alias("delivery"),
     )
 

@@ -1106,3 +1106,138 @@ def _(spark, sf):
 def _(spark, sf):
     """The same result when every cluster above 20 events is cut into chunks and iterated."""
     return _flat_records(_replayed(spark, sf, chunk_rows=20).canonical)
+
+
+@query("metric_replay_counters", Q.COUNTERS, recursive=True)
+def _(spark, sf):
+    return metrics.outcome_counters(_replayed(spark, sf).observations, 3600)
+
+
+VIEWS["parked"], VIEWS["serial_records"] = Q.PARKED, Q.RECORDS
+
+
+def _decided(spark, sf):
+    """Replay, then operator decisions on everything that was parked, then their replay."""
+    first = _replayed(spark, sf)
+    none = F.lit(None).cast("string")
+    conflicts = first.conflicts.withColumns({"resolved_by": none, "resolved_at": none.cast("timestamp_ntz")})
+    pending = conflicts.where("status = 'CONFLICT_PENDING'")
+    decisions = pending.select(
+        "conflict_id", F.when(F.col("version_b") % 5 == 0, "dismiss").otherwise("resolve").alias("action"),
+        F.when(F.col("version_b") % 2 == 1, "b").otherwise("a").alias("side"), F.lit("ops").alias("actor"),
+    )
+    decided = resolution.decide(conflicts, decisions)
+    second = replay(resolution.resolution_events(decided, X.now()), first.canonical, frame(spark, sf, "policies"), outbound=first.outbound, processed=first.claims)
+    return conflicts, decided, second
+
+
+@query("operator_resolution", Q.RESOLVED, recursive=True)
+def _(spark, sf):
+    _, _, second = _decided(spark, sf)
+    return second.canonical.select("tenant_id", "entity_id", "version", "tombstone", F.col("fields.company").alias("company"), F.col("field_provenance")["company"]["source"].alias("company_source"))
+
+
+@query("operator_decisions", Q.DECIDED, recursive=True)
+def _(spark, sf):
+    conflicts, decided, second = _decided(spark, sf)
+    moves = resolution.resolved(decided, second.outcomes).unionByName(resolution.dismissals(decided))
+    out = resolution.set_status(conflicts, moves, X.now())
+    return out.where("resolved_by is not null").select("tenant_id", "entity_id", "source_a", "source_b", "version_a", "version_b", "status", "resolved_by")
+
+
+# Streams ------------------------------------------------------------------------------------------
+
+from concord.session import scratch_root  # noqa: E402
+from concord.sources.events import read_events, stream_files  # noqa: E402
+from concord.sources.tables import TableStore, load_dimension  # noqa: E402
+from concord.streaming import apply as streaming  # noqa: E402
+
+
+def _fresh_dir(spark, label: str) -> str:
+    import uuid
+
+    return f"{scratch_root(spark)}/concord/{label}-{uuid.uuid4().hex}"
+
+
+def _event_files(spark, sf, batches: int = 2) -> str:
+    """The change feed as event files, written in arrival order as a sequence of time slices."""
+    path = _fresh_dir(spark, "event-files")
+    events = X.change_events(spark, sf)
+    span = events.agg(F.min("arrival_seq").alias("lo"), F.max("arrival_seq").alias("hi")).first()
+    width = (span.hi - span.lo) // batches + 1
+    for i in range(batches):
+        low = span.lo + i * width
+        events.where(F.col("arrival_seq").between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("event_scan", "SELECT tenant_id, source, event_id, delivery, event_type, source_version, occurred_at, email FROM {change_feed}")
+def _(spark, sf):
+    e = read_events(spark, _event_files(spark, sf))
+    f = providers.normalize(F.col("source"), F.col("payload.fields"))
+    return e.select(*S.EK, "delivery", "event_type", "source_version", "occurred_at", f["email"].alias("email"))
+
+
+@query("stream_apply", Q.RECORDS, recursive=True)
+def _(spark, sf):
+    store = TableStore(spark, _fresh_dir(spark, "state"), buckets=8)
+    load_dimension(store, "policies", frame(spark, sf, "policies"))
+    store.commit()
+    events = stream_files(spark, _event_files(spark, sf), files_per_trigger=1)
+    streaming.apply_stream(events, store, _fresh_dir(spark, "offsets"), name="apply").awaitTermination()
+    return _flat_records(store.read("canonical_records"))
+
+
+@query("stream_deduplicate", "SELECT DISTINCT tenant_id, source, event_id FROM {change_feed}")
+def _(spark, sf):
+    out = _fresh_dir(spark, "unique")
+    events = streaming.deduplicate(stream_files(spark, _event_files(spark, sf), files_per_trigger=1)).select(*S.EK)
+    writer = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", _fresh_dir(spark, "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("tenant_id string, source string, event_id string").parquet(out)
+
+
+@query("stream_rates", "SELECT source, window_end, count(*) AS n, count(*) / 60.0e0 AS per_second FROM (SELECT source, date_trunc('minute', received_at) + INTERVAL '1' MINUTE AS window_end FROM {change_feed}) GROUP BY 1, 2")
+def _(spark, sf):
+    out = _fresh_dir(spark, "rates")
+    events = stream_files(spark, _event_files(spark, sf), files_per_trigger=1)
+    live = streaming.live_counts(events, "received_at", slide="1 minute", by=["source"])
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = live.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", _fresh_dir(spark, "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("window_end timestamp_ntz, source string, n bigint, per_second double").parquet(out).select("source", "window_end", "n", "per_second")
+
+
+@query(
+    "table_upsert",
+    """SELECT c.entity_id, coalesce(e.company, c.company) AS company, CASE WHEN e.company IS NULL THEN c.version ELSE c.version + 1 END AS version FROM {canonical_seed} c
+       LEFT JOIN (SELECT tenant_id, email, arg_max(company, arrival_seq) AS company FROM {edits} GROUP BY 1, 2) e ON e.tenant_id = c.tenant_id AND e.email = c.email""",
+)
+def _(spark, sf):
+    store = TableStore(spark, _fresh_dir(spark, "state"), buckets=8)
+    seed = X.canonical_seed(spark, sf)
+    store.upsert("canonical_records", seed)
+    store.commit()
+    last = frame(spark, sf, "edits").groupBy("tenant_id", "email").agg(F.max_by("company", "arrival_seq").alias("latest"))
+    edited = seed.withColumn("email", F.col("fields.email")).join(last, ["tenant_id", "email"])
+    edited = edited.withColumn("fields", F.col("fields").withField("company", F.col("latest"))).withColumn("version", F.col("version") + 1)
+    store.upsert("canonical_records", edited)
+    store.commit()
+    return store.read("canonical_records").select("entity_id", F.col("fields.company").alias("company"), "version")
+
+
+@query("table_insert_absent", "SELECT tenant_id, source, event_id, min(arrival_seq) AS entity_id FROM {change_feed} GROUP BY 1, 2, 3")
+def _(spark, sf):
+    store = TableStore(spark, _fresh_dir(spark, "state"), buckets=8)
+    c = routing.first_deliveries(X.change_events(spark, sf)).select(
+        *S.EK, F.lit("customer").alias("entity_type"), F.col("arrival_seq").cast("string").alias("entity_id"), F.col("received_at").alias("processed_at")
+    )
+    store.insert_absent("processed_events", c.where("source = 'hubspot'"))
+    store.commit()
+    # The stored rows stand: the second insert offers other values for their keys.
+    store.insert_absent("processed_events", c.withColumn("entity_id", F.when(F.col("source") == "hubspot", F.lit("-1")).otherwise(F.col("entity_id"))))
+    store.commit()
+    return store.read("processed_events").select(*S.EK, F.col("entity_id").cast("bigint").alias("entity_id"))

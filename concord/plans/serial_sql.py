@@ -129,3 +129,37 @@ CONFLICTS = """
 SELECT tenant_id, entity_id, source_a, source AS source_b, version_a, source_version AS version_b, arg_min(CASE outcome WHEN 'parked' THEN 'CONFLICT_PENDING' ELSE 'AUTO_RESOLVED' END, n) AS status,
        arg_min(strategy, n) AS resolution_strategy FROM {serial_run} WHERE clashed GROUP BY 1, 2, 3, 4, 5, 6
 """
+
+# Operator decisions on the conflicts the replay parked: odd incoming versions take side b, others side
+# a, and every fifth is dismissed. The stored side is the record at that step, which parking left alone.
+PARKED = """
+SELECT r.tenant_id, r.email, r.entity_id, r.source_a, r.version_a, r.source AS source_b, r.source_version AS version_b, e.received_at,
+       CASE WHEN r.entity_id LIKE 'sf-%' THEN r.a.f.company ELSE r.b.f.company END AS company_a, e.company AS company_b,
+       CASE WHEN r.source_version % 5 = 0 THEN 'dismiss' ELSE 'resolve' END AS action, CASE WHEN r.source_version % 2 = 1 THEN 'b' ELSE 'a' END AS side
+FROM {serial_run} r JOIN {serial_events} e ON e.tenant_id = r.tenant_id AND e.email = r.email AND e.n = r.n
+WHERE r.outcome = 'parked'
+QUALIFY row_number() OVER (PARTITION BY r.tenant_id, r.entity_id, r.source_a, r.version_a, r.source, r.source_version ORDER BY r.n) = 1
+"""
+
+RESOLVED = """
+SELECT p.tenant_id, p.entity_id, c.version + count(*) AS version, false AS tombstone,
+       arg_max(CASE side WHEN 'a' THEN company_a ELSE company_b END, received_at) AS company,
+       arg_max(CASE side WHEN 'a' THEN source_a ELSE source_b END, received_at) AS company_source
+FROM {parked} p JOIN {serial_records} c ON c.tenant_id = p.tenant_id AND c.entity_id = p.entity_id WHERE action = 'resolve'
+GROUP BY p.tenant_id, p.entity_id, c.version
+"""
+
+DECIDED = """
+SELECT tenant_id, entity_id, source_a, source_b, version_a, version_b, CASE action WHEN 'dismiss' THEN 'DISMISSED' ELSE 'RESOLVED' END AS status, 'operator' AS resolved_by FROM {parked}
+"""
+
+COUNTERS = """
+WITH o AS (SELECT r.source, r.outcome, e.received_at AS moment, CASE WHEN r.op IS NULL THEN 0 ELSE 1 END AS w, CASE WHEN r.clashed THEN 1 ELSE 0 END AS c
+           FROM {serial_run} r JOIN {serial_events} e ON e.tenant_id = r.tenant_id AND e.email = r.email AND e.n = r.n
+           UNION ALL SELECT source, CASE WHEN event_type <> 'deleted' AND last_name = '' THEN 'failed' ELSE 'duplicate' END, received_at, 0, 0
+           FROM {change_feed} WHERE delivery = 2 OR (event_type <> 'deleted' AND last_name = ''))
+SELECT date_trunc('hour', moment) AS window_start, source, count(*) AS events, count(*) FILTER (outcome NOT IN ('failed', 'duplicate')) AS success, count(*) FILTER (outcome = 'failed') AS failed,
+       count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (outcome = 'stale') AS stale, count(*) FILTER (outcome = 'echo') AS loops_prevented, cast(sum(w) AS bigint) AS destination_writes,
+       0 AS retries_scheduled, count(*) FILTER (outcome = 'failed') AS dlq, cast(sum(c) AS bigint) AS conflicts_detected, count(*) FILTER (c = 1 AND outcome = 'applied') AS conflicts_resolved
+FROM o GROUP BY 1, 2
+"""

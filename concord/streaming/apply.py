@@ -85,14 +85,16 @@ def deduplicate(events: DataFrame) -> DataFrame:
 
 def deduplicate_recent(events: DataFrame, at: str, horizon: str) -> DataFrame:
     """Weaker, bounded variant: repeats are recognized only within `horizon` of the first delivery."""
-    return events.withWatermark(at, horizon).dropDuplicatesWithinWatermark(EK)
+    timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", horizon)
+    return timed.dropDuplicatesWithinWatermark(EK).drop("_at")
 
 
 def live_counts(events: DataFrame, at: str, late: str = "10 minutes", window: str = "1 minute", slide: str = "15 seconds", by: list[str] | None = None) -> DataFrame:
     """Rolling per-second rates on a live stream."""
     return (
-        events.withWatermark(at, late)
-        .groupBy(F.window(at, window, slide).alias("w"), *(by or []))
+        events.withColumn("_at", F.col(at).cast("timestamp"))
+        .withWatermark("_at", late)
+        .groupBy(F.window("_at", window, slide).alias("w"), *(by or []))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.end").alias("at"), *(by or []), "n", (F.col("n") / (F.unix_seconds("w.end") - F.unix_seconds("w.start"))).alias("per_second"))
+        .select(F.col("w.end").cast("timestamp_ntz").alias("window_end"), *(by or []), "n", (F.col("n") / (F.unix_seconds("w.end") - F.unix_seconds("w.start"))).alias("per_second"))
     )
