@@ -1000,7 +1000,7 @@ ALERT_STEP = 60
 _DENSE = """
 WITH g AS (SELECT unnest(generate_series(lo, hi, INTERVAL '60' SECOND)) AS step FROM (SELECT min(time_bucket(INTERVAL '60' SECOND, done_at)) AS lo, max(time_bucket(INTERVAL '60' SECOND, done_at)) AS hi FROM {write_results})),
      s AS (SELECT time_bucket(INTERVAL '60' SECOND, done_at) AS step, count(*) AS events, count(*) FILTER (status_code <> 200) AS failed, count(*) FILTER (status_code = 200) AS success,
-                  count(*) FILTER (status_code NOT IN (200, 401, 422)) AS retries, count(*) FILTER (status_code IN (401, 422)) AS dlq, coalesce(sum(weight) FILTER (status_code = 409), 0) AS conflicts,
+                  coalesce(sum(weight) FILTER (status_code NOT IN (200, 401, 422)), 0) AS retries, count(*) FILTER (status_code IN (401, 422)) AS dlq, coalesce(sum(weight) FILTER (status_code = 409), 0) AS conflicts,
                   coalesce(sum(weight) FILTER (status_code = 404), 0) AS findings, count(*) AS requests, count(*) FILTER (status_code IN (500, 503)) AS errors FROM {write_results} GROUP BY 1),
      d AS (SELECT g.step, __COLS__ FROM g LEFT JOIN s USING (step)),
      v AS (SELECT step, __VALUE__ AS value FROM d WINDOW w5 AS (ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w10 AS (ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
@@ -1015,7 +1015,7 @@ def _observations(spark, sf):
     r = frame(spark, sf, "write_results")
     code = F.col("status_code")
     named = {
-        "events": F.lit(1), "failed": F.when(code != 200, 1), "success": F.when(code == 200, 1), "retries": F.when(~code.isin(200, 401, 422), 1),
+        "events": F.lit(1), "failed": F.when(code != 200, 1), "success": F.when(code == 200, 1), "retries": F.when(~code.isin(200, 401, 422), F.col("weight")),
         "dlq": F.when(code.isin(401, 422), 1), "conflicts": F.when(code == 409, F.col("weight")), "findings": F.when(code == 404, F.col("weight")), "requests": F.lit(1),
         "errors": F.when(code.isin(500, 503), 1),
     }
@@ -1156,7 +1156,7 @@ from concord.streaming import apply as streaming  # noqa: E402
 def _fresh_dir(spark, label: str) -> str:
     import uuid
 
-    return f"{scratch_root(spark)}/concord/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _event_files(spark, sf, batches: int = 2) -> str:

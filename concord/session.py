@@ -31,14 +31,21 @@ def build_session(app: str = "concord", master: str | None = None, **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only when none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder the cluster names in `spark.checkpoint.dir`. Only local sessions, where every
+    task runs on this machine, may do without it and get a private folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="concord-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/concord/{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Frames that read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
@@ -47,10 +54,9 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     Later steps scan only the columns they need, and a lost executor re-reads files
     instead of replaying the whole plan.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/concord/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
