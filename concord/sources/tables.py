@@ -87,7 +87,9 @@ class TableStore:
         return self._load(table, {b: now[b] for b in map(str, buckets) if b in now})
 
     def _current(self, table: str) -> dict[str, list[str]]:
-        return self._staged.get(table) or self.manifest()["tables"].get(table, {})
+        if table in self._staged:
+            return self._staged[table]
+        return self.manifest()["tables"].get(table, {})
 
     def _load(self, table: str, files: dict[str, list[str]]) -> DataFrame:
         paths = [f"{self.root}/{p}" for group in files.values() for p in group]
@@ -213,7 +215,6 @@ def persist_replay(store: TableStore, result, stream: str | None = None, batch_i
     """
     from concord.operators import failures
 
-    spark = store.spark
     none = F.lit(None).cast("string")
     store.upsert("canonical_records", result.canonical)
     store.upsert("outbound_writes", result.outbound)
@@ -228,5 +229,4 @@ def persist_replay(store: TableStore, result, stream: str | None = None, batch_i
         store.replace("retry_queue", failures.enqueue(store.read("retry_queue"), retries))
     if dead.limit(1).count():
         store.replace("dead_letter", failures.bury(store.read("dead_letter"), dead, now))
-    _ = spark
     return store.commit(stream, batch_id)
