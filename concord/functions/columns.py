@@ -11,8 +11,12 @@ from concord.schemas import FIELDS, NTZ
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` once inside a higher-order expression, so it is not re-evaluated per use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind `value` once inside a higher-order expression, so it is not re-evaluated per use.
+
+    An aggregate over no elements hands its start value to its finish function. Unlike a transform
+    of a one-element array it does not copy the result, which matters when bindings nest.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def coerce(value: Column) -> Column:

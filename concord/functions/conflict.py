@@ -80,10 +80,9 @@ def detect(
 def takes_incoming(
     name: str, strategy: Column, stored: Column, prov: Column, incoming: Column, source: Column, occurred_at: Column, priority: Column
 ) -> Column:
-    """Whether the merged field takes the incoming value (no clash, or the incoming side wins)."""
-    side = winning_side(
-        effective_strategy(strategy), prov[name]["occurred_at"], prov[name]["priority"], occurred_at, priority
-    )
+    """Whether the merged field takes the incoming value (no clash, or the incoming side wins).
+    `strategy` is an effective one."""
+    side = winning_side(strategy, prov[name]["occurred_at"], prov[name]["priority"], occurred_at, priority)
     return ~clashes(name, stored, prov, incoming, source) | (side == "b")
 
 

@@ -38,14 +38,14 @@ from concord.schemas import (
 from concord.session import cut_lineage
 
 CHUNK_ROWS = 2_000
+SLICE = 32
 # Above this many oversized clusters the list is no longer worth broadcasting: chunk everything.
 MAX_BROADCAST_CLUSTERS = 100_000
 GROUP = ["tenant_id", "entity_type", "cluster"]
 STEP_COLS = [
     "arrival_seq", "delivery", "event_id", "source", "pid", "kind", "version", "occurred_at", "received_at",
-    "f", "fp", "strategy", "priority", "dests",
+    "f", "fp", "strategy", "mode", "priority", "dests",
 ]
-WRITING = ("applied", "resolved", "adopted")
 
 
 def _by_provider(value_type: str) -> str:
@@ -119,13 +119,24 @@ def _outcome(at: Column, c: Column, e: Column, clashes: Column) -> Column:
         .when(e["kind"] == "adopt", F.lit("adopted"))
         .when(e["version"] <= F.coalesce(_pick(c["versions"], e["source"]), F.lit(0)), F.lit("stale"))
         .when(F.coalesce(_pick(c["written"], e["source"]) == e["fp"], F.lit(False)), F.lit("echo"))
-        .when((F.size(clashes) > 0) & (conflict.effective_strategy(e["strategy"]) == conflict.MANUAL), F.lit("parked"))
+        .when((F.size(clashes) > 0) & (e["mode"] == conflict.MANUAL), F.lit("parked"))
         .otherwise(F.lit("applied"))
     )
 
 
-def _step(s: Column, e: Column) -> Column:
-    slots = s["slots"]
+def _flags(outcome: Column) -> Column:
+    """The outcome with what it implies, worked out once per event."""
+    return let(
+        outcome,
+        lambda o: let(
+            (o == "applied") | (o == "resolved") | (o == "adopted"),
+            lambda w: F.struct(o.alias("name"), w.alias("writes"), (w | (o == "deleted")).alias("changes")),
+        ),
+    )
+
+
+def _step(slots: Column, e: Column) -> Column:
+    """One event applied to the records of its cluster: the new slots and the log entry."""
 
     def with_position(at: Column) -> Column:
         clash_slot = F.get(F.filter(slots, lambda x: x["entity_id"] == e["pid"]), F.lit(0))
@@ -153,17 +164,17 @@ def _step(s: Column, e: Column) -> Column:
         ).otherwise(F.expr(f"cast(array() as array<{CONFLICT_DDL}>)"))
         return let(
             found,
-            lambda clashes: let(_outcome(at, c, e, clashes), lambda outcome: with_outcome(at, c, clashes, outcome)),
+            lambda clashes: let(_flags(_outcome(at, c, e, clashes)), lambda outcome: with_outcome(at, c, clashes, outcome)),
         )
 
     def with_outcome(at: Column, c: Column, clashes: Column, outcome: Column) -> Column:
-        forced = e["kind"].isin("resolve", "adopt")
+        forced = (e["kind"] == "resolve") | (e["kind"] == "adopt")
         takes = F.struct(
             *[
                 (
                     forced
                     | conflict.takes_incoming(
-                        n, e["strategy"], c["f"], c["prov"], e["f"], e["source"], e["occurred_at"], e["priority"]
+                        n, e["mode"], c["f"], c["prov"], e["f"], e["source"], e["occurred_at"], e["priority"]
                     )
                 ).alias(n)
                 for n in FIELDS
@@ -177,8 +188,8 @@ def _step(s: Column, e: Column) -> Column:
         )
 
     def with_fields(at: Column, c: Column, clashes: Column, outcome: Column, t: Column, f: Column) -> Column:
-        writes = outcome.isin(*WRITING)
-        changes = writes | (outcome == "deleted")
+        writes, changes = outcome["writes"], outcome["changes"]
+        outcome = outcome["name"]
         fp = F.when(F.size(clashes) == 0, e["fp"]).otherwise(fingerprint(f))
 
         def priority(n: str) -> Column:
@@ -189,9 +200,11 @@ def _step(s: Column, e: Column) -> Column:
                 .cast("int")
             )
 
+        links = (e["kind"] == "upsert") | (e["kind"] == "adopt")
+
         def with_fingerprint(fp: Column) -> Column:
             linked = _per(
-                lambda p: F.when(e["kind"].isin("upsert", "adopt") & (e["source"] == p), e["pid"]).otherwise(c["ids"][p])
+                lambda p: F.when(links & (e["source"] == p), e["pid"]).otherwise(c["ids"][p])
             )
             return let(linked, lambda ids: finish(fp, ids))
 
@@ -222,8 +235,12 @@ def _step(s: Column, e: Column) -> Column:
                 (c["changes"] + F.when(changes, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("changes"),
                 c["fresh"].alias("fresh"),
             ).cast(slot_ddl())
+            return let(slot, lambda slot: yield_(fp, ids, slot))
+
+        def yield_(fp: Column, ids: Column, slot: Column) -> Column:
             kept = (
-                F.when(at > 0, F.transform(slots, lambda x, i: F.when(i == at - 1, slot).otherwise(x)))
+                F.when((at == 1) & (F.size(slots) == 1), F.array(slot))
+                .when(at > 0, F.transform(slots, lambda x, i: F.when(i == at - 1, slot).otherwise(x)))
                 .when(writes, F.concat(F.filter(slots, lambda x: x["entity_id"] != e["pid"]), F.array(slot)))
                 .otherwise(slots)
             )
@@ -254,7 +271,7 @@ def _step(s: Column, e: Column) -> Column:
                 .otherwise(F.expr(f"cast(array() as array<{WRITE_DDL}>)"))
             )
             # Stale and echoed events are dropped before conflicts are looked at.
-            disputed = (F.size(clashes) > 0) & outcome.isin("applied", "parked")
+            disputed = (F.size(clashes) > 0) & ((outcome == "applied") | (outcome == "parked"))
             entry = F.struct(
                 e["arrival_seq"], e["delivery"], e["event_id"], e["source"], e["pid"], e["kind"], e["version"],
                 e["occurred_at"], e["received_at"],
@@ -268,7 +285,7 @@ def _step(s: Column, e: Column) -> Column:
                 F.when(writes, fp).alias("fp"),
                 sent.alias("writes"),
             ).cast(log_ddl())
-            return F.struct(kept.alias("slots"), F.concat(s["log"], F.array(entry)).alias("log"))
+            return F.struct(kept.alias("slots"), entry.alias("entry"))
 
         return let(fp, with_fingerprint)
 
@@ -283,8 +300,34 @@ def fold(groups: DataFrame) -> DataFrame:
 @lru_cache(maxsize=4)
 def _fold_expr(_application: str, _providers: tuple[str, ...]) -> Column:
     """The fold as one expression. It only names columns, so it is built once per application."""
-    zero = F.struct(F.col("slots"), F.expr(f"cast(array() as array<{log_ddl()}>)").alias("log"))
-    return F.aggregate("steps", zero, _step)
+    no_log = F.expr(f"cast(array() as array<{log_ddl()}>)")
+
+    # An aggregate copies its state at every element, so a growing log must not be part of a long
+    # one: the steps are taken in slices, and only whole slices are added to the collected log. For
+    # the same reason a step yields its own entry, which joins the slice's log as the next one starts.
+    def grown(s: Column) -> Column:
+        return F.when(s["last"]["entry"].isNull(), s["log"]).otherwise(F.concat(s["log"], F.array(s["last"]["entry"])))
+
+    def slice_(slots: Column, steps: Column) -> Column:
+        zero = F.struct(
+            F.struct(slots.alias("slots"), F.lit(None).cast(log_ddl()).alias("entry")).alias("last"), no_log.alias("log")
+        )
+        return F.aggregate(
+            steps,
+            zero,
+            lambda s, e: F.struct(_step(s["last"]["slots"], e).alias("last"), grown(s).alias("log")),
+            lambda s: F.struct(s["last"]["slots"].alias("slots"), grown(s).alias("log")),
+        )
+
+    starts = F.sequence(F.lit(1), F.size("steps"), F.lit(SLICE))
+    return F.aggregate(
+        starts,
+        F.struct(F.col("slots").alias("slots"), no_log.alias("log")),
+        lambda s, at: let(
+            slice_(s["slots"], F.slice("steps", at, SLICE)),
+            lambda done: F.struct(done["slots"].alias("slots"), F.concat(s["log"], done["log"]).alias("log")),
+        ),
+    )
 
 
 def to_slots(canonical: DataFrame, outbound: DataFrame | None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import fingerprint
+from concord.functions.conflict import effective_strategy
 from concord.functions.providers import canonical_type, missing_field, normalize
 from concord.schemas import EK, ORDER
 from concord.session import small
@@ -120,6 +121,7 @@ def to_steps(routed: DataFrame) -> DataFrame:
         f.alias("f"),
         fingerprint(f).alias("fp"),
         "strategy",
+        effective_strategy(F.col("strategy")).alias("mode"),
         F.col("priority").cast("int").alias("priority"),
         "dests",
     )

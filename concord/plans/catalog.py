@@ -357,7 +357,7 @@ _any_clash = "(" + " OR ".join(_clash.format(f) for f in S.FIELDS) + ")"
 def _(spark, sf):
     c = _contested(spark, sf)
     args = [F.col(x) for x in ("stored", "prov", "incoming", "source", "occurred_at", "priority")]
-    takes = F.struct(*[conflict.takes_incoming(n, F.col("strategy"), *args).alias(n) for n in S.FIELDS])
+    takes = F.struct(*[conflict.takes_incoming(n, conflict.effective_strategy(F.col("strategy")), *args).alias(n) for n in S.FIELDS])
     c = c.withColumn("takes", takes)
     merged = conflict.merge_fields(F.col("stored"), F.col("incoming"), F.col("takes"))
     prov = conflict.merge_provenance(F.col("prov"), F.col("takes"), F.col("source"), F.col("source_version"), F.col("occurred_at"), lambda n: F.col("priority"))
