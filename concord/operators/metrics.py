@@ -138,12 +138,10 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], by: list[str]
     offset and its local place, so neither a group nor the whole set is gathered anywhere.
     """
     by = by or []
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(*by, F.col(value).alias("value")).where(F.col("value").isNotNull())
     row = F.monotonically_increasing_id()
     placed = cut_lineage(
-        rows.repartitionByRange(parts, *by, "value")
+        rows.repartitionByRange(*by, "value")
         .sortWithinPartitions(*by, "value")
         .select(*by, "value", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("pos")),
         "sorted",

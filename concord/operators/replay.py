@@ -39,6 +39,7 @@ from concord.session import cut_lineage
 
 CHUNK_ROWS = 2_000
 SLICE = 32
+PART_ROWS = 200_000
 # Above this many oversized clusters the list is no longer worth broadcasting: chunk everything.
 MAX_BROADCAST_CLUSTERS = 100_000
 GROUP = ["tenant_id", "entity_type", "cluster"]
@@ -461,14 +462,15 @@ def _wanted_starts(done: DataFrame) -> DataFrame:
     )
 
 
-def _chunks(steps: DataFrame, chunk_rows: int) -> DataFrame:
+def _chunks(steps: DataFrame, chunk_rows: int, rows: int) -> DataFrame:
     """Cut oversized clusters into runs of at most `chunk_rows` consecutive events.
 
     Range partitioning on (cluster, arrival) splits a hot cluster over many partitions because its
     rows differ in arrival; after the local sort the generated row id gives the position.
     """
     spark = steps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # AQE may not merge or split these partitions (their ids are used), so size them by the row count.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PART_ROWS + 1)
     order = [*GROUP, "arrival_seq", "delivery", "event_id", "source"]
     ordered = steps.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()
@@ -480,9 +482,9 @@ def _chunks(steps: DataFrame, chunk_rows: int) -> DataFrame:
     return placed.groupBy(*GROUP, "part", "chunk").agg(F.sort_array(F.collect_list(_step_struct())).alias("steps"))
 
 
-def _fold_chunked(steps: DataFrame, start: DataFrame, chunk_rows: int) -> DataFrame:
+def _fold_chunked(steps: DataFrame, start: DataFrame, chunk_rows: int, rows: int) -> DataFrame:
     key = [*GROUP, "part", "chunk"]
-    pieces = cut_lineage(_chunks(steps, chunk_rows), "chunks")
+    pieces = cut_lineage(_chunks(steps, chunk_rows, rows), "chunks")
     keys = pieces.select(*key)
     first = keys.join(start, GROUP, "left").select(*key, F.coalesce("slots", _no_slots()).alias("start"))
     assumed = first.withColumn("slots", F.col("start"))
@@ -542,17 +544,18 @@ def replay(
     )
     start = _start_states(to_slots(touched, outbound), labels)
 
-    sizes = steps.groupBy(*GROUP).count().where(F.col("count") > chunk_rows).select(*GROUP)
+    sizes = steps.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("events")).where(F.col("events") > chunk_rows)
     big = cut_lineage(sizes, "oversized")
-    n_big = big.limit(MAX_BROADCAST_CLUSTERS + 1).count()
-    if n_big == 0:
+    found = big.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("events"), F.lit(0)).alias("events")).first()
+    if found.n == 0:
         folded = _fold_whole(steps, start)
-    elif n_big <= MAX_BROADCAST_CLUSTERS:
-        folded = _fold_whole(steps.join(F.broadcast(big), GROUP, "left_anti"), start).unionByName(
-            _fold_chunked(steps.join(F.broadcast(big), GROUP, "left_semi"), start, chunk_rows)
+    elif found.n <= MAX_BROADCAST_CLUSTERS:
+        keys = F.broadcast(big.select(*GROUP))
+        folded = _fold_whole(steps.join(keys, GROUP, "left_anti"), start).unionByName(
+            _fold_chunked(steps.join(keys, GROUP, "left_semi"), start, chunk_rows, found.events)
         )
     else:
-        folded = _fold_chunked(steps, start, chunk_rows)
+        folded = _fold_chunked(steps, start, chunk_rows, steps.count())
     folded = cut_lineage(folded, "replayed")
     return _results(folded, routed, blocked, open_, touched, processed)
 

@@ -1241,3 +1241,75 @@ def _(spark, sf):
     store.insert_absent("processed_events", c.withColumn("entity_id", F.when(F.col("source") == "hubspot", F.lit("-1")).otherwise(F.col("entity_id"))))
     store.commit()
     return store.read("processed_events").select(*S.EK, F.col("entity_id").cast("bigint").alias("entity_id"))
+
+
+@query("event_sink_changes", "SELECT target, event_id, op, CASE target WHEN 'hubspot' THEN 'firstName' ELSE 'first_name' END AS name_field FROM (SELECT event_id, op, target FROM {serial_run} WHERE op IN ('create', 'update'))", recursive=True)
+def _(spark, sf):
+    from concord.sources.events import write_changes
+
+    out = _fresh_dir(spark, "changes")
+    write_changes(_replayed(spark, sf).changes, out)
+    back = spark.read.schema("event_id string, op string, payload string, target string").parquet(out).where("op <> 'delete'")
+    keys = F.map_keys(F.from_json("payload", "map<string,string>"))
+    name = F.filter(keys, lambda k: k.isin("firstName", "first_name"))
+    return back.select("target", "event_id", "op", F.get(name, F.lit(0)).alias("name_field"))
+
+
+@query("dimension_load", "SELECT tenant_id, source, destination, CASE WHEN tenant_id = 't1' THEN 'exists' ELSE 'created' END AS status FROM {policies}")
+def _(spark, sf):
+    store = TableStore(spark, _fresh_dir(spark, "state"), buckets=8)
+    p = frame(spark, sf, "policies")
+    load_dimension(store, "policies", p.where("tenant_id = 't1'"))
+    store.commit()
+    return load_dimension(store, "policies", p).select("tenant_id", "source", "destination", "status")
+
+
+@query("delete_policy", "SELECT tenant_id, source, delete_policy FROM {policies} WHERE source = 'salesforce' UNION ALL SELECT tenant_id, destination, delete_policy FROM {policies} WHERE source = 'salesforce'")
+def _(spark, sf):
+    # Only the salesforce policies: hubspot then falls back to the policy that has it as destination.
+    return reconcile.delete_policies(frame(spark, sf, "policies").where("source = 'salesforce'"))
+
+
+@query(
+    "metric_request_rate",
+    """SELECT status, window_end, count(*) / 60.0e0 AS per_second FROM
+       (SELECT status, time_bucket(INTERVAL '15' SECOND, ts) + k * INTERVAL '15' SECOND AS window_end FROM {request_log} CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return metrics.rate(metrics.per_step(frame(spark, sf, "request_log"), "ts", ["status"]), ["status"])
+
+
+VIEWS["contested_records"] = f"""
+SELECT tenant_id, entity_id, prov_version AS version_a, source_version AS version_b, min(occurred_at) AS detected_at FROM
+  (SELECT e.tenant_id, x.* FROM {{contested}} x JOIN {{edits}} e USING (arrival_seq)) WHERE strategy = 'manual' AND {_any_clash}
+GROUP BY tenant_id, entity_id, prov_source, source, prov_version, source_version
+"""
+
+@query(
+    "report_overview",
+    """(SELECT 'events' AS panel, event_id AS id FROM {change_feed} WHERE delivery = 1 AND tenant_id = 't1' ORDER BY received_at DESC LIMIT 10)
+       UNION ALL (SELECT 'dead_letters', event_id FROM {write_results} WHERE tenant_id = 't1' ORDER BY received_at DESC, event_id LIMIT 20)
+       UNION ALL (SELECT 'runs', concat('run-', tenant_id) FROM {tenants} WHERE tenant_id = 't1')
+       UNION ALL (SELECT 'audit', event_id FROM {write_results} WHERE tenant_id = 't1' AND status_code = 401 ORDER BY event_id LIMIT 15)
+       UNION ALL (SELECT 'conflicts', concat(entity_id, ':', version_a, ':', version_b) FROM {contested_records} WHERE tenant_id = 't1' ORDER BY detected_at DESC, concat(entity_id, ':', version_a, ':', version_b) LIMIT 20)""",
+)
+def _(spark, sf):
+    c = _contested(spark, sf).where("strategy = 'manual' and size(conflicts) > 0")
+    first = F.get("conflicts", F.lit(0))
+    key = ["tenant_id", "entity_id", first["source_a"], first["source_b"], first["version_a"].alias("version_a"), first["version_b"].alias("version_b")]
+    pending = c.groupBy(*key).agg(F.min("occurred_at").alias("detected_at")).select(
+        "tenant_id", F.concat_ws(":", "entity_id", "version_a", "version_b").alias("conflict_id"), F.lit("CONFLICT_PENDING").alias("status"), "detected_at", "entity_id", "version_a", "version_b"
+    )
+    _, _, audit = failures.decide_letters(_letters(spark, sf), _letter_decisions(spark, sf).where("action = 'discard'"), X.now())
+    none = X.change_events(spark, sf).where("false")
+    tables = {
+        "conflicts": pending, "runs": _runs(spark, sf), "dead_letter": _letters(spark, sf), "source_events": X.change_events(spark, sf).where("delivery = 1"), "audit_log": audit,
+        "operations": none.withColumns({"created_at": F.col("received_at"), "target_source": F.col("source")}), "sync_jobs": none.withColumns({"created_at": F.col("received_at"), "job_id": F.col("event_id")}),
+    }
+    got = reports.overview(tables, "t1")
+    ids = {"events": "event_id", "dead_letters": "event_id", "runs": "run_id", "audit": "resource_id", "conflicts": "conflict_id"}
+    out = None
+    for panel, column in ids.items():
+        rows = got[panel].select(F.lit(panel).alias("panel"), F.col(column).alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
