@@ -154,7 +154,10 @@ def in_domain_split(df: DataFrame, rules: dict[str, tuple[str, ...]]) -> tuple[D
 
 def since(snapshot: DataFrame, moment: dt.datetime | None) -> DataFrame:
     """Records changed at or after `moment`."""
-    return snapshot if moment is None else snapshot.where(F.col("updated_at") >= F.lit(moment).cast("timestamp_ntz"))
+    if moment is None:
+        return snapshot
+    # As text, because a datetime literal would be shifted by the session zone.
+    return snapshot.where(F.col("updated_at") >= F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
 def page(snapshot: DataFrame, cursor: str | None = None, limit: int | None = None) -> DataFrame:

@@ -134,27 +134,31 @@ def bucket_bound(cumulative: Column, p: float, bounds: tuple[float, ...] = DURAT
 def exact_percentiles(df: DataFrame, value: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
     """The element at position floor((n-1)*p) of the sorted values, per group.
 
-    Range partitioning by (group, value) gives every row a global position from its partition's
-    offset and its local place, so neither a group nor the whole set is gathered anywhere.
+    Equal values are counted first, so a value that holds a large share of the rows becomes one row.
+    Range partitioning by (group, value) then gives every distinct value its span of positions from
+    its partition's offset and its local running count; no group is gathered anywhere.
     """
-    by = by or []
-    rows = df.select(*by, F.col(value).alias("value")).where(F.col("value").isNotNull())
+    key = by or ["_all"]
+    counted = (df if by else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("value")).agg(
+        F.count(F.lit(1)).alias("c")
+    )
     row = F.monotonically_increasing_id()
     placed = cut_lineage(
-        rows.repartitionByRange(*by, "value")
-        .sortWithinPartitions(*by, "value")
-        .select(*by, "value", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("pos")),
+        counted.repartitionByRange(*key, "value")
+        .sortWithinPartitions(*key, "value")
+        .select(*key, "value", "c", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("pos")),
         "sorted",
     )
-    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    # One row per partition: the window below is over that many rows.
-    offsets = offsets.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("offset"))
-    ranked = placed.join(F.broadcast(offsets), "part").select(*by, "value", (F.col("offset") + F.col("pos")).alias("idx"))
-    groups = ranked.groupBy(*by).agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n"))
-    wanted = groups.select(
-        *by, "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.col("first") + F.floor((F.col("n") - 1) * F.lit(p))).alias("idx")) for p in ps])).alias("w")
-    ).select(*by, "n", "w.*")
-    return ranked.select("idx", "value").join(wanted, "idx").select(*by, "p", "n", "value")
+    sizes = placed.groupBy("part").agg(F.sum("c").alias("rows"))
+    # One row per partition: this unpartitioned window and the broadcast are over that many rows.
+    offsets = sizes.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("offset"))
+    local = F.sum("c").over(W.partitionBy("part").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    spans = placed.join(F.broadcast(offsets), "part").withColumn("to", F.col("offset") + local).withColumn("from", F.col("to") - F.col("c"))
+    groups = spans.groupBy(*key).agg(F.min("from").alias("first"), F.sum("c").alias("n"))
+    targets = F.array(*[F.struct(F.lit(p).alias("p"), (F.col("first") + F.floor((F.col("n") - 1) * F.lit(p))).alias("idx")) for p in ps])
+    hits = F.filter(targets, lambda t: (t["idx"] >= F.col("from")) & (t["idx"] < F.col("to")))
+    out = spans.join(groups, key).select(*key, "n", "value", F.explode(hits).alias("t")).select(*key, "t.p", "n", "value")
+    return out if by else out.drop("_all")
 
 
 def burst_summary(log: DataFrame, by: list[str] | None = None) -> DataFrame:
