@@ -8,6 +8,7 @@ form one *cluster*; replay is sequential inside a cluster and parallel across cl
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concord.functions.providers import provider_names
@@ -86,25 +87,43 @@ def _memberships(events: DataFrame, touched: DataFrame) -> DataFrame:
     return mail.unionByName(created).unionByName(stored).unionByName(stored_mail).distinct()
 
 
+def _lookups_needed(events: DataFrame) -> DataFrame:
+    """(scope, email, need): how many stored records an email lookup of this batch can reach at most.
+
+    A lookup takes the oldest live record. A further one is only reached after the record taken before
+    was deleted or given another email, by an id that this batch connects to the email. So the bound is
+    one plus the deletes and differing upserts of the ids that mention the email.
+    """
+    email = F.when((F.col("kind") != "delete") & (F.col("f.email") != ""), F.col("f.email"))
+    per = events.groupBy(*SCOPE, "pid", email.alias("email")).agg(F.count(F.lit(1)).alias("n"))
+    total = per.groupBy(*SCOPE, "pid").agg(F.sum("n").alias("total"))
+    mentions = per.where(F.col("email").isNotNull())
+    return mentions.join(total, [*SCOPE, "pid"]).groupBy(*SCOPE, "email").agg((F.sum(F.col("total") - F.col("n")) + 1).alias("need"))
+
+
 def touched_records(events: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Stored records an event of this batch could reach: by entity id, mapped id or email."""
-    nodes = (
-        events.select(*SCOPE, F.concat(F.lit("i:"), "pid").alias("node"))
-        .unionByName(events.where(F.col("f.email") != "").select(*SCOPE, F.concat(F.lit("e:"), "f.email").alias("node")))
-        .distinct()
+    """Stored records an event of this batch could reach: by entity id or mapped id, and per email
+    the oldest live ones, as many as lookups can need."""
+    ids = events.select(*SCOPE, F.col("pid").alias("id")).distinct()
+    own = canonical.select(*SCOPE, "entity_id", F.explode(F.concat(F.array("entity_id"), F.map_values("provider_ids"))).alias("id"))
+    by_id = cut_lineage(own.join(ids, [*SCOPE, "id"], "left_semi").select(*SCOPE, "entity_id").distinct(), "reached")
+    need = cut_lineage(_lookups_needed(events), "lookups")
+    most = need.agg(F.max("need").alias("k")).first().k or 0
+    live = canonical.where(~F.col("tombstone") & (F.col("fields.email") != "")).select(
+        *SCOPE, "entity_id", F.col("fields.email").alias("email"), "created_at"
     )
-    own = canonical.select(
-        *SCOPE,
-        "entity_id",
-        F.explode(
-            F.array_union(
-                F.transform(F.concat(F.array("entity_id"), F.map_values("provider_ids")), lambda x: F.concat(F.lit("i:"), x)),
-                F.array(F.concat(F.lit("e:"), F.coalesce("fields.email", F.lit("")))),
-            )
-        ).alias("node"),
+    # The constant bound lets Spark cut each email to its oldest rows before the shuffle.
+    rank = F.row_number().over(W.partitionBy(*SCOPE, "email").orderBy("created_at", "entity_id"))
+    oldest = (
+        live.join(need.select(*SCOPE, "email"), [*SCOPE, "email"], "left_semi")
+        .join(by_id, [*SCOPE, "entity_id"], "left_anti")
+        .withColumn("rank", rank)
+        .where(F.col("rank") <= int(most))
+        .join(need, [*SCOPE, "email"])
+        .where(F.col("rank") <= F.col("need"))
+        .select(*SCOPE, "entity_id")
     )
-    keys = own.join(nodes, [*SCOPE, "node"], "left_semi").select(*SCOPE, "entity_id").distinct()
-    return canonical.join(keys, [*SCOPE, "entity_id"], "left_semi")
+    return canonical.join(by_id.unionByName(oldest), [*SCOPE, "entity_id"], "left_semi")
 
 
 def clusters(events: DataFrame, touched: DataFrame) -> DataFrame:

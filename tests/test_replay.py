@@ -181,3 +181,24 @@ def test_oversized_cluster_range_split(spark):
     got = run(spark, ev, policies(), chunk_rows=10)
     assert outcome_list(got) == [o[3] for o in want.outcomes]
     assert record_map(got)[("t0", "s1")].version == want.records[("t0", "s1")]["version"]
+
+
+def test_email_shared_by_many_stored_records_reaches_only_the_oldest_live(spark):
+    from concord.operators.identity import touched_records
+    from concord.operators.routing import first_deliveries, route, to_steps
+
+    writer = {"source": "salesforce", "version": 1, "occurred_at": T0, "priority": 100}
+    stored = [
+        ("t0", "customer", f"c{i:03d}", ("A", "L", "none@x.io", "1", "C"), 1, {"salesforce": 1}, {"salesforce": f"c{i:03d}"},
+         {n: writer for n in S.FIELDS}, i == 0, "salesforce", None, T0 + dt.timedelta(minutes=i))
+        for i in range(60)
+    ]
+    canonical = spark.createDataFrame(stored, S.CANONICAL)
+    pols = spark.createDataFrame(policies(), S.POLICY)
+    ev = [event(100, "hubspot", "h1", email="none@x.io", phone="2"), event(101, "hubspot", "h1", "deleted"),
+          event(102, "hubspot", "h2", email="none@x.io", phone="3"), event(103, "hubspot", "h2", email="other@x.io"), event(104, "hubspot", "h3", email="none@x.io", phone="4")]
+    events = spark.createDataFrame(ev, S.EVENT)
+    steps = to_steps(first_deliveries(route(events, pols)))
+    assert touched_records(steps, canonical).count() == 3  # 1 + one delete + one other email
+    got = {x.event_id: x.entity_id for x in replay(events, canonical, pols).outcomes.collect()}
+    assert got == {"e100": "c001", "e101": "c001", "e102": "c002", "e103": "c002", "e104": "c003"}
