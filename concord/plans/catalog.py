@@ -141,14 +141,17 @@ def _(spark, sf):
     return ingest.since(X.snapshot(spark, sf), dt.datetime(2024, 1, 1, 1)).select("id", "source_version")
 
 
-@query(
-    "snapshot_page",
-    """WITH p AS (SELECT id FROM {sf_snapshot} WHERE id > 'sf-000000000010' ORDER BY id LIMIT 50)
-       SELECT id, (SELECT CASE WHEN count(*) >= 50 THEN max(id) END FROM p) AS next_cursor FROM p""",
-)
+_PAGE = "SELECT id, version FROM {sf_snapshot} WHERE id > 'sf-000000000010' ORDER BY id LIMIT 50"
+
+
+@query("snapshot_page", _PAGE)
+def _(spark, sf):
+    return ingest.page(X.snapshot(spark, sf), "sf-000000000010", 50).select("id", F.col("source_version").alias("version"))
+
+
+@query("snapshot_cursor", f"SELECT CASE WHEN count(*) >= 50 THEN max(id) END AS next_cursor FROM ({_PAGE})")
 def _(spark, sf):
-    page = ingest.page(X.snapshot(spark, sf), "sf-000000000010", 50)
-    return page.select("id").crossJoin(F.broadcast(ingest.next_cursor(page, 50)))
+    return ingest.next_cursor(ingest.page(X.snapshot(spark, sf), "sf-000000000010", 50), 50)
 
 
 # Scalar transforms --------------------------------------------------------------------------------
@@ -877,13 +880,15 @@ def _(spark, sf):
     return reports.throttled_tumbling(frame(spark, sf, "login_attempts"), limit=12)
 
 
-@query("tenant_scope", "SELECT tenant_id, count(*) AS visible, 0 AS without_tenant, (SELECT count(*) FROM {change_feed} WHERE tenant_id <> 't1') AS foreign_rows FROM {change_feed} WHERE tenant_id = 't1' GROUP BY 1")
+@query("tenant_scope", "SELECT CASE WHEN tenant_id = 't1' THEN 'visible' ELSE 'foreign' END AS what, tenant_id, count(*) AS n FROM {change_feed} GROUP BY 1, 2")
 def _(spark, sf):
     c = frame(spark, sf, "change_feed")
-    seen = scope.scoped(c, "t1").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("visible"))
-    none = scope.scoped(c, None).agg(F.count(F.lit(1)).alias("without_tenant"))
-    foreign = scope.foreign_rows(c, "t1").agg(F.count(F.lit(1)).alias("foreign_rows"))
-    return seen.crossJoin(none).crossJoin(foreign)
+    views = {"visible": scope.scoped(c, "t1"), "without_tenant": scope.scoped(c, None), "foreign": scope.foreign_rows(c, "t1")}
+    seen = None
+    for what, rows in views.items():
+        named = rows.groupBy(F.lit(what).alias("what"), "tenant_id").agg(F.count(F.lit(1)).alias("n"))
+        seen = named if seen is None else seen.unionByName(named)
+    return seen
 
 
 # Metrics ------------------------------------------------------------------------------------------

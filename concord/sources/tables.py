@@ -157,6 +157,10 @@ class TableStore:
         new = self._plain(table, rows)
         self._staged[table] = {**now, **new}
 
+    def compact(self, table: str) -> None:
+        """Rewrite a table that many small batches have appended to."""
+        self.replace(table, self.read(table))
+
     def _plain(self, table: str, rows: DataFrame) -> dict[str, list[str]]:
         folder = f"{table}/{uuid.uuid4().hex}"
         rows.select(*self._columns(table)).write.parquet(f"{self.root}/{folder}")

@@ -44,6 +44,18 @@ def test_upsert_overwrites_and_keeps_other_keys(spark, tmp_path):
     assert store.read("outbound_writes").count() == 20
 
 
+def test_compaction_keeps_rows(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"), buckets=2)
+    for i in range(3):
+        store.insert_absent("outbound_writes", spark.createDataFrame([("t0", "customer", f"e{i}", "hubspot", "a", 1)], S.OUTBOUND))
+        store.commit()
+    before = sorted(map(tuple, store.read("outbound_writes").collect()))
+    store.compact("outbound_writes")
+    store.commit()
+    assert sorted(map(tuple, store.read("outbound_writes").collect())) == before
+    assert all(len(paths) == 1 for paths in store.manifest()["tables"]["outbound_writes"].values())
+
+
 def test_two_writers_cannot_publish_the_same_version(spark, tmp_path):
     a, b = TableStore(spark, str(tmp_path / "s")), TableStore(spark, str(tmp_path / "s"))
     row = spark.createDataFrame([("t0", "customer", "e", "hubspot", "a", 1)], S.OUTBOUND)
