@@ -13,6 +13,7 @@ from concord.functions import conflict, providers, same_fields, same_value
 from concord.operators import failures, fullsync, identity, ingest, metrics, reconcile, reports, resolution, routing, scope
 from concord.plans import shapes as X
 from concord.plans.feeds import frame, with_feeds
+from concord.session import cut_lineage, scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -295,7 +296,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     routed = routing.route(X.change_events(spark, sf), frame(spark, sf, "policies"))
-    steps = routing.to_steps(routing.first_deliveries(routed.where("static_outcome is null")))
+    steps = cut_lineage(routing.to_steps(routing.first_deliveries(routed.where("static_outcome is null"))), "steps")
     labels = identity.clusters(steps, X.empty(spark, S.CANONICAL))
     sized = labels.groupBy("tenant_id", F.col("cluster").alias("cluster_low")).agg((F.count(F.lit(1)) + 1).cast("int").alias("n"))
     return sized.select(F.col("cluster_low").alias("id"), "tenant_id", "cluster_low", "n")
@@ -1152,7 +1153,6 @@ def _(spark, sf):
 
 # Streams ------------------------------------------------------------------------------------------
 
-from concord.session import scratch_root  # noqa: E402
 from concord.sources.events import read_events, stream_files  # noqa: E402
 from concord.sources.tables import TableStore, load_dimension  # noqa: E402
 from concord.streaming import apply as streaming  # noqa: E402
