@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm.common import table
+from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
 from concord.llm.licenses import license_scan
 from concord.llm.packing import pack
 from concord.llm.tokens import token_counts
@@ -38,3 +39,8 @@ def op2(spark, sf_dir):
 @query("op4_packing")
 def op4(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_benchmark_decontamination", DECONTAMINATION)
+def op9(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
