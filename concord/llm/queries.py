@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from concord.llm.common import table
 from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
 from concord.llm.licenses import license_scan
+from concord.llm.ngram_join import near_duplicates
 from concord.llm.packing import pack
 from concord.llm.tokens import token_counts
 
@@ -44,3 +45,8 @@ def op4(spark, sf_dir):
 @query("op9_benchmark_decontamination", DECONTAMINATION)
 def op9(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
