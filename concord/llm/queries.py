@@ -11,6 +11,7 @@ from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
 from concord.llm.licenses import license_scan
 from concord.llm.ngram_join import near_duplicates
 from concord.llm.packing import pack
+from concord.llm.suffix_dedup import dedup_report
 from concord.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,8 @@ def op9(spark, sf_dir):
 @query("op5_ngram_jaccard_join")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    return dedup_report(table(spark, sf_dir, "documents"))
