@@ -11,6 +11,7 @@ from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
 from concord.llm.licenses import license_scan
 from concord.llm.ngram_join import near_duplicates
 from concord.llm.packing import pack
+from concord.llm.quality import classify
 from concord.llm.suffix_dedup import dedup_report
 from concord.llm.tokens import token_counts
 
@@ -56,3 +57,8 @@ def op5(spark, sf_dir):
 @query("op7_suffix_array_dedup")
 def op7(spark, sf_dir):
     return dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
