@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm.common import table
 from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
+from concord.llm.html_text import main_text
 from concord.llm.licenses import license_scan
 from concord.llm.ngram_join import near_duplicates
 from concord.llm.packing import pack
@@ -62,3 +63,8 @@ def op7(spark, sf_dir):
 @query("op3_quality_classifier")
 def op3(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_html_extraction")
+def op10(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
