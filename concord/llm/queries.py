@@ -15,6 +15,7 @@ from concord.llm.packing import pack
 from concord.llm.quality import classify
 from concord.llm.suffix_dedup import dedup_report
 from concord.llm.tokens import token_counts
+from concord.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +69,8 @@ def op3(spark, sf_dir):
 @query("op10_html_extraction")
 def op10(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
