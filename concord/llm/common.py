@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sized(stored: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most `most` rows; else Spark joins it by a shuffle. The tables
+    have a few numbers in each row."""
+    return F.broadcast(stored) if stored.limit(most + 1).count() <= most else stored
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from concord.llm.common import sized
 from concord.session import cut_lineage
 
-#: A table is broadcast only if it was stored and then counted at no more than this many rows.
-BROADCAST_ROWS = 200_000
-
 UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,11 +30,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def sized(stored: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if it is small; else Spark joins it by a shuffle."""
-    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
-
-
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
@@ -113,6 +106,14 @@ def proximity_matches(postings: DataFrame, terms: DataFrame, queries: DataFrame,
     return near.select("k", "qid", "start").union(begin.where("need = 1").select("k", "qid", "start"))
 
 
+def find_hits(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int):
+    """Stored places (k, wid, start, n) of benchmark windows, and which item has which window."""
+    windows, of_items = phrase_windows(items, item_col, item_text_col, window)
+    terms = vocabulary(windows)
+    postings = build_index(df, terms, id_col, text_col)
+    return cut_lineage(phrase_matches(postings, terms, windows), "hits"), of_items
+
+
 def contamination(
     df: DataFrame,
     items: DataFrame,
@@ -128,10 +129,7 @@ def contamination(
     a null item_id joins no list but its windows hit. Empty tables on either side give no rows or no hits.
     """
     df = df.select(id_col, text_col)
-    windows, of_items = phrase_windows(items, item_col, item_text_col, window)
-    terms = vocabulary(windows)
-    postings = build_index(df, terms, id_col, text_col)
-    hits = cut_lineage(phrase_matches(postings, terms, windows), "hits")
+    hits, of_items = find_hits(df, items, id_col, text_col, item_col, item_text_col, window)
     order = W.partitionBy("k").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     spans = hits.select("k", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
     covered = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(order), F.lit(0))))
@@ -153,6 +151,21 @@ def contamination(
     )
 
 
+def without_benchmark(
+    df: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+) -> DataFrame:
+    """The rows of `df` in whose text no benchmark window occurs, with all their columns."""
+    hits, _ = find_hits(df, items, id_col, text_col, item_col, item_text_col, window)
+    gone = sized(cut_lineage(hits.select(F.col("k").alias("__k")).distinct(), "contaminated"))
+    return df.join(gone, row_key(id_col, text_col) == F.col("__k"), "left_anti")
+
+
 #: The same for documents and benchmark, by comparing every window of every text.
 ORACLE = r"""
 WITH w AS (

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concord.llm.common import LOWER, connected_components, flat, id_and_bytes, mix, slices
+from concord.llm.common import LOWER, connected_components, flat, id_and_bytes, mix, sized, slices
 from concord.session import cut_lineage
 
 #: Words of a bitmap signature, members of a block of a large tile, and rows up to which a stored table is broadcast.
@@ -139,10 +139,6 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def sized(stored: DataFrame) -> DataFrame:
-    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
-
-
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = np.concatenate([x, y])
     both.sort()
@@ -217,7 +213,7 @@ def near_duplicates(
     members = rows.where("n > 0").select(F.explode("tiles").alias("tile"), "c")
     tiles = members.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top")
     tiles = cut_lineage(tiles.select("tile", "low"), "tiles")
-    members = cut_lineage(members.join(sized(tiles), "tile").select("tile", "low", "c").distinct(), "tile-members")
+    members = cut_lineage(members.join(sized(tiles, BROADCAST_ROWS), "tile").select("tile", "low", "c").distinct(), "tile-members")
 
     # the sets of the classes that share a tile with another
     classes = cut_lineage(members.select("c").distinct(), "classes")
@@ -274,10 +270,13 @@ def near_duplicates(
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `df` without those whose component has a smaller id; of rows that share an id and a component one stays.
-    Rows without an id or without words stay."""
-    found = near_duplicates(df, id_col, text_col, n, percent)
+    """The rows of `df` without those whose component has a smaller id; of rows that share an id one stays.
+    Rows without an id stay, as do rows without words."""
+    found = cut_lineage(near_duplicates(df, id_col, text_col, n, percent), "components")
     gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    again = W.partitionBy(id_col).orderBy(text_col)
-    rows = df.join(gone, id_col, "left_anti").withColumn("_again", F.row_number().over(again))
-    return rows.where((F.col("_again") == 1) | F.col(id_col).isNull()).drop("_again")
+    rows = df.join(sized(cut_lineage(gone, "copies")), id_col, "left_anti")
+    often = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    often = sized(cut_lineage(often, "repeated-ids"))
+    order = W.partitionBy(id_col).orderBy(F.col(text_col).desc_nulls_last())
+    first = rows.join(often, id_col, "left_semi").withColumn("__again", F.row_number().over(order))
+    return rows.join(often, id_col, "left_anti").unionByName(first.where("__again = 1").drop("__again")).select(*df.columns)

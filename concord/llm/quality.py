@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import flat, slices
+from concord.llm.common import flat, sized, slices
 from concord.session import cut_lineage
 
 ORDER = 5
@@ -243,7 +243,7 @@ def classify(
     rows = df.select(F.col(id_col).cast("long").alias("id"), language(lang_col).alias("lang"), body.alias("body"))
     rows = rows.select(F.xxhash64("id", "lang", "body").alias("k"), "id", "lang", "body")
     good = cut_lineage(labels.where(trusted).select(F.col(id_col).cast("long").alias("id")).distinct(), "trusted")
-    good = F.broadcast(good) if good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else good
+    good = sized(good, BROADCAST_ROWS)
     chosen = rows.join(good, "id", "left_semi")
     fold = F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(FOLDS))
     model = train(chosen.where(fold > 0))
@@ -264,4 +264,5 @@ def classify(
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `df` that the classifier keeps. A row without an id stays."""
     found = classify(df, labels, id_col, text_col, lang_col)
-    return df.join(found.where("not keep").select(id_col).distinct(), id_col, "left_anti").select(*df.columns)
+    gone = cut_lineage(found.where("not keep").select(id_col).distinct(), "rejected")
+    return df.join(sized(gone, BROADCAST_ROWS), id_col, "left_anti").select(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from concord.llm.common import table
 from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
 from concord.llm.html_text import main_text
+from concord.llm.lattice_dedup import ORACLE as LINKED_VECTORS, near_duplicates as near_vectors
 from concord.llm.licenses import license_scan
 from concord.llm.ngram_join import near_duplicates
 from concord.llm.packing import pack
@@ -74,3 +75,8 @@ def op10(spark, sf_dir):
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_embedding_near_dedup", LINKED_VECTORS)
+def op6(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))

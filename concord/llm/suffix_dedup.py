@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import flat, id_and_bytes, mix, partitions, slices
+from concord.llm.common import flat, id_and_bytes, mix, partitions, sized, slices
 from concord.llm.suffix_sort import sorted_suffixes
 from concord.session import cut_lineage
 
@@ -123,8 +123,7 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int) -> tu
 
     lists = long.select("body").mapInArrow(list_hashes, "shard int, hashes binary")
     repeated = cut_lineage(lists.groupBy("shard").applyInArrow(twice, "h long"), "repeated-anchors")
-    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
+    repeated = sized(repeated, BROADCAST_ROWS)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
@@ -255,19 +254,23 @@ def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """`df` with the repeated passages cut out of its texts. A character stays whole if one of its bytes stays. Texts from
     which nothing goes, nulls included, and all other columns are as before."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
         for batch in batches:
-            left = []
-            for body, spans in zip(batch.column(1), batch.column(2), strict=True):
-                body = body.as_py()
-                left.append(without(body, whole_letters(body, merged(spans))).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], ["k", "left"])
-
-    texts, spans = repeated_spans(df, id_col, text_col, length)
-    changed = texts.join(spans, "k").dropDuplicates(["k"]).select("k", "body", "spans").mapInArrow(run, "k long, left string")
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    changed = changed.withColumnRenamed("k", "_key")
-    rows = df.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), body))
-    rows = rows.join(changed, F.col("_row") == F.col("_key"), "left")
-    return rows.withColumn(text_col, F.coalesce("left", text_col)).select(*df.columns)
+            texts = []
+            for text, spans in zip(batch.column(at), batch.column(len(names)), strict=True):
+                text = text.as_py()
+                if text is not None and (found := merged(spans)):
+                    body = text.encode()
+                    text = without(body, whole_letters(body, found)).decode()
+                texts.append(text)
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    _, spans = repeated_spans(df, id_col, text_col, length)
+    spans = spans.withColumnsRenamed({"k": "__k", "spans": "__spans"})
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    rows = df.join(spans, key == F.col("__k"), "left").select(*names, "__spans")
+    return rows.mapInArrow(run, df.schema)
