@@ -10,7 +10,8 @@ of sorted arrays.
 
 A tile is not expanded into all its pairs. Equal sets are one class from the start. First each class is held against the
 least class of its tiles, which settles groups of copies in time linear in their size. Only tiles that still hold
-several components are searched for links between those components, large ones cut into blocks.
+several components are searched, large ones cut into blocks: each round takes from each tile a spanning forest of the pairs
+that the bitmaps allow between components, and verifies it, until there is none.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from concord.llm.common import LOWER, connected_components, flat, id_and_bytes, mix, sized, slices
 from concord.session import cut_lineage
 
-#: Words of a bitmap signature, members of a block of a large tile, and rows up to which a stored table is broadcast.
-BITMAP_WORDS, BLOCK, BROADCAST_ROWS = 16, 1000, 400_000
+#: Bits of a bitmap signature for each element (a power of two at least, between these bounds), members of a block of a large
+#: tile, rows up to which a stored table is broadcast.
+BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 16_384
+BLOCK, BROADCAST_ROWS = 1000, 400_000
 #: Bytes worked on at once; it bounds the scratch arrays of a task.
 SLICE = 2 << 20
 
@@ -128,11 +131,26 @@ def tile_keys(sets: np.ndarray, at: np.ndarray, bands: Bands) -> list[np.ndarray
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(members >> np.uint64(11)) % np.uint64(BITMAP_WORDS * 64)] = 1
+    size = LEAST_BITS
+    while size < min(BITS_EACH * len(members), MOST_BITS):
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    bits[(members >> np.uint64(11)) % np.uint64(size)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same set has at a smaller size."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def most_shared(bits: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of a set with others, from bitmaps of one size."""
+    missing = np.bitwise_count(bits & ~others).sum(1, dtype=np.int64)
+    surplus = np.bitwise_count(others & ~bits).sum(1, dtype=np.int64)
+    return np.minimum(n - missing, sizes - surplus)
+
+
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
     values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
@@ -146,26 +164,25 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def links_in_tile(group: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links that join different components of one block pair of a tile, until no more such links exist."""
-    c = group["c"].to_numpy()
-    side = group["side"].to_numpy()
-    n = group["n"].to_numpy()
-    bits = np.array(group["bits"].to_pylist(), np.int64).view(np.uint64).reshape(len(c), BITMAP_WORDS)
-    sets = [np.array(s.values, np.int64).view(np.uint64) for s in group["members"].combine_chunks()]
-    root = group["root"].to_numpy().copy()
-    out = []
+def candidates_in_tile(group: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one block pair of a tile that the bitmaps allow, that were not refused before and that join components which are
+    still apart: a spanning forest of them, so fewer than there are members."""
+    order = np.argsort(group["c"].to_numpy())
+    c, side, n, root = (group[k].to_numpy()[order] for k in ("c", "side", "n", "root"))
+    group = group.take(pa.array(order))
+    bits = [np.array(b.values, np.int64).view(np.uint64) for b in group["bits"]]
+    words = min(map(len, bits))
+    bits = np.stack([folded(b, words) for b in bits])
+    refused = [set(r.as_py() or ()) for r in group["refused"]]
+    root, out = root.copy(), []
     for v in range(len(c)):
-        others = np.flatnonzero((root != root[v]) & ((side != side[v]) | (side == 2)))
-        others = others[others > v] if len(others) else others
+        others = np.arange(v + 1, len(c))
+        others = others[(root[others] != root[v]) & ((side[others] != side[v]) | (side[v] == 2))]
         if not len(others):
             continue
-        missing = np.bitwise_count(bits[v] & ~bits[others]).sum(1, dtype=np.int64)
-        surplus = np.bitwise_count(bits[others] & ~bits[v]).sum(1, dtype=np.int64)
-        most = np.minimum(n[v] - missing, n[others] - surplus)
-        others = others[100 * most >= percent * (n[v] + n[others] - most)]
-        for u in others:
-            if root[u] != root[v] and similar(sets[v], sets[u], percent):
+        most = most_shared(bits[v], n[v], bits[others], n[others])
+        for u in others[100 * most >= percent * (n[v] + n[others] - most)]:
+            if root[u] != root[v] and int(c[u]) not in refused[v]:
                 out.append((int(c[v]), int(c[u])))
                 root[root == root[u]] = root[v]
     return out
@@ -198,14 +215,24 @@ def near_duplicates(
             columns = [batch.column(0), pa.array(np.diff(at)), lists([bitmap(m) for m in members]), lists(members)]
             yield pa.RecordBatch.from_arrays(columns, ["c", "n", "bits", "members"])
 
+    def pass_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for na, xa, nb, xb in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
+                na, nb, xa, xb = na.as_py(), nb.as_py(), *(np.array(x.values, np.int64).view(np.uint64) for x in (xa, xb))
+                words = min(len(xa), len(xb))
+                most = most_shared(folded(xa, words), na, folded(xb, words)[None], np.array([nb]))[0]
+                good.append(bool(100 * most >= percent * (na + nb - most)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             good = [similar(np.array(x[i].values), np.array(y[i].values), percent) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     def inside(group: pa.Table) -> pa.Table:
-        found = links_in_tile(group, percent)
+        found = candidates_in_tile(group, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     texts = id_and_bytes(df, id_col, text_col)
@@ -226,39 +253,47 @@ def near_duplicates(
     stars = members.where("low <> c").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
     left = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     right = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    pairs = stars.join(left, "a").join(right, "b")
-
-    def outside(x: str, y: str):
-        lost = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(lost, F.lit(0), lambda s, k: s + k)
-
-    most = F.least(F.col("na") - outside("xa", "xb"), F.col("nb") - outside("xb", "xa"))
-    pairs = pairs.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
-    pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
-    pairs = pairs.join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    links = cut_lineage(pairs.mapInArrow(verify, "a long, b long"), "links")
-    roots = connected_components(links)
-
-    # tiles with several components left; the only pair of a tile of two has been seen already
-    placed = members.join(roots, members.c == roots.node, "left")
-    placed = placed.select("tile", "c", F.coalesce("root", "c").alias("root"))
-    state = placed.groupBy("tile").agg(
-        F.count("*").alias("m"), F.min("root").alias("p"), F.max("root").alias("q"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("s")
-    )
-    # tiles of the same members need one search
-    state = state.where("p < q and m > 2").groupBy("m", "s").agg(F.min("tile").alias("tile"))
-    state = cut_lineage(state.select("tile", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open-tiles")
-    placed = placed.join(sized(state), "tile").withColumn("block", F.pmod(F.xxhash64("c", "tile"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("tile", "c", "root", "block", other)
-    # side 0 and 1 of a pair of blocks meet each other, side 2 is a block by itself
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    placed = placed.select(
-        "tile", "c", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side")
-    )
-    placed = placed.join(sets, "c").select("tile", "i", "j", "side", "c", "root", "n", "bits", "members")
-    more = cut_lineage(placed.groupBy("tile", "i", "j").applyInArrow(inside, "a long, b long"), "more-links")
-    roots = connected_components(links.union(more))
+    pairs = stars.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb")
+    pairs = cut_lineage(pairs.mapInArrow(pass_bitmaps, "a long, b long"), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
+        pairs = pairs.join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+        return cut_lineage(pairs.mapInArrow(verify, "a long, b long, good boolean"), "verified")
+
+    seen = verified(pairs)
+    roots = connected_components(seen.where("good"))
+    while True:
+        # tiles with several components left; the only pair of a tile of two has been seen already
+        placed = members.join(roots, members.c == roots.node, "left")
+        placed = placed.select("tile", "c", F.coalesce("root", "c").alias("root"))
+        state = placed.groupBy("tile").agg(
+            F.count("*").alias("m"),
+            F.min("root").alias("p"),
+            F.max("root").alias("q"),
+            F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("s"),
+        )
+        # tiles of the same members need one search
+        state = state.where("p < q and m > 2").groupBy("m", "s").agg(F.min("tile").alias("tile"))
+        state = cut_lineage(state.select("tile", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open-tiles")
+        placed = placed.join(sized(state, BROADCAST_ROWS), "tile")
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("c", "tile"), F.col("blocks")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+        placed = placed.select("tile", "c", "root", "block", other)
+        # side 0 and 1 of a pair of blocks meet each other, side 2 is a block by itself
+        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
+        low, high = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        placed = placed.select("tile", "c", "root", low, high, side)
+        refused = seen.where("not good").groupBy(F.least("a", "b").alias("c")).agg(F.collect_set(F.greatest("a", "b")).alias("refused"))
+        placed = placed.join(sets.select("c", "n", "bits"), "c").join(refused, "c", "left")
+        placed = placed.select("tile", "i", "j", "side", "c", "root", "n", "bits", "refused")
+        pairs = placed.groupBy("tile", "i", "j").applyInArrow(inside, "a long, b long").distinct()
+        pairs = cut_lineage(pairs, "pairs")
+        # every round joins components or refuses pairs for good, so it ends when the bitmaps allow none of the rest
+        if pairs.isEmpty():
+            break
+        seen = cut_lineage(seen.union(verified(pairs)), "seen")
+        roots = connected_components(seen.where("good"))
 
     least = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first"))
     least = least.join(roots, least.c == roots.node, "left").select("c", "first", F.coalesce("root", "c").alias("root"))
