@@ -3,8 +3,9 @@
 Only places that can lie in a repeated passage are sorted. Each window of `length` bytes is known by its anchor, the piece of
 a few bytes in it whose hash is least; equal windows have equal anchors at equal places. Anchors that stand in two
 documents or more are found from packed hash lists. The windows of such anchors, with their bytes, go to the shard of their
-anchor, equal ones once. A shard puts all suffixes in order by external induced sorting; neighbours that share
-`length` bytes are equal windows, and the least document id of each run decides what is removed elsewhere.
+anchor, equal ones once. A shard leaves out windows whose hash stands nowhere else and puts the suffixes of the rest
+in order by external induced sorting; neighbours that share `length` bytes are equal windows, and the least document id of
+each run decides what is removed elsewhere.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from concord.session import cut_lineage
 
 #: Bytes worked on at once, and rows up to which the repeated anchors are broadcast.
 SLICE, BROADCAST_ROWS = 256 << 10, 4_000_000
+#: Strings of a shard, on average.
+SHARD_STRINGS = 60_000
 #: Low bits of an anchor's hash are kept in the lists, the rest chooses the shard.
 KEPT_BYTES = 6
 PLACE = np.uint64((1 << 31) - 1)
@@ -76,6 +79,43 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return which, windows[start] - ends[which], windows[stop] - ends[which], mix(hashes[place[start]] + np.uint64(1))
 
 
+def repeated_runs(strings: list[bytes], often: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that may stand elsewhere too: string, first byte, byte after the last. All windows of a string that occurs
+    often may, and of others those whose hash occurs again."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    hashes, at = [], 0
+    while at < len(strings):
+        stop, size = at, 0
+        while stop < len(strings) and size < SLICE:
+            size += int(sizes[stop])
+            stop += 1
+        data = np.frombuffer(b"".join(strings[at:stop]), np.uint8)
+        part = piece_hashes(data, length)
+        begin = np.cumsum(sizes[at:stop]) - sizes[at:stop]
+        count = sizes[at:stop] - length + 1
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        hashes.append(part[np.repeat(begin, count) + offset])
+        at = stop
+    hashes = np.concatenate(hashes)
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(strings)), count)
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    same = np.zeros(len(hashes), bool)
+    same[1:] = ranked[1:] == ranked[:-1]
+    same[:-1] |= same[1:]
+    keep = often[owner].copy()
+    keep[order[same]] = True
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    kept = np.flatnonzero(keep)
+    if not len(kept):
+        return kept, kept, kept
+    new = np.r_[True, (np.diff(kept) > 1) | (owner[kept][1:] != owner[kept][:-1])]
+    first = kept[new]
+    last = kept[np.r_[np.flatnonzero(new)[1:], len(kept)] - 1]
+    return owner[first], offset[first], offset[last] + length
+
+
 def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
     """The texts (k, id, body), and for each key k of them the spans to remove, unsorted (k, spans: array of start, stop)."""
     spark = df.sparkSession
@@ -156,37 +196,48 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int) -> tu
     with_places = long.join(found.withColumnRenamed("k", "key"), F.col("k") == F.col("key")).select("k", "id", "body", "found")
     held = with_places.mapInArrow(contexts, "k long, id long, at int, h long, context binary")
     held = cut_lineage(held.withColumn("c", F.xxhash64("context", "h")), "contexts")
-    distinct = held.groupBy("c", "h", "context").agg(F.min("id").alias("least"))
+    distinct = held.groupBy("c", "h", "context").agg(F.min("id").alias("least"), F.count("*").alias("n"))
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, least, strings = [], [], []
+        keys, least, often, strings = [], [], [], []
         for batch in batches:
             keys.append(batch.column(0).to_numpy())
             least.append(batch.column(1).to_numpy())
-            strings.extend(batch.column(2).to_pylist())
+            often.append(batch.column(2).to_numpy() > 1)
+            strings.extend(batch.column(3).to_pylist())
         if not strings:
             return
-        keys, least = np.concatenate(keys), np.concatenate(least)
-        suffixes, common, ends = sorted_suffixes(strings, length)
-        owner = np.searchsorted(ends, suffixes, "right")
+        keys, least, often = np.concatenate(keys), np.concatenate(least), np.concatenate(often)
+        owner, a, b = repeated_runs(strings, often, length)
+        # equal runs are sorted once, for the least id of all
+        number: dict[bytes, int] = {}
+        runs = [number.setdefault(strings[o][i:j], len(number)) for o, i, j in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True)]
+        runs = np.array(runs, np.int64)
+        first_id = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(first_id, runs, least[owner])
+        suffixes, common, ends = sorted_suffixes(number, length)
+        if not len(suffixes):
+            return
         new = np.flatnonzero(common < length)
-        group = np.minimum.reduceat(least[owner], new)
+        group = np.minimum.reduceat(first_id[np.searchsorted(ends, suffixes, "right")], new)
         low = np.empty(len(suffixes), np.int64)
         low[suffixes] = np.repeat(group, np.diff(np.r_[new, len(suffixes)]))
-        # runs of windows of a string with the same least id
-        starts = np.r_[0, ends[:-1]]
-        count = ends - starts - length  # windows of each string (one separator)
+        # stretches of windows of a run with the same least id
+        starts = np.r_[0, ends[:-1]][runs]
+        count = b - a - length + 1
         which = np.repeat(np.arange(len(count)), count)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         value = low[starts[which] + offset]
         first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (value[1:] != value[:-1])])
         last = np.r_[first[1:], len(which)] - 1
-        columns = [keys[which[first]], offset[first].astype(np.int32), (offset[last] + length).astype(np.int32), value[first]]
+        begin = a[which[first]]
+        columns = [keys[owner[which[first]]], begin + offset[first], begin + offset[last] + length, value[first]]
         for at in range(0, len(first), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["c", "a", "b", "low"])
 
-    judged = distinct.repartition(shards, "h").select("c", "least", "context")
-    judged = cut_lineage(judged.mapInArrow(sort_shard, "c long, a int, b int, low long"), "judged")
+    shards = max(shards, -(-held.count() // SHARD_STRINGS))
+    judged = distinct.repartition(shards, "h").select("c", "least", "n", "context")
+    judged = cut_lineage(judged.mapInArrow(sort_shard, "c long, a long, b long, low long"), "judged")
     spans = held.select("k", "id", "at", "c").join(judged, "c").where("id > low")
     spans = spans.select("k", F.struct((F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b")).alias("stop")).alias("s"))
     # repeated rows have one key; collect_set keeps their spans once. A document has no more spans than bytes
