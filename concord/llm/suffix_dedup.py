@@ -3,9 +3,12 @@
 Only places that can lie in a repeated passage are sorted. Each window of `length` bytes is known by its anchor, the piece of
 a few bytes in it whose hash is least; equal windows have equal anchors at equal places. Anchors that stand in two
 documents or more are found from packed hash lists. The windows of such anchors, with their bytes, go to the shard of their
-anchor, equal ones once. A shard leaves out windows whose hash stands nowhere else and puts the suffixes of the rest
-in order by external induced sorting; neighbours that share `length` bytes are equal windows, and the least document id of
-each run decides what is removed elsewhere.
+anchor. A shard leaves out windows whose hash stands nowhere else and puts the suffixes of the rest, equal strings
+once, in order by external induced sorting; neighbours that share `length` bytes are equal windows, and the least document id
+of each run decides what is removed elsewhere.
+
+Anchors that very many documents hold are dealt over all shards instead, where equal strings become one row; only those
+rows meet in the shard of the anchor, and what it decides is joined back by string.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from concord.llm.common import flat, id_and_bytes, mix, partitions, sized, slice
 from concord.llm.suffix_sort import sorted_suffixes
 from concord.session import cut_lineage
 
-#: Bytes worked on at once, and rows up to which the repeated anchors are broadcast.
-SLICE, BROADCAST_ROWS = 256 << 10, 4_000_000
-#: Strings of a shard, on average.
-SHARD_STRINGS = 60_000
+#: Bytes worked on at once, text for each shard, and repeated anchors that are broadcast (8 bytes each); more are joined.
+SLICE, SHARD_BYTES, BROADCAST_ROWS = 256 << 10, 4 << 20, 8_000_000
+#: Texts of one hash list that hold an anchor, or lists that do, from which on it is dealt over all shards.
+HOT = 64
 #: Low bits of an anchor's hash are kept in the lists, the rest chooses the shard.
 KEPT_BYTES = 6
 PLACE = np.uint64((1 << 31) - 1)
@@ -116,29 +119,54 @@ def repeated_runs(strings: list[bytes], often: np.ndarray, length: int) -> tuple
     return owner[first], offset[first], offset[last] + length
 
 
-def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """The texts (k, id, body), and for each key k of them the spans to remove, unsorted (k, spans: array of start, stop)."""
-    spark = df.sparkSession
-    shards = partitions(spark)
-    texts = id_and_bytes(df, id_col, text_col).select(F.xxhash64("id", "body").alias("k"), "id", "body")
-    long = texts.where((F.length("body") >= length) & F.col("id").isNotNull())
+def judge(strings: list[bytes], least: np.ndarray, often: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one least id: string, first byte, byte after the last, and that id. `least` has the least id of
+    each string, `often` whether several rows have it."""
+    owner, a, b = repeated_runs(strings, often, length)
+    # equal runs are sorted once, for the least id of all
+    number: dict[bytes, int] = {}
+    runs = [number.setdefault(strings[o][i:j], len(number)) for o, i, j in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True)]
+    runs = np.array(runs, np.int64)
+    first_id = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(first_id, runs, least[owner])
+    suffixes, common, ends = sorted_suffixes(number, length)
+    if not len(suffixes):
+        return owner, a, b, owner
+    new = np.flatnonzero(common < length)
+    group = np.minimum.reduceat(first_id[np.searchsorted(ends, suffixes, "right")], new)
+    low = np.empty(len(suffixes), np.int64)
+    low[suffixes] = np.repeat(group, np.diff(np.r_[new, len(suffixes)]))
+    starts = np.r_[0, ends[:-1]][runs]
+    count = b - a - length + 1
+    which = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    value = low[starts[which] + offset]
+    first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (value[1:] != value[:-1])])
+    last = np.r_[first[1:], len(which)] - 1
+    begin = a[which[first]]
+    return owner[which[first]], begin + offset[first], begin + offset[last] + length, value[first]
+
+
+def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -> DataFrame:
+    """(h, hot): hashes of anchors that stand in several texts (body), stored."""
 
     def list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hash lists per shard of about 16 MB of text; a hash of two texts stands twice."""
+        """Hash lists per shard of about 16 MB of text; a hash of several texts stands twice."""
         held, size = [], 0
 
         def packed() -> pa.RecordBatch:
-            both = np.concatenate(held)
-            both.sort()
-            # at most two of each
-            keep = np.r_[True, True, both[2:] != both[:-2]][: len(both)]
-            both = both[keep]
-            shard = (both >> np.uint64(8 * KEPT_BYTES)) % np.uint64(shards)
+            distinct, count = np.unique(np.concatenate(held), return_counts=True)
+            shard = ((distinct >> np.uint64(8 * KEPT_BYTES)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
+            distinct, count = distinct[order], count[order]
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            raw = both[order].view(np.uint8).reshape(-1, 8)
-            rows = [(s, raw[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "hashes"])
+            rows = []
+            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if b > a:
+                    part, n = distinct[a:b], count[a:b]
+                    rows.append((s, np.repeat(part, np.minimum(n, 2)).tobytes(), part[n >= hot_from].tobytes()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "hot"])
 
         for batch in slices(batches, SLICE):
             data, ends = flat(batch.column(0))
@@ -156,92 +184,178 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, length: int) -> tu
             yield packed()
 
     def twice(group: pa.Table) -> pa.Table:
-        both = np.frombuffer(b"".join(group["hashes"].to_pylist()), np.uint64).copy()
-        both.sort()
-        again = both[1:][both[1:] == both[:-1]]
-        return pa.table({"h": pa.array(np.unique(again).view(np.int64))})
+        both, hot = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("hashes", "hot"))
+        distinct, count = np.unique(both, return_counts=True)
+        again = count > 1
+        often = np.isin(distinct, hot) | (count >= 2 * hot_from)
+        return pa.table({"h": pa.array(distinct[again].view(np.int64)), "hot": pa.array(often[again])})
+
+    lists = long.select("body").mapInArrow(list_hashes, "shard int, hashes binary, hot binary")
+    return cut_lineage(lists.groupBy("shard").applyInArrow(twice, "h long, hot boolean"), "repeated-anchors")
+
+
+CONTEXT = "k long, id long, at long, h long, hot boolean, context binary"
+
+
+def context_rows(k: np.ndarray, ids: np.ndarray, at: np.ndarray, h: np.ndarray, hot: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(c, np.int64)) for c in (k, ids, at, h)] + [pa.array(hot), pa.array(contexts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["k", "id", "at", "h", "hot", "context"])
+
+
+def contexts_by_broadcast(long: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """The windows of repeated anchors with their bytes; the anchors are few enough to be known to every task."""
+    table = repeated.toArrow()
+    order = np.argsort(table["h"].to_numpy())
+    known = long.sparkSession.sparkContext.broadcast((table["h"].to_numpy()[order], table["hot"].to_numpy()[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, hot = known.value
+        if not len(hashes):
+            return
+        for batch in slices(batches, SLICE):
+            data, ends = flat(batch.column(2))
+            which, first, last, h = anchors(data, ends, length)
+            h = h.view(np.int64)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[place] == h)
+            which, first, last, h, place = which[hit], first[hit], last[hit], h[hit], place[hit]
+            text, start = data.tobytes(), ends[which]
+            parts = [text[a:b] for a, b in zip((start + first).tolist(), (start + last + length).tolist(), strict=True)]
+            k, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield context_rows(k[which], ids[which], first, h, hot[place], parts)
+
+    return long.mapInArrow(run, CONTEXT)
 
-    lists = long.select("body").mapInArrow(list_hashes, "shard int, hashes binary")
-    repeated = cut_lineage(lists.groupBy("shard").applyInArrow(twice, "h long"), "repeated-anchors")
-    repeated = sized(repeated, BROADCAST_ROWS)
+
+def contexts_by_join(long: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """The same for any number of repeated anchors: places are joined with them, and texts with what is found."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
             which, first, last, hashes = anchors(*flat(batch.column(1)), length)
             k = batch.column(0).to_numpy()[which]
-            columns = [pa.array(k), pa.array(hashes.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+            columns = [pa.array(k), pa.array(hashes.view(np.int64)), pa.array(first), pa.array(last)]
             yield pa.RecordBatch.from_arrays(columns, ["k", "h", "first", "last"])
 
-    found = long.select("k", "body").mapInArrow(places, "k long, h long, first int, last int").join(repeated, "h")
-    found = found.groupBy("k").agg(F.collect_list(F.struct("h", "first", "last")).alias("found"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "id", "at", "h", "context"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[list] = [[] for _ in names]
-                for k, doc, body, hits in zip(*(part.column(i) for i in range(4)), strict=True):
-                    body = body.as_py()
-                    hits = hits.values.flatten()
-                    first, last = hits[1].to_numpy(), hits[2].to_numpy() + length
-                    out[0].append(np.full(len(first), k.as_py()))
-                    out[1].append(np.full(len(first), doc.as_py()))
-                    out[2].append(first)
-                    out[3].append(hits[0].to_numpy())
-                    out[4].extend(body[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True))
-                columns = [pa.array(np.concatenate(c)) for c in out[:4]] + [pa.array(out[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    with_places = long.join(found.withColumnRenamed("k", "key"), F.col("k") == F.col("key")).select("k", "id", "body", "found")
-    held = with_places.mapInArrow(contexts, "k long, id long, at int, h long, context binary")
-    held = cut_lineage(held.withColumn("c", F.xxhash64("context", "h")), "contexts")
-    distinct = held.groupBy("c", "h", "context").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+            for k, doc, body, found in zip(*(batch.column(i) for i in range(4)), strict=True):
+                body, (h, hot, first, last) = body.as_py(), (np.asarray(c) for c in found.values.flatten())
+                parts = [body[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                n = len(first)
+                yield context_rows(np.full(n, k.as_py()), np.full(n, doc.as_py()), first, h, hot.astype(bool), parts)
+
+    found = long.select("k", "body").mapInArrow(places, "k long, h long, first long, last long").join(repeated, "h")
+    # a document has no more places than bytes; repeated rows have equal places
+    found = found.groupBy("k").agg(F.collect_set(F.struct("h", "hot", "first", "last")).alias("found"))
+    rows = long.join(found.withColumnRenamed("k", "__k"), F.col("k") == F.col("__k"))
+    return rows.select("k", "id", "body", "found").mapInArrow(run, CONTEXT)
+
+
+def shard_output(**columns) -> pa.RecordBatch:
+    names = ["k", "id", "a", "b", "c", "h", "n", "context"]
+    size = len(next(iter(columns.values())))
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+    given = [pa.array(columns[x], kind) if x in columns else pa.nulls(size, kind) for x, kind in zip(names, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(given, names)
+
+
+def repeated_spans(
+    df: DataFrame, id_col: str, text_col: str, length: int, hot_from: int = HOT, broadcast_rows: int = BROADCAST_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """The texts (k, id, body), and for each key k of them the spans to remove, in order and apart (k, spans: array of start,
+    stop). A text without spans has no row there."""
+    spark = df.sparkSession
+    shards = partitions(spark)
+    texts = id_and_bytes(df, id_col, text_col).select(F.xxhash64("id", "body").alias("k"), "id", "body")
+    long = texts.where((F.length("body") >= length) & F.col("id").isNotNull())
+    repeated = repeated_anchors(long, length, shards, hot_from)
+    few = repeated.limit(broadcast_rows + 1).count() <= broadcast_rows
+    held = (contexts_by_broadcast if few else contexts_by_join)(long, repeated, length)
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, least, often, strings = [], [], [], []
+        """Spans (k, a, b) of most rows. Rows of hot anchors pass (k, id, a: place, c: string), and their distinct strings
+        once (c, h, id: least id, n: rows, context)."""
+        number: dict[tuple, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        hot_names: dict[tuple, list] = {}
+        for batch in batches:
+            k, ids, at, h, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            strings = batch.column(5).to_pylist()
+            if hot.any():
+                chosen = np.flatnonzero(hot).tolist()
+                names = []
+                for i in chosen:
+                    entry = hot_names.setdefault((strings[i], int(h[i])), [0, int(ids[i]), 0])
+                    if not entry[2]:
+                        entry[0] = int.from_bytes(hashlib.blake2b(strings[i], digest_size=8, key=int(h[i]).to_bytes(8, signed=True)).digest(), signed=True)
+                    entry[1] = min(entry[1], int(ids[i]))
+                    entry[2] += 1
+                    names.append(entry[0])
+                yield shard_output(k=k[chosen], id=ids[chosen], a=at[chosen], c=np.array(names, np.int64))
+            cold = np.flatnonzero(~hot)
+            index = [number.setdefault(strings[i], len(number)) for i in cold.tolist()]
+            parts.append((k[cold], ids[cold], at[cold], np.array(index, np.int64)))
+        if hot_names:
+            yield shard_output(
+                c=[e[0] for e in hot_names.values()], h=[h for _, h in hot_names], id=[e[1] for e in hot_names.values()],
+                n=[e[2] for e in hot_names.values()], context=[s for s, _ in hot_names],
+            )
+        if not number:
+            return
+        k, ids, at, index = (np.concatenate(c) for c in zip(*parts, strict=True))
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, index, ids)
+        copies = np.bincount(index, minlength=len(number))
+        owner, a, b, low = judge(list(number), least, copies > 1, length)
+        # every row of a string gets its stretches
+        order = np.argsort(index, kind="stable")
+        begin = np.cumsum(copies) - copies
+        n = copies[owner]
+        stretch = np.repeat(np.arange(len(owner)), n)
+        row = order[np.repeat(begin[owner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        later = ids[row] > low[stretch]
+        row, stretch = row[later], stretch[later]
+        for i in range(0, len(row), 100_000):
+            r, s = row[i : i + 100_000], stretch[i : i + 100_000]
+            yield shard_output(k=k[r], a=at[r] + a[s], b=at[r] + b[s])
+
+    def sort_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, least, often, strings = [], [], [], []
         for batch in batches:
-            keys.append(batch.column(0).to_numpy())
+            names.append(batch.column(0).to_numpy())
             least.append(batch.column(1).to_numpy())
             often.append(batch.column(2).to_numpy() > 1)
             strings.extend(batch.column(3).to_pylist())
-        if not strings:
-            return
-        keys, least, often = np.concatenate(keys), np.concatenate(least), np.concatenate(often)
-        owner, a, b = repeated_runs(strings, often, length)
-        # equal runs are sorted once, for the least id of all
-        number: dict[bytes, int] = {}
-        runs = [number.setdefault(strings[o][i:j], len(number)) for o, i, j in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True)]
-        runs = np.array(runs, np.int64)
-        first_id = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(first_id, runs, least[owner])
-        suffixes, common, ends = sorted_suffixes(number, length)
-        if not len(suffixes):
-            return
-        new = np.flatnonzero(common < length)
-        group = np.minimum.reduceat(first_id[np.searchsorted(ends, suffixes, "right")], new)
-        low = np.empty(len(suffixes), np.int64)
-        low[suffixes] = np.repeat(group, np.diff(np.r_[new, len(suffixes)]))
-        # stretches of windows of a run with the same least id
-        starts = np.r_[0, ends[:-1]][runs]
-        count = b - a - length + 1
-        which = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        value = low[starts[which] + offset]
-        first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (value[1:] != value[:-1])])
-        last = np.r_[first[1:], len(which)] - 1
-        begin = a[which[first]]
-        columns = [keys[owner[which[first]]], begin + offset[first], begin + offset[last] + length, value[first]]
-        for at in range(0, len(first), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["c", "a", "b", "low"])
-
-    shards = max(shards, -(-held.count() // SHARD_STRINGS))
-    judged = distinct.repartition(shards, "h").select("c", "least", "n", "context")
-    judged = cut_lineage(judged.mapInArrow(sort_shard, "c long, a long, b long, low long"), "judged")
-    spans = held.select("k", "id", "at", "c").join(judged, "c").where("id > low")
-    spans = spans.select("k", F.struct((F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b")).alias("stop")).alias("s"))
-    # repeated rows have one key; collect_set keeps their spans once. A document has no more spans than bytes
-    return texts, spans.groupBy("k").agg(F.collect_set("s").alias("spans"))
+        if strings:
+            owner, a, b, low = judge(strings, np.concatenate(least), np.concatenate(often), length)
+            columns = [np.concatenate(names)[owner], a, b, low]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "from", "to", "low"])
+
+    size = long.agg(F.sum(F.length("body"))).first()[0] or 0
+    shards = max(shards, -(-size // SHARD_BYTES))
+    # rows of hot anchors may go anywhere
+    target = F.when(F.col("hot"), F.xxhash64("k", "at")).otherwise(F.col("h"))
+    out = held.repartition(shards, target).mapInArrow(
+        sort_shard, "k long, id long, a long, b long, c long, h long, n long, context binary"
+    )
+    out = cut_lineage(out, "shards")
+    strings = out.where("context is not null").groupBy("c", "h", "context").agg(F.min("id").alias("least"), F.sum("n").alias("n"))
+    judged = strings.repartition(partitions(spark), "h").select("c", "least", "n", "context")
+    judged = cut_lineage(judged.mapInArrow(sort_hot, "name long, from long, to long, low long"), "judged")
+    hot = out.where("id is not null and k is not null").select("k", "id", "a", "c").join(judged, F.col("c") == F.col("name"))
+    hot = hot.where("id > low").select("k", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
+    spans = out.where("b is not null").select("k", "a", "b").union(hot)
+    # a document has no more spans than bytes; repeated rows have one key and equal spans
+    spans = spans.groupBy("k").agg(F.collect_set(F.struct(F.col("a").alias("start"), F.col("b").alias("stop"))).alias("spans"))
+
+    def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [[{"start": a, "stop": b} for a, b in merged(s)] for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(apart, batch.schema.field(1).type)], ["k", "spans"])
+
+    spans = spans.mapInArrow(join_spans, "k long, spans array<struct<start: long, stop: long>>")
+    return texts, sized(cut_lineage(spans, "spans"), 400_000)
 
 
 def merged(spans: pa.Scalar) -> list[tuple[int, int]]:
@@ -276,7 +390,14 @@ def whole_letters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def dedup_report(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 50,
+    hot_from: int = HOT,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left, joined.
 
     A byte goes if a string of `length` bytes covers it that also starts in a row with a smaller id. Null texts are empty;
@@ -296,7 +417,7 @@ def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, removed, runs)), pa.array(digests)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts, spans = repeated_spans(df, id_col, text_col, length)
+    texts, spans = repeated_spans(df, id_col, text_col, length, hot_from, broadcast_rows)
     rows = texts.join(spans, "k", "left").select("id", "body", "spans")
     out = rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
