@@ -27,8 +27,8 @@ from concord.session import cut_lineage
 
 #: Bytes worked on at once, text for each shard, and repeated anchors that are broadcast (8 bytes each); more are joined.
 SLICE, SHARD_BYTES, BROADCAST_ROWS = 256 << 10, 4 << 20, 8_000_000
-#: Texts of one hash list that hold an anchor, or lists that do, from which on it is dealt over all shards.
-HOT = 64
+#: Texts that may hold an anchor before it is dealt over all shards, and texts of one hash list from which on they are counted.
+HOT, COUNTED = 20_000, 32
 #: Low bits of an anchor's hash are kept in the lists, the rest chooses the shard.
 KEPT_BYTES = 6
 PLACE = np.uint64((1 << 31) - 1)
@@ -164,9 +164,10 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     part, n = distinct[a:b], count[a:b]
-                    rows.append((s, np.repeat(part, np.minimum(n, 2)).tobytes(), part[n >= hot_from].tobytes()))
+                    many = n >= COUNTED
+                    rows.append((s, np.repeat(part, np.minimum(n, 2)).tobytes(), np.stack([part[many], n[many].view(np.uint64)], 1).tobytes()))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "hot"])
+            return pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "many"])
 
         for batch in slices(batches, SLICE):
             data, ends = flat(batch.column(0))
@@ -184,13 +185,17 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
             yield packed()
 
     def twice(group: pa.Table) -> pa.Table:
-        both, hot = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("hashes", "hot"))
+        both, many = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("hashes", "many"))
         distinct, count = np.unique(both, return_counts=True)
         again = count > 1
-        often = np.isin(distinct, hot) | (count >= 2 * hot_from)
+        # at most so many texts hold it
+        most = count * (COUNTED - 1)
+        if len(distinct):
+            np.add.at(most, np.searchsorted(distinct, many[0::2]), many[1::2].astype(np.int64))
+        often = most > hot_from
         return pa.table({"h": pa.array(distinct[again].view(np.int64)), "hot": pa.array(often[again])})
 
-    lists = long.select("body").mapInArrow(list_hashes, "shard int, hashes binary, hot binary")
+    lists = long.select("body").mapInArrow(list_hashes, "shard int, hashes binary, many binary")
     return cut_lineage(lists.groupBy("shard").applyInArrow(twice, "h long, hot boolean"), "repeated-anchors")
 
 
