@@ -209,7 +209,7 @@ def score(texts: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
                     keys, text = keys[mine], text[mine]
                 distinct, at = np.unique(keys, return_inverse=True)
                 logs = log_probability(distinct, tables)[at]
-                total = np.bincount(text, logs, batch.num_rows)
+                total = np.bincount(text, logs, batch.num_rows).astype(float)
                 n = np.bincount(text, minlength=batch.num_rows)
                 columns = [batch.column(0), pa.array(total, from_pandas=True), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "total", "n"])
@@ -249,7 +249,9 @@ def classify(
     model = train(chosen.where(fold > 0))
     scores = cut_lineage(score(rows, model), "scores")
     known = rows.select("k", "id", "lang", F.length("body").cast("long").alias("n_bytes"))
-    known = cut_lineage(known.join(scores.drop("n"), "k", "left"), "scored").withColumn("loss", -F.col("total") / F.col("n_bytes"))
+    known = cut_lineage(known.join(scores.drop("n"), "k", "left"), "scored").withColumn(
+        "loss", -F.col("total") / F.nullif(F.col("n_bytes"), F.lit(0))
+    )
     held_out = known.join(good, "id", "left_semi").where((fold == 0) & F.col("loss").isNotNull())
     cuts = held_out.groupBy("lang").agg(F.percentile_approx("loss", F.array(F.lit(0.5), F.lit(quantile)), 10_000).alias("q"))
     cuts = cuts.select("lang", F.col("q")[0].alias("middle"), (F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0])).alias("cut"))
@@ -262,7 +264,8 @@ def classify(
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `df` that the classifier keeps. A row without an id stays."""
+    """The rows of `df` that the classifier keeps. Of rows that share an id none stays if one is rejected; a row without an id
+    stays."""
     found = classify(df, labels, id_col, text_col, lang_col)
     gone = cut_lineage(found.where("not keep").select(id_col).distinct(), "rejected")
     return df.join(sized(gone, BROADCAST_ROWS), id_col, "left_anti").select(*df.columns)

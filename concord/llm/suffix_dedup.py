@@ -268,12 +268,19 @@ def shard_output(**columns) -> pa.RecordBatch:
 def repeated_spans(
     df: DataFrame, id_col: str, text_col: str, length: int, hot_from: int = HOT, broadcast_rows: int = BROADCAST_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """The texts (k, id, body), and for each key k of them the spans to remove, in order and apart (k, spans: array of start,
-    stop). A text without spans has no row there."""
+    """The texts (k, id, body, copy), and for each key k of them the spans to remove, in order and apart (k, spans: array of
+    start, stop). A text without spans has no row there, nor has one that is a copy of a text with a smaller id, which goes
+    whole and needs no search."""
     spark = df.sparkSession
     shards = partitions(spark)
     texts = id_and_bytes(df, id_col, text_col).select(F.xxhash64("id", "body").alias("k"), "id", "body")
-    long = texts.where((F.length("body") >= length) & F.col("id").isNotNull())
+    judged = (F.length("body") >= length) & F.col("id").isNotNull()
+    texts = texts.withColumns({"h1": F.xxhash64("body"), "h2": F.crc32("body")})
+    copies = texts.where(judged).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = cut_lineage(copies.drop("n"), "copied-texts")
+    texts = texts.join(sized(copies), ["h1", "h2"], "left")
+    texts = texts.select("k", "id", "body", (judged & F.coalesce(F.col("id") > F.col("first"), F.lit(False))).alias("copy"))
+    long = texts.where(judged & ~F.col("copy")).drop("copy")
     repeated = repeated_anchors(long, length, shards, hot_from)
     few = repeated.limit(broadcast_rows + 1).count() <= broadcast_rows
     held = (contexts_by_broadcast if few else contexts_by_join)(long, repeated, length)
@@ -423,7 +430,8 @@ def dedup_report(
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     texts, spans = repeated_spans(df, id_col, text_col, length, hot_from, broadcast_rows)
-    rows = texts.join(spans, "k", "left").select("id", "body", "spans")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("body").cast("long").alias("stop")))
+    rows = texts.join(spans, "k", "left").select("id", "body", F.when(F.col("copy"), whole).otherwise(F.col("spans")).alias("spans"))
     out = rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
@@ -446,7 +454,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    _, spans = repeated_spans(df, id_col, text_col, length)
+    texts, spans = repeated_spans(df, id_col, text_col, length)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("body").cast("long").alias("stop")))
+    copies = cut_lineage(texts.where("copy").select("k", whole.alias("spans")).distinct(), "copies")
+    spans = sized(cut_lineage(spans.unionByName(copies), "spans"), 400_000)
     spans = spans.withColumnsRenamed({"k": "__k", "spans": "__spans"})
     key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     rows = df.join(spans, key == F.col("__k"), "left").select(*names, "__spans")

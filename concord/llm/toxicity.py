@@ -125,20 +125,49 @@ class Restorer(dict):
         self[token] = found
         return found
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of the restored text, in lower case."""
-        tokens = text.lower().split()
-        out = set().union(*map(self.__getitem__, set(tokens))) if tokens else set()
+    def drawn_apart(self, tokens: list[str]) -> Iterator[str]:
+        """Words whose letters stand apart: three or more tokens of one sign in a row."""
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        # letters drawn apart: three or more tokens of one sign, perhaps with marks beside it, in a row
-        short = np.flatnonzero(np.r_[False, lengths <= 1, False])
+        short = np.flatnonzero(lengths == 1)
         if len(short) >= 3:
             breaks = np.flatnonzero(np.diff(short) > 1)
             for a, b in zip(np.r_[short[0], short[breaks + 1]], np.r_[short[breaks], short[-1]], strict=True):
-                if b - a >= 2:
-                    out.add(self.decode(" ".join(tokens[a - 1 : b])))
-        out.discard("")
-        return out
+                if b - a >= 2 and (word := self.decode(" ".join(tokens[a : b + 1]))):
+                    yield word
+
+    def words(self, text: str) -> set[str]:
+        """Distinct words of the restored text, in lower case."""
+        tokens = text.lower().split()
+        return set().union(*map(self.__getitem__, set(tokens)), self.drawn_apart(tokens))
+
+
+class Present(dict):
+    """Maps a token to the numbers of the features that its words have."""
+
+    def __init__(self, restore: Restorer, number: dict[str, int]):
+        super().__init__()
+        self.restore, self.number = restore, number
+        # letters written twice or once are one word here
+        self.single = {TWICE.sub(r"\1", name): i for name, i in number.items() if name[0] == "="}
+
+    def of(self, word: str) -> set[int]:
+        found = {self.number[b] for b in beginnings(word) if b in self.number}
+        whole = self.single.get(TWICE.sub(r"\1", "=" + word))
+        return found if whole is None else found | {whole}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        found = tuple(set().union(*map(self.of, self.restore[token])))
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[token] = found
+        return found
+
+    def in_text(self, text: str) -> list[int]:
+        tokens = text.lower().split()
+        found = set().union(*map(self.__getitem__, set(tokens)))
+        for word in self.restore.drawn_apart(tokens):
+            found |= self.of(word)
+        return sorted(found)
 
 
 def beginnings(word: str) -> list[str]:
@@ -171,7 +200,7 @@ def restorer_model(texts: DataFrame) -> dict[str, int]:
     return dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
-def fit_weights(rows: list[list[int]], labels: np.ndarray, n: int, rounds: int = 400, sparse: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[list[int]], labels: np.ndarray, n: int, rounds: int = 800, sparse: float = 5e-5) -> tuple[np.ndarray, float]:
     """Logistic weights of n features that are present or not, drawn to zero; the bias comes last."""
     w, bias = np.zeros(n), math.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -234,22 +263,10 @@ def toxicity(
     picked = picked.orderBy((F.col("n1") * F.col("odds")).desc(), "name").limit(FEATURES).select("name")
     number = {r["name"]: i for i, r in enumerate(picked.collect())}
 
-    def present(restore: Restorer, text: str, number: dict[str, int]) -> list[int]:
-        found = set()
-        for w in restore.words(text):
-            for name in (f"={w}", *beginnings(w)):
-                if name in number:
-                    found.add(number[name])
-            if TWICE.search(w):
-                once = "=" + TWICE.sub(r"\1", w)
-                if once in number:
-                    found.add(number[once])
-        return sorted(found)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model.value)
+        present = Present(Restorer(model.value), number)
         for batch in batches:
-            found = [present(restore, t.as_py(), number) for t in batch.column(0)]
+            found = [present.in_text(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "y"])
 
     seen = fitted.mapInArrow(read, "found array<int>, y int").toArrow()
@@ -264,9 +281,9 @@ def toxicity(
     values = np.array(list(kept.values()) or [0.0])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model.value)
+        present = Present(Restorer(model.value), order)
         for batch in batches:
-            totals = [bias + values[present(restore, t.as_py(), order)].sum() for t in batch.column(1)]
+            totals = [bias + values[present.in_text(t.as_py())].sum() for t in batch.column(1)]
             score = 1 / (1 + np.exp(-np.clip(np.array(totals, float), -500, 500)))
             predicted = (score >= THRESHOLD).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(predicted)], ["id", "score", "predicted"])
