@@ -10,8 +10,8 @@ of sorted arrays.
 
 A tile is not expanded into all its pairs. Equal sets are one class from the start. First each class is held against the
 least class of its tiles, which settles groups of copies in time linear in their size. Only tiles that still hold
-several components are searched, large ones cut into blocks: each round takes from each tile a spanning forest of the pairs
-that the bitmaps allow between components, and verifies it, until there is none.
+several components are searched, large ones cut into blocks: each round verifies a number of the pairs that the bitmaps
+allow between components, until no tile has any left.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from concord.session import cut_lineage
 #: tile, rows up to which a stored table is broadcast.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 16_384
 BLOCK, BROADCAST_ROWS = 1000, 400_000
+#: Partners that a set is held against in the first search of its tile; each further search of the tile takes this many times more.
+PARTNERS = 16
 #: Bytes worked on at once; it bounds the scratch arrays of a task.
 SLICE = 2 << 20
 
@@ -164,28 +166,26 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def candidates_in_tile(group: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Pairs of one block pair of a tile that the bitmaps allow, that were not refused before and that join components which are
-    still apart: a spanning forest of them, so fewer than there are members."""
+def candidates_in_tile(group: pa.Table, percent: int, most_partners: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one block pair of a tile that the bitmaps allow, that join different components and were not refused before: at most
+    so many for each member, and whether there are more."""
     order = np.argsort(group["c"].to_numpy())
-    c, side, n, root = (group[k].to_numpy()[order] for k in ("c", "side", "n", "root"))
     group = group.take(pa.array(order))
+    c, side, n, root = (group[k].to_numpy() for k in ("c", "side", "n", "root"))
     bits = [np.array(b.values, np.int64).view(np.uint64) for b in group["bits"]]
     words = min(map(len, bits))
     bits = np.stack([folded(b, words) for b in bits])
     refused = [set(r.as_py() or ()) for r in group["refused"]]
-    root, out = root.copy(), []
+    out, more = [], False
     for v in range(len(c)):
         others = np.arange(v + 1, len(c))
         others = others[(root[others] != root[v]) & ((side[others] != side[v]) | (side[v] == 2))]
-        if not len(others):
-            continue
         most = most_shared(bits[v], n[v], bits[others], n[others])
-        for u in others[100 * most >= percent * (n[v] + n[others] - most)]:
-            if root[u] != root[v] and int(c[u]) not in refused[v]:
-                out.append((int(c[v]), int(c[u])))
-                root[root == root[u]] = root[v]
-    return out
+        others = others[100 * most >= percent * (n[v] + n[others] - most)]
+        partners = [u for u in c[others].tolist() if u not in refused[v]]
+        more |= len(partners) > most_partners
+        out.extend((int(c[v]), u) for u in partners[:most_partners])
+    return out, more
 
 
 def near_duplicates(
@@ -231,9 +231,14 @@ def near_duplicates(
             good = [similar(np.array(x[i].values), np.array(y[i].values), percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
-    def inside(group: pa.Table) -> pa.Table:
-        found = candidates_in_tile(group, percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    def search(most_partners: int):
+        def inside(group: pa.Table) -> pa.Table:
+            found, more = candidates_in_tile(group, percent, most_partners)
+            tile = group["tile"][0].as_py()
+            columns = [[tile] * len(found), [a for a, _ in found], [b for _, b in found]]
+            return pa.table([pa.array(c, pa.int64()) for c in columns] + [pa.array([more] * len(found), pa.bool_())], ["tile", "a", "b", "more"])
+
+        return inside
 
     texts = id_and_bytes(df, id_col, text_col)
     rows = cut_lineage(texts.mapInArrow(describe, "id long, n long, c long, tiles array<long>"), "sets")
@@ -262,7 +267,7 @@ def near_duplicates(
         return cut_lineage(pairs.mapInArrow(verify, "a long, b long, good boolean"), "verified")
 
     seen = verified(pairs)
-    roots = connected_components(seen.where("good"))
+    roots, most_partners = connected_components(seen.where("good")), PARTNERS
     while True:
         # tiles with several components left; the only pair of a tile of two has been seen already
         placed = members.join(roots, members.c == roots.node, "left")
@@ -287,13 +292,15 @@ def near_duplicates(
         refused = seen.where("not good").groupBy(F.least("a", "b").alias("c")).agg(F.collect_set(F.greatest("a", "b")).alias("refused"))
         placed = placed.join(sets.select("c", "n", "bits"), "c").join(refused, "c", "left")
         placed = placed.select("tile", "i", "j", "side", "c", "root", "n", "bits", "refused")
-        pairs = placed.groupBy("tile", "i", "j").applyInArrow(inside, "a long, b long").distinct()
-        pairs = cut_lineage(pairs, "pairs")
-        # every round joins components or refuses pairs for good, so it ends when the bitmaps allow none of the rest
-        if pairs.isEmpty():
+        found = placed.groupBy("tile", "i", "j").applyInArrow(search(most_partners), "tile long, a long, b long, more boolean")
+        found = cut_lineage(found, "candidates")
+        if found.isEmpty():
             break
-        seen = cut_lineage(seen.union(verified(pairs)), "seen")
+        seen = cut_lineage(seen.union(verified(found.select("a", "b").distinct())), "seen")
         roots = connected_components(seen.where("good"))
+        # in all other tiles every pair that the bitmaps allow has been verified
+        members = members.join(sized(cut_lineage(found.where("more").select("tile").distinct(), "tiles")), "tile", "left_semi")
+        most_partners *= PARTNERS
 
     least = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first"))
     least = least.join(roots, least.c == roots.node, "left").select("c", "first", F.coalesce("root", "c").alias("root"))
