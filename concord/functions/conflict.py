@@ -36,8 +36,14 @@ def effective_strategy(strategy: Column) -> Column:
     return F.when(strategy.isin(*AUTOMATIC, MANUAL), strategy).otherwise(F.lit("last_write_wins"))
 
 
+def _time(occurred_at: Column) -> Column:
+    """A missing time is earlier than any other and equal to another missing one."""
+    return F.coalesce(occurred_at, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def winning_side(strategy: Column, occ_a: Column, prio_a: Column, occ_b: Column, prio_b: Column) -> Column:
     """'a' keeps the stored value, 'b' takes the incoming one, '' leaves it to an operator."""
+    occ_a, occ_b = _time(occ_a), _time(occ_b)
     out = F.when(strategy == MANUAL, F.lit(""))
     for name, incoming_wins in AUTOMATIC.items():
         verdict = F.coalesce(incoming_wins(occ_a, prio_a, occ_b, prio_b), F.lit(False))

@@ -18,7 +18,7 @@ from concord.functions.resilience import (
     shortened,
 )
 
-KEY = ["tenant_id", "event_id"]
+KEY = ["tenant_id", "source", "event_id"]
 MAX_ATTEMPTS = 8
 
 
@@ -40,7 +40,7 @@ def delay(attempt: Column, hint: Column, fraction: Column, base: float = BASE_SE
 def first_failure(failed: DataFrame, now: Column, max_attempts: int = MAX_ATTEMPTS, fraction: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Split first failures into (retry entries, dead letters).
 
-    `failed` has tenant_id, event_id, kind, message, state and optionally hint.
+    `failed` has tenant_id, source, event_id, kind, message, state and optionally hint.
     """
     hint = F.col("hint") if "hint" in failed.columns else F.lit(0)
     jitter = fraction if fraction is not None else hash_fraction(F.col("event_id"), F.lit(1))
@@ -85,8 +85,14 @@ def enqueue(queue: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def all_due(queue: DataFrame, now: Column) -> DataFrame:
+    """Every entry whose time has come: what a round works on."""
+    return queue.where(F.col("next_attempt_at") <= now)
+
+
 def due(queue: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
-    return queue.where(F.col("next_attempt_at") <= now).orderBy("next_attempt_at", *KEY).limit(clamp_limit(limit, 1000))
+    """A page of due entries, the earliest first: what a listing shows."""
+    return queue.where(F.col("next_attempt_at") <= now).orderBy("next_attempt_at", "tenant_id", "event_id", "source").limit(clamp_limit(limit, 1000))
 
 
 def retry_outcome(attempts: DataFrame, now: Column, fraction: Column | None = None) -> DataFrame:
@@ -164,7 +170,7 @@ def resolve_letters(letters: DataFrame, succeeded: DataFrame, now: Column) -> Da
 
 
 def decide_letters(letters: DataFrame, decisions: DataFrame, now: Column, max_attempts: int = MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Operator decisions {tenant_id, event_id, action: retry|discard, actor}.
+    """Operator decisions {tenant_id, source, event_id, action: retry|discard, actor}.
 
     Returns (letters, retry entries due at once, audit rows).
     """

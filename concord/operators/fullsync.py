@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions.columns import compose_id
 from concord.functions.providers import canonical_type, missing_field
 from concord.schemas import EVENT_PROVENANCE_DDL
+from concord.session import numbered
 
 
 def examine(snapshot: DataFrame, tenant: Column, source: str) -> DataFrame:
@@ -25,7 +26,9 @@ def to_events(examined: DataFrame, job: Column, now: Column) -> DataFrame:
     prov = F.struct(
         F.col("source"), F.lit(None).cast("string"), job, F.lit(None).cast("string"), F.lit(None).cast("string")
     ).cast(EVENT_PROVENANCE_DDL)
-    return examined.where(F.col("error").isNull()).select(
+    # A snapshot has no arrival order of its own: its records apply by id.
+    valid = numbered(examined.where(F.col("error").isNull()).drop("arrival_seq"), "tenant_id", "id")
+    return valid.select(
         compose_id("jobsync", job, F.col("id")).alias("event_id"),
         "tenant_id",
         "source",
@@ -38,8 +41,7 @@ def to_events(examined: DataFrame, job: Column, now: Column) -> DataFrame:
         F.lit(None).cast("string").alias("correlation_id"),
         prov.alias("provenance"),
         F.struct(F.col("data").alias("fields")).alias("payload"),
-        # A snapshot has no arrival order of its own; the reference order is by id.
-        F.xxhash64("id").alias("arrival_seq"),
+        "arrival_seq",
         F.lit(1).alias("delivery"),
     )
 
@@ -55,7 +57,7 @@ def dead_letters(examined: DataFrame, job: Column) -> DataFrame:
         )
     )
     return examined.where(F.col("error").isNotNull()).select(
-        "tenant_id", event_id.alias("event_id"), F.col("error").alias("reason"), F.lit("SCHEMA_ERROR").alias("error_class"), state.alias("payload")
+        "tenant_id", "source", event_id.alias("event_id"), F.col("error").alias("reason"), F.lit("SCHEMA_ERROR").alias("error_class"), state.alias("payload")
     )
 
 

@@ -60,13 +60,18 @@ def resolve_tenant(deliveries: DataFrame, tenants: DataFrame, connections: DataF
     ).join(small(conn), ["tenant_id", "provider"], "left")
 
 
+def bad_time() -> Column:
+    """A time was given but is none."""
+    return F.col("hook.occurred_at").isNotNull() & F.col("occurred_at").isNull()
+
+
 def reject_reason() -> Column:
     """First failed check, in the order a delivery is examined; null when it is acceptable."""
     return (
         F.when(F.col("tenant_id").isNull(), F.lit("unknown tenant"))
         .when(F.col("connected").isNull(), F.lit("no connection for provider"))
         .when(~signature_ok(F.col("secret"), F.col("pads"), F.col("body"), F.col("signature")), F.lit("invalid signature"))
-        .when(F.col("malformed"), F.lit("malformed webhook payload"))
+        .when(F.col("malformed") | bad_time(), F.lit("malformed webhook payload"))
         .when((F.col("entity_type") == "") | (F.col("entity_id") == ""), F.lit("missing entity_type/entity_id"))
     )
 

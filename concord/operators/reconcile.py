@@ -10,7 +10,7 @@ from concord.functions.columns import blank, compose_id
 from concord.functions.providers import denormalize, missing_field, normalize, provider
 from concord.operators.identity import created_id
 from concord.schemas import CK, CUSTOMER_DDL, DIRECTIONS, EVENT_PROVENANCE_DDL, FIELDS
-from concord.session import small
+from concord.session import numbered, small
 
 FINDING_KEY = ["run_id", "kind", "provider_id"]
 
@@ -198,7 +198,9 @@ def repair_events(found: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     src = runs.select("run_id", "source")
     fields = adopted_payload()
     prov = F.struct(*[F.lit(None).cast("string")] * 4, F.col("finding_id")).cast(EVENT_PROVENANCE_DDL)
-    return found.where("status = 'pending'").join(small(src), "run_id").select(
+    pending = found.where("status = 'pending'").drop("arrival_seq").join(small(src), "run_id")
+    # Findings of one run apply by kind and provider id.
+    return numbered(pending, "run_id", "kind", "provider_id").select(
         compose_id("reconcile", F.col("finding_id")).alias("event_id"),
         "tenant_id",
         "source",
@@ -211,7 +213,7 @@ def repair_events(found: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
         F.lit(None).cast("string").alias("correlation_id"),
         prov.alias("provenance"),
         F.struct(fields.alias("fields")).alias("payload"),
-        F.xxhash64("finding_id").alias("arrival_seq"),
+        "arrival_seq",
         F.lit(1).alias("delivery"),
     )
 

@@ -563,7 +563,7 @@ def replay(
 def _event_columns() -> list[Column]:
     """The event as it was delivered, for a later retry."""
     plain = ["event_id", "tenant_id", "source", "entity_id", "event_type", "source_version", "occurred_at", "received_at", "correlation_id", "provenance", "payload"]
-    return [F.col("provider_entity_type").alias("entity_type"), *[F.col(c) for c in plain]]
+    return [F.col("provider_entity_type").alias("entity_type"), *[F.col(c) for c in plain], F.col("arrival_seq")]
 
 
 def _results(folded: DataFrame, routed: DataFrame, blocked: DataFrame, open_: DataFrame, touched: DataFrame, processed) -> Replay:
@@ -611,7 +611,7 @@ def _results(folded: DataFrame, routed: DataFrame, blocked: DataFrame, open_: Da
         .agg(
             F.max_by(
                 F.struct("fp", F.when(F.col("kind") == "upsert", F.col("version")).otherwise(F.lit(0)).alias("version")),
-                F.struct(*order),
+                F.struct(*order, "event_id"),
             ).alias("m")
         )
         .select(*CK, "target_source", F.col("m.fp").alias("fingerprint"), F.col("m.version").cast("bigint").alias("applied_version"))
@@ -702,12 +702,13 @@ def conflict_records(log: DataFrame) -> DataFrame:
         F.col("strategy").alias("resolution_strategy"),
         "arrival_seq",
         "delivery",
+        "event_id",
     )
     key = ["tenant_id", "entity_type", "entity_id", "source_a", "source_b", "version_a", "version_b"]
     rest = [c for c in rows.columns if c not in key]
     return (
         rows.groupBy(*key)
-        .agg(F.min_by(F.struct(*rest), F.struct("arrival_seq", "delivery")).alias("r"))
+        .agg(F.min_by(F.struct(*rest), F.struct("arrival_seq", "delivery", "event_id")).alias("r"))
         .select(F.sha2(F.concat_ws("|", *key), 256).alias("conflict_id"), *key, "r.*")
-        .drop("arrival_seq", "delivery")
+        .drop("arrival_seq", "delivery", "event_id")
     )

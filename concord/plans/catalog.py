@@ -98,7 +98,7 @@ def _(spark, sf):
 
 @query(
     "source_event_status",
-    """SELECT tenant_id, source, event_id, CASE WHEN status_code = 401 THEN 'dlq' WHEN status_code = 200 AND source = 'hubspot' THEN 'validated' ELSE 'received' END AS status
+    """SELECT tenant_id, source, event_id, CASE WHEN status_code = 401 THEN 'dlq' WHEN source <> 'hubspot' THEN 'failed' WHEN status_code = 200 THEN 'validated' ELSE 'received' END AS status
        FROM {write_results}""",
 )
 def _(spark, sf):
@@ -107,8 +107,8 @@ def _(spark, sf):
     ok = r.where("status_code = 200")
     moved = ingest.advance(rows, ok, "validated", only_from="received")
     moved = ingest.advance(moved, r.where("status_code = 401"), "dlq")
-    # Rows that were not `received` are untouched by the guarded step; name them as the check does.
-    return moved.select(*S.EK, F.when(F.col("status") == "failed", "received").otherwise(F.col("status")).alias("status"))
+    # Rows that were not `received` are untouched by the guarded step.
+    return moved.select(*S.EK, "status")
 
 
 @query(
@@ -419,7 +419,7 @@ def _queue_rows(spark, sf):
     """Every failed result as a queue entry that has been tried `attempt` times."""
     state = F.when(F.col("arrival_seq") % 41 == 0, F.lit("{lost")).otherwise(F.to_json(F.struct("event_id", "source")))
     return _results(spark, sf).select(
-        "tenant_id", "event_id", "attempt", "max_attempts", F.col("received_at").alias("next_attempt_at"), F.lit("earlier").alias("last_error"),
+        *S.EK, "attempt", "max_attempts", F.col("received_at").alias("next_attempt_at"), F.lit("earlier").alias("last_error"),
         F.lit("TRANSIENT").alias("error_class"), state.alias("state"), F.col("received_at").alias("updated_at"),
         "kind", "message", "hint", "fraction",
     )
@@ -456,7 +456,7 @@ def _(spark, sf):
         CASE WHEN kind IS NOT NULL AND {_retry} THEN message ELSE 'earlier' END AS last_error FROM {{classified}}""",
 )
 def _(spark, sf):
-    queue = _queue_rows(spark, sf).select("tenant_id", "event_id", "attempt", "max_attempts", "next_attempt_at", "last_error", "error_class", "state", "updated_at")
+    queue = _queue_rows(spark, sf).select(*S.EK, "attempt", "max_attempts", "next_attempt_at", "last_error", "error_class", "state", "updated_at")
     retries, _ = failures.first_failure(_failed(spark, sf), X.now(), max_attempts=99, fraction=F.col("fraction"))
     return failures.enqueue(queue, retries).select("tenant_id", "event_id", "attempt", "max_attempts", "last_error")
 
@@ -488,7 +488,7 @@ def _letters(spark, sf):
     r = frame(spark, sf, "write_results")
     n = F.col("arrival_seq") % 3
     return r.select(
-        "tenant_id", "event_id", F.lit("old").alias("reason"), F.lit("TRANSIENT").alias("error_class"), F.to_json(F.struct("event_id")).alias("payload"),
+        *S.EK, F.lit("old").alias("reason"), F.lit("TRANSIENT").alias("error_class"), F.to_json(F.struct("event_id")).alias("payload"),
         F.when(n == 0, "open").when(n == 1, "discarded").otherwise("resolved").alias("status"), F.col("received_at").alias("created_at"),
         F.when(n != 0, F.col("received_at")).alias("resolved_at"),
     )
@@ -503,7 +503,7 @@ def _letters(spark, sf):
 def _(spark, sf):
     rows = _queue_rows(spark, sf)
     decided = failures.retry_outcome(rows, X.now(), F.col("fraction"))
-    queue = rows.select("tenant_id", "event_id", "attempt", "max_attempts", "next_attempt_at", "last_error", "error_class", "state", "updated_at")
+    queue = rows.select(*S.EK, "attempt", "max_attempts", "next_attempt_at", "last_error", "error_class", "state", "updated_at")
     _, letters = failures.settle(queue, _letters(spark, sf), decided, X.now())
     return letters.select("event_id", "status", "reason")
 
@@ -512,14 +512,14 @@ def _(spark, sf):
 def _(spark, sf):
     rows = _queue_rows(spark, sf)
     decided = failures.retry_outcome(rows, X.now(), F.col("fraction"))
-    queue = rows.select("tenant_id", "event_id", "attempt", "max_attempts", "next_attempt_at", "last_error", "error_class", "state", "updated_at")
+    queue = rows.select(*S.EK, "attempt", "max_attempts", "next_attempt_at", "last_error", "error_class", "state", "updated_at")
     queue, _ = failures.settle(queue, _letters(spark, sf), decided, X.now())
     return queue.select("event_id", "attempt", "last_error", "error_class")
 
 
 def _letter_decisions(spark, sf):
     r = frame(spark, sf, "write_results").where("status_code in (401, 422, 500)")
-    return r.select("tenant_id", "event_id", F.when(F.col("status_code") == 401, "discard").otherwise("retry").alias("action"), F.lit("ops").alias("actor"))
+    return r.select(*S.EK, F.when(F.col("status_code") == 401, "discard").otherwise("retry").alias("action"), F.lit("ops").alias("actor"))
 
 
 @query(
@@ -1158,6 +1158,9 @@ from concord.sources.tables import TableStore, load_dimension  # noqa: E402
 from concord.streaming import apply as streaming  # noqa: E402
 
 
+FILES_PER_SLICE = 4
+
+
 def _fresh_dir(spark, label: str) -> str:
     import uuid
 
@@ -1165,14 +1168,16 @@ def _fresh_dir(spark, label: str) -> str:
 
 
 def _event_files(spark, sf, batches: int = 2) -> str:
-    """The change feed as event files, written in arrival order as a sequence of time slices."""
+    """The change feed as event files, written in arrival order as a sequence of time slices of FILES_PER_SLICE files each."""
     path = _fresh_dir(spark, "event-files")
-    events = X.change_events(spark, sf)
+    events = cut_lineage(X.change_events(spark, sf), "change-feed")
     span = events.agg(F.min("arrival_seq").alias("lo"), F.max("arrival_seq").alias("hi")).first()
     width = (span.hi - span.lo) // batches + 1
     for i in range(batches):
         low = span.lo + i * width
-        events.where(F.col("arrival_seq").between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(path)
+        # dealt by row, so that each slice has its files whatever its keys
+        rows = events.where(F.col("arrival_seq").between(low, low + width - 1)).repartition(FILES_PER_SLICE)
+        rows.write.mode("append").parquet(path)
     return path
 
 
@@ -1188,7 +1193,7 @@ def _(spark, sf):
     store = TableStore(spark, _fresh_dir(spark, "state"), buckets=8)
     load_dimension(store, "policies", frame(spark, sf, "policies"))
     store.commit()
-    events = stream_files(spark, _event_files(spark, sf), files_per_trigger=1)
+    events = stream_files(spark, _event_files(spark, sf), files_per_trigger=FILES_PER_SLICE)
     streaming.apply_stream(events, store, _fresh_dir(spark, "offsets"), name="apply").awaitTermination()
     return _flat_records(store.read("canonical_records"))
 
@@ -1196,7 +1201,7 @@ def _(spark, sf):
 @query("stream_deduplicate", "SELECT DISTINCT tenant_id, source, event_id FROM {change_feed}")
 def _(spark, sf):
     out = _fresh_dir(spark, "unique")
-    events = streaming.deduplicate(stream_files(spark, _event_files(spark, sf), files_per_trigger=1)).select(*S.EK)
+    events = streaming.deduplicate(stream_files(spark, _event_files(spark, sf), files_per_trigger=FILES_PER_SLICE)).select(*S.EK)
     writer = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", _fresh_dir(spark, "offsets"))
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("tenant_id string, source string, event_id string").parquet(out)
@@ -1205,7 +1210,7 @@ def _(spark, sf):
 @query("stream_rates", "SELECT source, window_end, count(*) AS n, count(*) / 60.0e0 AS per_second FROM (SELECT source, date_trunc('minute', received_at) + INTERVAL '1' MINUTE AS window_end FROM {change_feed}) GROUP BY 1, 2")
 def _(spark, sf):
     out = _fresh_dir(spark, "rates")
-    events = stream_files(spark, _event_files(spark, sf), files_per_trigger=1)
+    events = stream_files(spark, _event_files(spark, sf), files_per_trigger=FILES_PER_SLICE)
     live = streaming.live_counts(events, "received_at", slide="1 minute", by=["source"])
 
     def keep(batch: DataFrame, _: int) -> None:
@@ -1248,13 +1253,13 @@ def _(spark, sf):
     return store.read("processed_events").select(*S.EK, F.col("entity_id").cast("bigint").alias("entity_id"))
 
 
-@query("event_sink_changes", "SELECT target, event_id, op, CASE target WHEN 'hubspot' THEN 'firstName' ELSE 'first_name' END AS name_field FROM (SELECT event_id, op, target FROM {serial_run} WHERE op IN ('create', 'update'))", recursive=True)
+@query("event_sink_changes", "SELECT target, event_id, op, CASE WHEN op = 'delete' THEN NULL WHEN target = 'hubspot' THEN 'firstName' ELSE 'first_name' END AS name_field FROM (SELECT event_id, op, target FROM {serial_run} WHERE op IN ('create', 'update', 'delete'))", recursive=True)
 def _(spark, sf):
     from concord.sources.events import write_changes
 
     out = _fresh_dir(spark, "changes")
     write_changes(_replayed(spark, sf).changes, out)
-    back = spark.read.schema("event_id string, op string, payload string, target string").parquet(out).where("op <> 'delete'")
+    back = spark.read.schema("event_id string, op string, payload string, target string").parquet(out)
     keys = F.map_keys(F.from_json("payload", "map<string,string>"))
     name = F.filter(keys, lambda k: k.isin("firstName", "first_name"))
     return back.select("target", "event_id", "op", F.get(name, F.lit(0)).alias("name_field"))

@@ -84,11 +84,11 @@ CONFLICT = (
 )
 CONFLICT_KEY = ["tenant_id", "entity_type", "entity_id", "source_a", "source_b", "version_a", "version_b"]
 RETRY = (
-    "tenant_id string, event_id string, attempt int, max_attempts int, next_attempt_at timestamp_ntz, "
+    "tenant_id string, source string, event_id string, attempt int, max_attempts int, next_attempt_at timestamp_ntz, "
     "last_error string, error_class string, state string, updated_at timestamp_ntz"
 )
 DEAD_LETTER = (
-    "tenant_id string, event_id string, reason string, error_class string, payload string, status string, "
+    "tenant_id string, source string, event_id string, reason string, error_class string, payload string, status string, "
     "created_at timestamp_ntz, resolved_at timestamp_ntz"
 )
 WRITE_RESULT = (

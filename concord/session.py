@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Dimension tables (policies, connections, tenants) are broadcast only when a
 # count proves they stay below this many rows; above it Spark shuffles.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def build_session(app: str = "concord", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,8 +59,22 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only if it is proven to be small."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a dimension for broadcast only if it is proven to be small. It is evaluated once: what is measured and
+    broadcast is a stored copy."""
+    stored = cut_lineage(df, "dimension")
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns])))), F.lit(0))
+    found = stored.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    return F.broadcast(stored) if found.n <= max_rows and found.bytes <= max_bytes else stored
+
+
+def numbered(df: DataFrame, *order: str, name: str = "arrival_seq") -> DataFrame:
+    """Add numbers that rise in the given order over the whole table: rows are dealt by range and sorted inside their
+    partition, so no single task sees them all. Stored, so that the numbers stay as they are."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(dealt.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def utc_now():
+    """Now as a UTC wall clock, whatever the session's zone is."""
+    return F.expr("convert_timezone(current_timezone(), 'UTC', localtimestamp())")

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concord import schemas as S
+from concord.session import cut_lineage, utc_now
 
 BUCKETS = 64
 # Table -> (schema, key columns, bucket columns). Append-only tables have no key.
@@ -25,8 +26,8 @@ TABLES: dict[str, tuple[str, list[str], list[str]]] = {
     "processed_events": (S.PROCESSED, S.EK, S.EK),
     "source_events": (S.SOURCE_EVENT, S.EK, S.EK),
     "conflicts": (S.CONFLICT, S.CONFLICT_KEY, ["tenant_id", "entity_id"]),
-    "retry_queue": (S.RETRY, ["tenant_id", "event_id"], ["tenant_id", "event_id"]),
-    "dead_letter": (S.DEAD_LETTER, ["tenant_id", "event_id"], ["tenant_id", "event_id"]),
+    "retry_queue": (S.RETRY, S.EK, S.EK),
+    "dead_letter": (S.DEAD_LETTER, S.EK, S.EK),
     "runs": (S.RUN, ["run_id"], ["run_id"]),
     "findings": (S.FINDING, ["run_id", "kind", "provider_id"], ["run_id", "provider_id"]),
     "sync_jobs": (S.SYNC_JOB, ["job_id"], ["job_id"]),
@@ -122,6 +123,7 @@ class TableStore:
         """Insert or overwrite by key. `rows` holds at most one row per key."""
         schema, key, _ = TABLES[table]
         cols = self._columns(table)
+        rows = cut_lineage(rows.select(*cols), "upserted")
         touched = self._touched(table, rows)
         old = self.read_buckets(table, touched)
         both = old.select(*cols).withColumn("_new", F.lit(0)).unionByName(rows.select(*cols).withColumn("_new", F.lit(1)))
@@ -131,8 +133,13 @@ class TableStore:
         self._stage(table, self._write(table, merged), touched)
 
     def insert_absent(self, table: str, rows: DataFrame) -> DataFrame:
-        """Add rows whose key is not stored yet; stored rows stand. Returns the rows added."""
+        """Add rows whose key is not stored yet; stored rows stand. Of rows with one key in the input the least stands.
+        Returns the rows added."""
         _, key, _ = TABLES[table]
+        rest = F.struct(*[c for c in self._columns(table) if c not in key])
+        # Maps have no order, their JSON text has.
+        rows = rows.groupBy(*key).agg(F.min_by(rest, F.to_json(rest)).alias("r")).select(*key, "r.*")
+        rows = cut_lineage(rows, "offered")
         touched = self._touched(table, rows)
         known = self.read_buckets(table, touched).select(*key)
         new = rows.select(*self._columns(table)).join(known, key, "left_anti")
@@ -211,7 +218,7 @@ def load_dimension(store: TableStore, table: str, rows: DataFrame) -> DataFrame:
     return added.unionByName(clashes)
 
 
-def persist_replay(store: TableStore, result, stream: str | None = None, batch_id: int | None = None) -> int:
+def persist_replay(store: TableStore, result, stream: str | None = None, batch_id: int | None = None, now: Column | None = None) -> int:
     """Write everything a replay decided and publish it as one version.
 
     Claims are written only for events that reached a final outcome; failed ones become retry
@@ -226,9 +233,11 @@ def persist_replay(store: TableStore, result, stream: str | None = None, batch_i
     store.append("changes", result.changes)
     store.insert_absent("processed_events", result.claims)
     store.insert_absent("conflicts", result.conflicts.withColumns({"resolved_by": none, "resolved_at": none.cast("timestamp_ntz")}))
-    now = F.localtimestamp()
-    retries, dead = failures.first_failure(result.failures, now)
-    retries, dead = (d.dropDuplicates(["tenant_id", "event_id"]) for d in (retries, dead))
+    now = utc_now() if now is None else now
+    # Of repeated deliveries of one event the first stands.
+    first = F.min_by(F.struct("kind", "message", "state"), F.struct("arrival_seq", "delivery")).alias("f")
+    once = result.failures.groupBy(*S.EK).agg(first).select(*S.EK, "f.*")
+    retries, dead = failures.first_failure(cut_lineage(once, "failures"), now)
     if retries.limit(1).count():
         store.replace("retry_queue", failures.enqueue(store.read("retry_queue"), retries))
     if dead.limit(1).count():

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from concord.operators.replay import replay
 from concord.schemas import EK, EVENT
+from concord.session import cut_lineage, numbered, utc_now
 from concord.sources.tables import TableStore, persist_replay
 
 
@@ -47,31 +48,36 @@ def bury_poison(store: TableStore, poison: DataFrame) -> None:
 
     rows = poison.select(
         F.coalesce("tenant_id", F.lit("")).alias("tenant_id"),
+        F.coalesce("source", F.lit("")).alias("source"),
         F.sha2("poison", 256).alias("event_id"),
         F.lit("undecodable message").alias("reason"),
         F.lit("SCHEMA_ERROR").alias("error_class"),
         F.col("poison").alias("payload"),
     )
     if rows.limit(1).count():
-        store.replace("dead_letter", failures.bury(store.read("dead_letter"), rows, F.localtimestamp()))
+        store.replace("dead_letter", failures.bury(store.read("dead_letter"), rows, utc_now()))
 
 
 def retry_due(store: TableStore, now, limit: int | None = None, **options) -> int:
-    """One round over the due retries: replay their events, then settle the queue and letters."""
+    """One round over the due retries: replay their events, then settle the queue and letters.
+
+    Events apply in the order of their due times, and at one time in the order in which they arrived first. All due
+    entries are taken unless `limit` asks for a page of them.
+    """
     from concord.operators import failures
 
-    due = failures.due(store.read("retry_queue"), now, limit)
-    events = due.select(F.from_json("state", EVENT).alias("e"), "attempt").select("e.*").where("event_id is not null")
-    events = events.withColumns({"arrival_seq": F.xxhash64(*EK), "delivery": F.lit(1)})
+    queue = store.read("retry_queue")
+    due = cut_lineage(failures.all_due(queue, now) if limit is None else failures.due(queue, now, limit), "due")
+    events = due.select(F.from_json("state", EVENT).alias("e"), "next_attempt_at").select("e.*", "next_attempt_at")
+    events = events.where("event_id is not null").withColumnRenamed("arrival_seq", "arrived").drop("delivery")
+    events = numbered(events, "next_attempt_at", "arrived", *EK).drop("next_attempt_at", "arrived").withColumn("delivery", F.lit(1))
     result = replay(
         events, store.read("canonical_records"), store.read("policies"), outbound=store.read("outbound_writes"), processed=store.read("processed_events"), **options
     )
-    failed = result.failures.select("tenant_id", "event_id", "kind", "message")
-    attempts = due.join(failed, ["tenant_id", "event_id"], "left").withColumn("hint", F.lit(0))
+    failed = result.failures.select(*EK, "kind", "message")
+    attempts = due.join(failed, EK, "left").withColumn("hint", F.lit(0))
     queue, letters = failures.settle(store.read("retry_queue"), store.read("dead_letter"), failures.retry_outcome(attempts, now), now)
     quiet = result.__class__(**{**result.__dict__, "failures": result.failures.where(F.lit(False))})
-    from concord.session import cut_lineage
-
     queue, letters = cut_lineage(queue, "queue"), cut_lineage(letters, "letters")
     store.replace("retry_queue", queue)
     store.replace("dead_letter", letters)

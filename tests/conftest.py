@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     s = build_session(
         "concord-tests",
-        "local[8]",
+        os.environ.get("TEST_MASTER", "local[8]"),
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")),

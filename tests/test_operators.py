@@ -96,7 +96,7 @@ def letters(spark, rows=()):
 
 
 def failed(spark, kind, message="boom", eid="e1"):
-    return spark.createDataFrame([("t0", eid, kind, message, json.dumps({"event_id": eid}), 0)], "tenant_id string, event_id string, kind string, message string, state string, hint int")
+    return spark.createDataFrame([("t0", "salesforce", eid, kind, message, json.dumps({"event_id": eid}), 0)], "tenant_id string, source string, event_id string, kind string, message string, state string, hint int")
 
 
 def attempts(df, kind, message="boom"):
@@ -119,7 +119,7 @@ def test_schema_error_goes_to_dead_letters_and_is_discarded(spark):
     assert retries.count() == 0
     d = failures.bury(letters(spark), dead, now())
     assert [(r.status, r.error_class) for r in d.collect()] == [("open", "SCHEMA_ERROR")]
-    decisions = spark.createDataFrame([("t0", "e1", "discard", "ops")], "tenant_id string, event_id string, action string, actor string")
+    decisions = spark.createDataFrame([("t0", "salesforce", "e1", "discard", "ops")], "tenant_id string, source string, event_id string, action string, actor string")
     d, entries, audit = failures.decide_letters(d, decisions, now())
     assert [r.status for r in d.collect()] == ["discarded"] and entries.count() == 0
     assert [(r.action, r.actor) for r in audit.collect()] == [("dlq.discard", "ops")]
@@ -127,28 +127,28 @@ def test_schema_error_goes_to_dead_letters_and_is_discarded(spark):
 
 
 def test_exhaustion_then_replay(spark):
-    row = ("t0", "e1", 7, 8, T0, "x", "TRANSIENT", '{"event_id":"e1"}', T0)
+    row = ("t0", "salesforce", "e1", 7, 8, T0, "x", "TRANSIENT", '{"event_id":"e1"}', T0)
     q = queue(spark, [row])
     q, d = failures.settle(q, letters(spark), failures.retry_outcome(attempts(q, "TRANSIENT"), now()), now())
     assert q.count() == 0 and [r.status for r in d.collect()] == ["open"]
-    decisions = spark.createDataFrame([("t0", "e1", "retry", "ops")], "tenant_id string, event_id string, action string, actor string")
+    decisions = spark.createDataFrame([("t0", "salesforce", "e1", "retry", "ops")], "tenant_id string, source string, event_id string, action string, actor string")
     d, entries, _ = failures.decide_letters(d, decisions, now())
     q = failures.enqueue(q, entries)
     assert [(r.status) for r in d.collect()] == ["retrying"] and [r.attempt for r in q.collect()] == [1]
     q, d = failures.settle(q, d, failures.retry_outcome(attempts(q, None), now()), now())
     assert q.count() == 0 and [r.status for r in d.collect()] == ["resolved"]
-    again = failures.bury(d, failed(spark, "X").selectExpr("tenant_id", "event_id", "'again' as reason", "'X' as error_class", "state as payload"), now())
+    again = failures.bury(d, failed(spark, "X").selectExpr("tenant_id", "source", "event_id", "'again' as reason", "'X' as error_class", "state as payload"), now())
     assert [(r.status, r.reason, r.resolved_at) for r in again.collect()] == [("open", "again", None)]
 
 
 def test_corrupt_state_is_dead_lettered(spark):
-    q = queue(spark, [("t0", "e1", 1, 8, T0, "x", "TRANSIENT", "{oops", T0)])
+    q = queue(spark, [("t0", "salesforce", "e1", 1, 8, T0, "x", "TRANSIENT", "{oops", T0)])
     r = failures.retry_outcome(attempts(q, None), now()).first()
     assert (r.decision, r.final_class, r.final_reason) == ("dead_letter", "SCHEMA_ERROR", "corrupt retry state")
 
 
 def test_due_order_and_limit(spark):
-    q = queue(spark, [("t0", f"e{i}", 1, 8, minutes(9 - i), "x", "T", "{}", T0) for i in range(10)])
+    q = queue(spark, [("t0", "salesforce", f"e{i}", 1, 8, minutes(9 - i), "x", "T", "{}", T0) for i in range(10)])
     at = F.lit(minutes(5)).cast("timestamp_ntz")
     assert [r.event_id for r in failures.due(q, at, 3).collect()] == ["e9", "e8", "e7"]
 
