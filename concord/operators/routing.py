@@ -40,6 +40,7 @@ def route(events: DataFrame, policies: DataFrame, connections: DataFrame | None
 
     Static outcomes depend on the event alone: `failed` (no connection or adapter, missing fields,
     failed validation) or `no_policy`. They take no claim, so every delivery gets the same answer.
+    Events that adopt a reconcile finding need no policy: without one they change the record and go nowhere.
     """
     fields = F.col("payload.fields")
     out = events.withColumn("provider_entity_type", F.col("entity_type")).withColumn("entity_type", canonical_type(F.col("source")))
@@ -52,15 +53,25 @@ def route(events: DataFrame, policies: DataFrame, connections: DataFrame | None
     upsert = F.col("event_type") != "deleted"
     empty = F.coalesce(F.size(fields) <= 0, F.lit(True))
     forced = F.coalesce(F.col("provenance.resolved_conflict_id"), F.lit("")) != ""
+    adopts = F.coalesce(F.col("provenance.reconcile_finding_id"), F.lit("")) != ""
     invalid = missing_field(F.col("source"), fields)
     error = (
         F.when(no_connection, _error("UNKNOWN", F.lit("not found")))
-        .when(F.col("dests").isNull(), F.lit(None))
+        .when(F.col("dests").isNull() & ~adopts, F.lit(None))
         .when(upsert & empty, _error("SCHEMA_ERROR", F.lit("event payload missing fields")))
         .when(upsert & ~forced & invalid.isNotNull(), _error("SCHEMA_ERROR", invalid))
     )
-    return out.withColumn("error", error).withColumn(
-        "static_outcome", F.when(F.col("error").isNotNull(), "failed").when(F.col("dests").isNull(), "no_policy")
+    nowhere = F.col("dests").isNull()
+    out = out.withColumn("error", error).withColumn(
+        "static_outcome", F.when(F.col("error").isNotNull(), "failed").when(nowhere & ~adopts, "no_policy")
+    )
+    none = F.expr("cast(array() as array<struct<target:string,delete_policy:string>>)")
+    return out.withColumns(
+        {
+            "dests": F.when(nowhere & adopts, none).otherwise(F.col("dests")),
+            "strategy": F.when(nowhere & adopts, "last_write_wins").otherwise(F.col("strategy")),
+            "priority": F.when(nowhere & adopts, F.lit(100)).otherwise(F.col("priority")),
+        }
     )
 
 

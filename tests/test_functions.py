@@ -118,6 +118,12 @@ H = dt.timedelta(hours=1)
         ("source_priority", T0, 100, T0, 100, "a"),
         ("manual", T0, 100, T0 + H, 100, ""),
         ("whatever", T0, 100, T0 + H, 1, "a"),
+        # a missing time is before all others and equal to itself
+        ("last_write_wins", None, 1, T0, 100, "b"),
+        ("last_write_wins", T0, 100, None, 1, "a"),
+        ("last_write_wins", None, 100, None, 1, "b"),
+        ("field_merge", None, 100, None, 100, "a"),
+        ("source_priority", None, 100, T0, 100, "b"),
     ],
 )
 def test_winning_side(spark, strategy, occ_a, prio_a, occ_b, prio_b, side):

@@ -53,7 +53,10 @@ def acks(spark, d, stored=None):
 
 
 def test_accept_reasons(spark):
-    _, got = acks(spark, deliveries(spark, [body(), body(), body(event_id="e2", entity_id=""), "{oops", "[]"]))
+    times = [body(event_id="e3", occurred_at="yesterday"), body(event_id="e4", occurred_at=None), body(event_id="e5", occurred_at="")]
+    _, got = acks(spark, deliveries(spark, [body(), body(), body(event_id="e2", entity_id=""), "{oops", "[]", *times]))
+    assert got[5:] == [("rejected", "malformed webhook payload"), ("received", None), ("rejected", "malformed webhook payload")]
+    got = got[:5]
     assert got == [
         ("received", None), ("duplicate", None), ("rejected", "missing entity_type/entity_id"), ("rejected", "malformed webhook payload"),
         ("rejected", "malformed webhook payload"),
@@ -181,6 +184,26 @@ def test_full_sync_resumes_exactly_once(spark):
     assert (dead.event_id, dead.error_class) == ("jobsync:j1:s9", "SCHEMA_ERROR")
 
 
+def test_full_sync_applies_by_id(spark):
+    rows = [("t0", f"s{i}", 1, False, good("same", first=f"F{i}")) for i in (4, 2, 5, 0, 3, 1)]
+    events = fullsync.to_events(fullsync.examine(snap(spark, rows), F.col("tenant_id"), "salesforce"), F.lit("j1"), now())
+    assert [r.entity_id for r in events.orderBy("arrival_seq").collect()] == [f"s{i}" for i in range(6)]
+    r = replay(events, spark.createDataFrame([], S.CANONICAL), spark.createDataFrame(policies(), S.POLICY))
+    assert [k for k in record_map(r)] == [("t0", "s0")]
+
+
+def test_finding_is_adopted_without_a_policy(spark):
+    from concord.operators.routing import route
+
+    e = event(1, "salesforce", "s1")
+    e["provenance"] = {**(e.get("provenance") or {}), "reconcile_finding_id": "f1"}
+    plain = event(2, "salesforce", "s2")
+    out = route(spark.createDataFrame([e, plain], S.EVENT), spark.createDataFrame([], S.POLICY)).orderBy("arrival_seq").collect()
+    assert [(r.static_outcome, r.dests) for r in out] == [(None, []), ("no_policy", None)]
+    r = replay(spark.createDataFrame([e], S.EVENT), spark.createDataFrame([], S.CANONICAL), spark.createDataFrame([], S.POLICY))
+    assert len(record_map(r)) == 1 and r.changes.count() == 0
+
+
 @pytest.fixture(scope="module")
 def synced(spark):
     ev = [event(i, "salesforce", f"s{i}", "created", last_name="L", first_name="A", phone="1", company="C") for i in range(1, 5)]

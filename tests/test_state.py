@@ -132,6 +132,15 @@ def test_unresolvable_connection_is_retried_then_applied(spark, tmp_path):
     assert store.read("changes").count() == 1
 
 
+def test_one_event_id_of_two_sources_is_kept_twice(spark, tmp_path):
+    store = new_store(spark, tmp_path)
+    rows = [event(i, source, "x1", eid="same") for i, source in ((1, "salesforce"), (2, "hubspot"))]
+    nothing = spark.createDataFrame([], S.CONNECTION)
+    ev = spark.createDataFrame(rows, S.EVENT)
+    persist_replay(store, replay(ev, store.read("canonical_records"), store.read("policies"), connections=nothing))
+    assert sorted(r.source for r in store.read("retry_queue").collect()) == ["hubspot", "salesforce"]
+
+
 def test_poison_messages_are_durable(spark, tmp_path):
     store = new_store(spark, tmp_path)
     good = json.dumps({k: v for k, v in event(1, "salesforce", "s1").items() if k not in ("arrival_seq", "delivery")}, default=str).replace(" 00:", "T00:")
