@@ -6,7 +6,8 @@ character trigram model, found by Viterbi decoding, is the restored word. The mo
 words of all documents.
 
 Scores come from words and beginnings of words of the restored text, with weights fitted to a bounded number of
-labelled documents.
+labelled documents in which both classes weigh the same. A feature counts by the logarithm of the number of distinct words
+that have it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from concord.session import cut_lineage
 #: Labelled documents of each class that weights are fitted to, features looked at, and documents a feature must have.
 SAMPLE, FEATURES, LEAST = 20_000, 5_000, 3
 #: Lengths of word beginnings that are features, the share above which a text is predicted toxic, and words remembered.
-BEGINNINGS, THRESHOLD, REMEMBERED = (4, 5, 6), 0.7, 400_000
+BEGINNINGS, THRESHOLD, REMEMBERED = (4, 5, 6, 7, 8), 0.7, 400_000
 
 #: What a sign may stand for.
 SIGNS = {
@@ -162,12 +163,16 @@ class Present(dict):
         self[token] = found
         return found
 
-    def in_text(self, text: str) -> list[int]:
+    def in_text(self, text: str) -> Counter:
+        """How many distinct tokens have each feature."""
         tokens = text.lower().split()
-        found = set().union(*map(self.__getitem__, set(tokens)))
+        found: Counter = Counter()
+        for numbers in map(self.__getitem__, set(tokens)):
+            if numbers:
+                found.update(numbers)
         for word in self.restore.drawn_apart(tokens):
-            found |= self.of(word)
-        return sorted(found)
+            found.update(self.of(word))
+        return found
 
 
 def beginnings(word: str) -> list[str]:
@@ -200,18 +205,26 @@ def restorer_model(texts: DataFrame) -> dict[str, int]:
     return dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
-def fit_weights(rows: list[list[int]], labels: np.ndarray, n: int, rounds: int = 800, sparse: float = 5e-5) -> tuple[np.ndarray, float]:
-    """Logistic weights of n features that are present or not, drawn to zero; the bias comes last."""
-    w, bias = np.zeros(n), math.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
+def size(count):
+    return np.log2(1.0 + np.asarray(count))
+
+
+def fit_weights(
+    rows: list[list[int]], counts: list[list[int]], labels: np.ndarray, n: int, rounds: int = 800, sparse: float = 4e-5
+) -> tuple[np.ndarray, float]:
+    """Logistic weights of n features, drawn to zero, and a bias; both classes weigh the same."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate([np.array(r, np.int64) for r in rows]) if len(at) else np.zeros(0, np.int64)
-    present = np.bincount(flat, minlength=n) + 1.0
-    rate = 4.0 * len(rows) / (present * max(1.0, len(flat) / max(1, len(rows))))
+    value = size(np.concatenate([np.array(c, np.int64) for c in counts])) if len(at) else np.zeros(0)
+    share = labels.mean()
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / len(rows)
+    w, bias = np.zeros(n), 0.0
+    rate = 4.0 * len(rows) / ((np.bincount(flat, value * value * weight[at] * len(rows), n) + 1) * max(1.0, len(flat) / len(rows)))
     momentum = w.copy()
     for t in range(rounds):
-        guess = 1 / (1 + np.exp(-np.clip(np.bincount(at, momentum[flat], len(rows)) + bias, -30, 30)))
-        error = (guess - labels) / len(rows)
-        step = momentum - rate * np.bincount(flat, error[at], n)
+        guess = 1 / (1 + np.exp(-np.clip(np.bincount(at, momentum[flat] * value, len(rows)) + bias, -30, 30)))
+        error = (guess - labels) * weight
+        step = momentum - rate * np.bincount(flat, error[at] * value, n)
         fresh = np.sign(step) * np.maximum(0, np.abs(step) - sparse * np.minimum(rate, 50.0))
         momentum, w = fresh + t / (t + 3) * (fresh - w), fresh
         bias -= 2.0 * error.sum()
@@ -267,12 +280,13 @@ def toxicity(
         present = Present(Restorer(model.value), number)
         for batch in batches:
             found = [present.in_text(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "y"])
+            lists = [pa.array([list(part) for part in c], pa.list_(pa.int32())) for c in (found, [f.values() for f in found])]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], ["found", "counts", "y"])
 
-    seen = fitted.mapInArrow(read, "found array<int>, y int").toArrow()
+    seen = fitted.mapInArrow(read, "found array<int>, counts array<int>, y int").toArrow()
     y = seen["y"].to_numpy().astype(float)
     if clean and toxic:
-        weights, bias = fit_weights(seen["found"].to_pylist(), y, len(number))
+        weights, bias = fit_weights(seen["found"].to_pylist(), seen["counts"].to_pylist(), y, len(number))
     else:
         share = min(max(toxic / max(1, clean + toxic), 1e-9), 1 - 1e-9)
         weights, bias = np.zeros(len(number)), math.log(share / (1 - share))
@@ -283,7 +297,10 @@ def toxicity(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Present(Restorer(model.value), order)
         for batch in batches:
-            totals = [bias + values[present.in_text(t.as_py())].sum() for t in batch.column(1)]
+            totals = []
+            for value in batch.column(1):
+                found = present.in_text(value.as_py())
+                totals.append(bias + values[list(found)] @ size(list(found.values())) if found else bias)
             score = 1 / (1 + np.exp(-np.clip(np.array(totals, float), -500, 500)))
             predicted = (score >= THRESHOLD).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(predicted)], ["id", "score", "predicted"])
