@@ -31,8 +31,8 @@ from concord.session import cut_lineage
 #: tile, rows up to which a stored table is broadcast.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 16_384
 BLOCK, BROADCAST_ROWS = 1000, 400_000
-#: Partners that a set is held against in the first search of its tile; each further search of the tile takes this many times more.
-PARTNERS = 16
+#: Partners that a set is held against in the first search of its tile, and how many times more in each further one.
+PARTNERS, MORE = 4, 16
 #: Bytes worked on at once; it bounds the scratch arrays of a task.
 SLICE = 2 << 20
 
@@ -245,7 +245,7 @@ def near_duplicates(
     members = rows.where("n > 0").select(F.explode("tiles").alias("tile"), "c")
     tiles = members.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top")
     tiles = cut_lineage(tiles.select("tile", "low"), "tiles")
-    members = cut_lineage(members.join(sized(tiles, BROADCAST_ROWS), "tile").select("tile", "low", "c").distinct(), "tile-members")
+    members = cut_lineage(members.join(tiles, "tile").select("tile", "low", "c").distinct(), "tile-members")
 
     # the sets of the classes that share a tile with another
     classes = cut_lineage(members.select("c").distinct(), "classes")
@@ -300,7 +300,7 @@ def near_duplicates(
         roots = connected_components(seen.where("good"))
         # in all other tiles every pair that the bitmaps allow has been verified
         members = members.join(sized(cut_lineage(found.where("more").select("tile").distinct(), "tiles")), "tile", "left_semi")
-        most_partners *= PARTNERS
+        most_partners *= MORE
 
     least = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first"))
     least = least.join(roots, least.c == roots.node, "left").select("c", "first", F.coalesce("root", "c").alias("root"))
