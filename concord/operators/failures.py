@@ -117,7 +117,7 @@ def retry_outcome(attempts: DataFrame, now: Column, fraction: Column | None = No
         "*",
         n.alias("n"),
         F.when(~readable, "SCHEMA_ERROR").otherwise(F.col("kind")).alias("final_class"),
-        F.when(~readable, "corrupt retry state").otherwise(F.col("message")).alias("final_reason"),
+        F.when(~readable, "unreadable retry entry").otherwise(F.col("message")).alias("final_reason"),
         F.when(F.col("decision") == "requeue", wait).alias("delay_s"),
         F.when(F.col("decision") == "requeue", after_seconds(now, wait)).alias("due_at"),
     )
@@ -187,7 +187,7 @@ def decide_letters(letters: DataFrame, decisions: DataFrame, now: Column, max_at
         F.lit(1).alias("attempt"),
         F.lit(max_attempts).alias("max_attempts"),
         now.alias("next_attempt_at"),
-        F.lit("manual replay from DLQ").alias("last_error"),
+        F.lit("replayed by an operator").alias("last_error"),
         "error_class",
         F.col("payload").alias("state"),
         now.alias("updated_at"),

@@ -95,7 +95,7 @@ def repairable(kind: Column, policy: Column) -> Column:
 
 
 def gate_reason(kind: Column, policy: Column) -> Column:
-    why = F.when(kind == "deleted", "deletes do not propagate").otherwise("external deletions are respected")
+    why = F.when(kind == "deleted", "deletes stay where they are").otherwise("the outside deletion stands")
     return F.concat(F.lit("delete_policy="), policy, F.lit(": "), why)
 
 
@@ -341,11 +341,11 @@ def decide_findings(stored: DataFrame, decisions: DataFrame) -> DataFrame:
     both = decisions.withColumnRenamed("direction", "override").join(stored, "finding_id", "left")
     wanted = F.nullif(F.col("override"), F.lit(""))
     problem = (
-        F.when(F.col("run_id").isNull(), "finding not found")
-        .when(F.col("status") != "pending", "finding is not pending")
+        F.when(F.col("run_id").isNull(), "unknown finding")
+        .when(F.col("status") != "pending", "already decided")
         .when(
             (F.col("action") == "apply") & wanted.isNotNull() & ~wanted.isin(*DIRECTIONS),
-            "direction must be push_canonical, adopt_provider, or delete",
+            "no such direction",
         )
     )
     return both.select(

@@ -58,7 +58,7 @@ def route(events: DataFrame, policies: DataFrame, connections: DataFrame | None
     error = (
         F.when(no_connection, _error("UNKNOWN", F.lit("not found")))
         .when(F.col("dests").isNull() & ~adopts, F.lit(None))
-        .when(upsert & empty, _error("SCHEMA_ERROR", F.lit("event payload missing fields")))
+        .when(upsert & empty, _error("SCHEMA_ERROR", F.lit("the payload has no fields")))
         .when(upsert & ~forced & invalid.isNotNull(), _error("SCHEMA_ERROR", invalid))
     )
     nowhere = F.col("dests").isNull()

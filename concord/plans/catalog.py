@@ -469,7 +469,7 @@ def _(spark, sf):
 @query(
     "retry_outcome",
     f"""SELECT event_id, d AS decision, attempt + 1 AS n, CASE WHEN lost THEN 'SCHEMA_ERROR' ELSE kind END AS final_class,
-        CASE WHEN lost THEN 'corrupt retry state' ELSE message END AS final_reason, CASE WHEN d = 'requeue' THEN {_delay('attempt + 1')} END AS delay_s
+        CASE WHEN lost THEN 'unreadable retry entry' ELSE message END AS final_reason, CASE WHEN d = 'requeue' THEN {_delay('attempt + 1')} END AS delay_s
         FROM (SELECT *, arrival_seq % 41 = 0 AS lost, CASE WHEN arrival_seq % 41 = 0 THEN 'dead_letter' WHEN kind IS NULL THEN 'succeeded'
               WHEN NOT ({_retry}) OR attempt + 1 >= max_attempts THEN 'dead_letter' ELSE 'requeue' END AS d FROM {{classified}})""",
 )
@@ -498,7 +498,7 @@ def _letters(spark, sf):
     "dead_letter_settle",
     """SELECT event_id, CASE WHEN decision = 'dead_letter' THEN 'open' WHEN decision = 'succeeded' AND arrival_seq % 3 <> 1 THEN 'resolved'
               ELSE CASE arrival_seq % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'discarded' ELSE 'resolved' END END AS status,
-       CASE WHEN decision <> 'dead_letter' THEN 'old' WHEN arrival_seq % 41 = 0 THEN 'corrupt retry state' ELSE message END AS reason FROM {settled}""",
+       CASE WHEN decision <> 'dead_letter' THEN 'old' WHEN arrival_seq % 41 = 0 THEN 'unreadable retry entry' ELSE message END AS reason FROM {settled}""",
 )
 def _(spark, sf):
     rows = _queue_rows(spark, sf)
@@ -617,7 +617,7 @@ def _(spark, sf):
 @query(
     "reconcile_findings",
     """SELECT run_id, kind, provider_id, canonical_id, provider_version, direction, CASE WHEN blocked THEN 'skipped' ELSE 'pending' END AS status,
-       CASE WHEN blocked THEN concat('delete_policy=', delete_policy, CASE kind WHEN 'deleted' THEN ': deletes do not propagate' ELSE ': external deletions are respected' END) END AS error FROM {found}""",
+       CASE WHEN blocked THEN concat('delete_policy=', delete_policy, CASE kind WHEN 'deleted' THEN ': deletes stay where they are' ELSE ': the outside deletion stands' END) END AS error FROM {found}""",
 )
 def _(spark, sf):
     return _findings(spark, sf).select("run_id", "kind", "provider_id", "canonical_id", "provider_version", "direction", "status", "error")
@@ -727,7 +727,7 @@ def _finding_decisions(f):
 
 @query(
     "finding_decide",
-    """SELECT run_id, kind, provider_id, CASE WHEN blocked THEN 'finding is not pending' WHEN provider_version % 4 = 2 THEN 'direction must be push_canonical, adopt_provider, or delete' END AS problem,
+    """SELECT run_id, kind, provider_id, CASE WHEN blocked THEN 'already decided' WHEN provider_version % 4 = 2 THEN 'no such direction' END AS problem,
        CASE provider_version % 4 WHEN 1 THEN 'adopt_provider' WHEN 2 THEN 'sideways' ELSE direction END AS direction FROM {found}""",
 )
 def _(spark, sf):

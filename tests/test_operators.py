@@ -147,7 +147,7 @@ def test_exhaustion_then_replay(spark):
 def test_corrupt_state_is_dead_lettered(spark):
     q = queue(spark, [("t0", "salesforce", "e1", 1, 8, T0, "x", "TRANSIENT", "{oops", T0)])
     r = failures.retry_outcome(attempts(q, None), now()).first()
-    assert (r.decision, r.final_class, r.final_reason) == ("dead_letter", "SCHEMA_ERROR", "corrupt retry state")
+    assert (r.decision, r.final_class, r.final_reason) == ("dead_letter", "SCHEMA_ERROR", "unreadable retry entry")
 
 
 def test_due_order_and_limit(spark):
@@ -240,7 +240,7 @@ def test_missing_is_recreated_only_when_deletes_are_ignored(spark, synced):
     _, runs, found, _ = sweep(spark, synced, delete_policy="ignore")
     status = {r.kind: (r.status, r.error) for r in found.collect()}
     assert status["missing"] == ("pending", None)
-    assert status["deleted"] == ("skipped", "delete_policy=ignore: deletes do not propagate")
+    assert status["deleted"] == ("skipped", "delete_policy=ignore: deletes stay where they are")
     ops = {r.provider_id: r.op for r in reconcile.push_repairs(found, runs, synced.canonical).collect()}
     assert sorted(ops.values()) == ["create", "update"]
 
@@ -255,8 +255,8 @@ def test_manual_mode_parks_everything_and_operator_decides(spark, synced):
     )
     decided = reconcile.decide_findings(found, decisions)
     got = {r.finding_id: (r.problem, r.direction) for r in decided.collect()}
-    assert got[by_kind["drift"]] == (None, "adopt_provider") and got["nope"][0] == "finding not found"
-    assert got[by_kind["deleted"]][0].startswith("direction must be") and got[by_kind["missed"]] == (None, "adopt_provider")
+    assert got[by_kind["drift"]] == (None, "adopt_provider") and got["nope"][0] == "unknown finding"
+    assert got[by_kind["deleted"]][0].startswith("no such direction") and got[by_kind["missed"]] == (None, "adopt_provider")
     adopted = replay(reconcile.adopt_events(decided.where("problem is null and action = 'apply'"), runs, now()), synced.canonical, pols, outbound=synced.outbound)
     rec = record_map(adopted)[("t0", "s1")]
     assert rec.fields.phone == "9" and rec.source_versions["salesforce"] == 2 and rec.field_provenance["phone"].priority == 100
