@@ -27,7 +27,7 @@ from concord.session import cut_lineage
 
 #: Bytes worked on at once, text for each shard, and repeated anchors that are broadcast (8 bytes each); more are joined.
 SLICE, SHARD_BYTES, BROADCAST_ROWS = 256 << 10, 4 << 20, 8_000_000
-#: Texts that may hold an anchor before it is dealt over all shards, and texts of one hash list from which on they are counted.
+#: Places that an anchor may have before it is dealt over all shards, and places in one hash list from which on they are counted.
 HOT, COUNTED = 20_000, 32
 #: Low bits of an anchor's hash are kept in the lists, the rest chooses the shard.
 KEPT_BYTES = 6
@@ -155,17 +155,20 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
         held, size = [], 0
 
         def packed() -> pa.RecordBatch:
-            distinct, count = np.unique(np.concatenate(held), return_counts=True)
+            hashes, places = (np.concatenate(c) for c in zip(*held, strict=True))
+            distinct, where, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            places = np.bincount(where, places).astype(np.int64)
             shard = ((distinct >> np.uint64(8 * KEPT_BYTES)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            distinct, count = distinct[order], count[order]
+            distinct, count, places = distinct[order], count[order], places[order]
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             rows = []
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
-                    part, n = distinct[a:b], count[a:b]
+                    part, n = distinct[a:b], places[a:b]
                     many = n >= COUNTED
-                    rows.append((s, np.repeat(part, np.minimum(n, 2)).tobytes(), np.stack([part[many], n[many].view(np.uint64)], 1).tobytes()))
+                    twice = np.repeat(part, np.minimum(count[a:b], 2))
+                    rows.append((s, twice.tobytes(), np.stack([part[many], n[many].view(np.uint64)], 1).tobytes()))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "many"])
 
@@ -176,7 +179,8 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
             order = np.lexsort((which, hashes))
             h, w = hashes[order], which[order]
             if len(h):
-                held.append(h[np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]])
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+                held.append((h[first], np.diff(np.r_[first, len(h)])))
             size += len(data)
             if size > 16 << 20 and held:
                 yield packed()
@@ -188,7 +192,7 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
         both, many = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("hashes", "many"))
         distinct, count = np.unique(both, return_counts=True)
         again = count > 1
-        # at most so many texts hold it
+        # it has at most so many places
         most = count * (COUNTED - 1)
         if len(distinct):
             np.add.at(most, np.searchsorted(distinct, many[0::2]), many[1::2].astype(np.int64))
@@ -199,12 +203,24 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
     return cut_lineage(lists.groupBy("shard").applyInArrow(twice, "h long, hot boolean"), "repeated-anchors")
 
 
-CONTEXT = "k long, id long, at long, h long, hot boolean, context binary"
+CONTEXT = "k long, id long, at binary, h long, hot boolean, context binary"
 
 
 def context_rows(k: np.ndarray, ids: np.ndarray, at: np.ndarray, h: np.ndarray, hot: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(c, np.int64)) for c in (k, ids, at, h)] + [pa.array(hot), pa.array(contexts, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["k", "id", "at", "h", "hot", "context"])
+    """One row for each text (key) and string, with all its places in the text, packed as 64-bit numbers."""
+    places: dict[tuple, list[int]] = {}
+    first = []
+    for i, (key, place) in enumerate(zip(zip(k.tolist(), contexts, strict=True), at.tolist(), strict=True)):
+        known = places.get(key)
+        if known is None:
+            places[key] = [place]
+            first.append(i)
+        else:
+            known.append(place)
+    columns = [pa.array(np.asarray(c, np.int64)[first]) for c in (k, ids, h)] + [pa.array(hot[first])]
+    packed = pa.array([np.array(p, np.int64).tobytes() for p in places.values()], pa.binary())
+    strings = pa.array([context for _, context in places], pa.binary())
+    return pa.RecordBatch.from_arrays([columns[0], columns[1], packed, *columns[2:], strings], ["k", "id", "at", "h", "hot", "context"])
 
 
 def contexts_by_broadcast(long: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
@@ -292,8 +308,8 @@ def repeated_spans(
         parts: list[tuple[np.ndarray, ...]] = []
         hot_names: dict[tuple, list] = {}
         for batch in batches:
-            k, ids, at, h, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            strings = batch.column(5).to_pylist()
+            k, ids, h, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            at, strings = batch.column(2).to_pylist(), batch.column(5).to_pylist()
             if hot.any():
                 chosen = np.flatnonzero(hot).tolist()
                 names = []
@@ -304,10 +320,16 @@ def repeated_spans(
                     entry[1] = min(entry[1], int(ids[i]))
                     entry[2] += 1
                     names.append(entry[0])
-                yield shard_output(k=k[chosen], id=ids[chosen], a=at[chosen], c=np.array(names, np.int64))
-            cold = np.flatnonzero(~hot)
-            index = [number.setdefault(strings[i], len(number)) for i in cold.tolist()]
-            parts.append((k[cold], ids[cold], at[cold], np.array(index, np.int64)))
+                n = [len(at[i]) // 8 for i in chosen]
+                yield shard_output(
+                    k=np.repeat(k[chosen], n), id=np.repeat(ids[chosen], n), a=np.frombuffer(b"".join(at[i] for i in chosen), np.int64),
+                    c=np.repeat(np.array(names, np.int64), n),
+                )
+            cold = np.flatnonzero(~hot).tolist()
+            index = np.array([number.setdefault(strings[i], len(number)) for i in cold], np.int64)
+            n = [len(at[i]) // 8 for i in cold]
+            places = np.frombuffer(b"".join(at[i] for i in cold), np.int64)
+            parts.append((np.repeat(k[cold], n), np.repeat(ids[cold], n), places, np.repeat(index, n)))
         if hot_names:
             yield shard_output(
                 c=[e[0] for e in hot_names.values()], h=[h for _, h in hot_names], id=[e[1] for e in hot_names.values()],
@@ -319,7 +341,9 @@ def repeated_spans(
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, index, ids)
         copies = np.bincount(index, minlength=len(number))
-        owner, a, b, low = judge(list(number), least, copies > 1, length)
+        most = np.full(len(number), np.iinfo(np.int64).min)
+        np.maximum.at(most, index, ids)
+        owner, a, b, low = judge(list(number), least, most > least, length)
         # every row of a string gets its stretches
         order = np.argsort(index, kind="stable")
         begin = np.cumsum(copies) - copies
@@ -347,7 +371,7 @@ def repeated_spans(
     size = long.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(shards, -(-size // SHARD_BYTES))
     # rows of hot anchors may go anywhere
-    target = F.when(F.col("hot"), F.xxhash64("k", "at")).otherwise(F.col("h"))
+    target = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("h"))
     out = held.repartition(shards, target).mapInArrow(
         sort_shard, "k long, id long, a long, b long, c long, h long, n long, context binary"
     )
