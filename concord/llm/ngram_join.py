@@ -31,6 +31,8 @@ from concord.session import cut_lineage
 #: tile, rows up to which a stored table is broadcast.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 16_384
 BLOCK, BROADCAST_ROWS = 1000, 400_000
+#: Tiles (two numbers each) up to which they are broadcast, so that only the members of shared tiles are shuffled.
+TILE_ROWS = 2_000_000
 #: Partners that a set is held against in the first search of its tile, and how many times more in each further one.
 PARTNERS, MORE = 4, 16
 #: Bytes worked on at once; it bounds the scratch arrays of a task.
@@ -245,7 +247,7 @@ def near_duplicates(
     members = rows.where("n > 0").select(F.explode("tiles").alias("tile"), "c")
     tiles = members.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top")
     tiles = cut_lineage(tiles.select("tile", "low"), "tiles")
-    members = cut_lineage(members.join(tiles, "tile").select("tile", "low", "c").distinct(), "tile-members")
+    members = cut_lineage(members.join(sized(tiles, TILE_ROWS), "tile").select("tile", "low", "c").distinct(), "tile-members")
 
     # the sets of the classes that share a tile with another
     classes = cut_lineage(members.select("c").distinct(), "classes")
