@@ -134,6 +134,12 @@ def tile_keys(sets: np.ndarray, at: np.ndarray, bands: Bands) -> list[np.ndarray
     return [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
 
 
+def class_of(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each whole set."""
+    sums = np.r_[np.uint64(0), np.cumsum(mix(sets ^ _LANE[63]))]
+    return mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
 def bitmap(members: np.ndarray) -> np.ndarray:
     size = LEAST_BITS
     while size < min(BITS_EACH * len(members), MOST_BITS):
@@ -205,17 +211,18 @@ def near_duplicates(
         for batch in slices(batches, SLICE):
             sets, at = shingle_sets(*flat(batch.column(1)), n)
             keys = tile_keys(sets, at, bands)
-            sums = np.r_[np.uint64(0), np.cumsum(mix(sets ^ _LANE[63]))]
-            whole = mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
-            columns = [batch.column(0), pa.array(np.diff(at)), pa.array(whole), lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "tiles"])
+            whole = class_of(sets, at)
+            bits = [bitmap(sets[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            columns = [batch.column(0), pa.array(np.diff(at)), pa.array(whole), lists(bits), lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "bits", "tiles"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
             sets, at = shingle_sets(*flat(batch.column(1)), n)
             members = [sets[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            columns = [batch.column(0), pa.array(np.diff(at)), lists([bitmap(m) for m in members]), lists(members)]
-            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "bits", "members"])
+            # rows that share an id may bring another text
+            own = pa.array(class_of(sets, at) == batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(members)], ["c", "members"]).filter(own)
 
     def pass_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,31 +250,37 @@ def near_duplicates(
         return inside
 
     texts = id_and_bytes(df, id_col, text_col)
-    rows = cut_lineage(texts.mapInArrow(describe, "id long, n long, c long, tiles array<long>"), "sets")
+    rows = cut_lineage(texts.mapInArrow(describe, "id long, n long, c long, bits array<long>, tiles array<long>"), "sets")
     members = rows.where("n > 0").select(F.explode("tiles").alias("tile"), "c")
     tiles = members.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top")
     tiles = cut_lineage(tiles.select("tile", "low"), "tiles")
     members = cut_lineage(members.join(sized(tiles, TILE_ROWS), "tile").select("tile", "low", "c").distinct(), "tile-members")
 
-    # the sets of the classes that share a tile with another
+    # the signatures of the classes that share a tile with another
     classes = cut_lineage(members.select("c").distinct(), "classes")
     named = rows.where("id is not null").join(sized(classes), "c").groupBy("c").agg(F.min("id").alias("id"))
     named = cut_lineage(named, "named-classes")
-    chosen = texts.join(sized(named), "id").select("c", "body").dropDuplicates(["c"])
-    sets = cut_lineage(chosen.mapInArrow(load, "c long, n long, bits array<long>, members array<long>"), "members")
+    signed = rows.join(sized(named), ["id", "c"]).select("c", "n", "bits").dropDuplicates(["c"])
+    signed = cut_lineage(signed, "signatures")
 
     # every class against the least class of its tiles
     stars = members.where("low <> c").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
-    left = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    left = signed.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = signed.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     pairs = stars.join(left, "a").join(right, "b").select("a", "b", "na", "xa", "nb", "xb")
     pairs = cut_lineage(pairs.mapInArrow(pass_bitmaps, "a long, b long"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+        wanted = cut_lineage(named.join(sized(cut_lineage(wanted, "wanted")), "c"), "wanted-ids")
+        chosen = texts.join(sized(wanted), "id").select("c", "body")
+        sets = chosen.mapInArrow(load, "c long, members array<long>").dropDuplicates(["c"])
+        sets = cut_lineage(sets, "members")
         pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
         pairs = pairs.join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
         return cut_lineage(pairs.mapInArrow(verify, "a long, b long, good boolean"), "verified")
 
+    # only what the bitmaps let pass is read as sets
     seen = verified(pairs)
     roots, most_partners = connected_components(seen.where("good")), PARTNERS
     while True:
@@ -292,13 +305,14 @@ def near_duplicates(
         low, high = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
         placed = placed.select("tile", "c", "root", low, high, side)
         refused = seen.where("not good").groupBy(F.least("a", "b").alias("c")).agg(F.collect_set(F.greatest("a", "b")).alias("refused"))
-        placed = placed.join(sets.select("c", "n", "bits"), "c").join(refused, "c", "left")
+        placed = placed.join(signed, "c").join(refused, "c", "left")
         placed = placed.select("tile", "i", "j", "side", "c", "root", "n", "bits", "refused")
         found = placed.groupBy("tile", "i", "j").applyInArrow(search(most_partners), "tile long, a long, b long, more boolean")
         found = cut_lineage(found, "candidates")
         if found.isEmpty():
             break
-        seen = cut_lineage(seen.union(verified(found.select("a", "b").distinct())), "seen")
+        pairs = cut_lineage(found.select("a", "b").distinct(), "pairs")
+        seen = cut_lineage(seen.union(verified(pairs)), "seen")
         roots = connected_components(seen.where("good"))
         # in all other tiles every pair that the bitmaps allow has been verified
         members = members.join(sized(cut_lineage(found.where("more").select("tile").distinct(), "tiles")), "tile", "left_semi")
