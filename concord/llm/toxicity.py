@@ -210,12 +210,11 @@ def size(count):
 
 
 def fit_weights(
-    rows: list[list[int]], counts: list[list[int]], labels: np.ndarray, n: int, rounds: int = 800, sparse: float = 4e-5
+    lengths: np.ndarray, flat: np.ndarray, counts: np.ndarray, labels: np.ndarray, n: int, rounds: int = 800, sparse: float = 4e-5
 ) -> tuple[np.ndarray, float]:
-    """Logistic weights of n features, drawn to zero, and a bias; both classes weigh the same."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate([np.array(r, np.int64) for r in rows]) if len(at) else np.zeros(0, np.int64)
-    value = size(np.concatenate([np.array(c, np.int64) for c in counts])) if len(at) else np.zeros(0)
+    """Logistic weights of n features, drawn to zero, and a bias; both classes weigh the same. Rows have `lengths` features each,
+    whose numbers and counts stand one behind the other."""
+    rows, at, value = lengths, np.repeat(np.arange(len(lengths)), lengths), size(counts)
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / len(rows)
     w, bias = np.zeros(n), 0.0
@@ -284,9 +283,11 @@ def toxicity(
             yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], ["found", "counts", "y"])
 
     seen = fitted.mapInArrow(read, "found array<int>, counts array<int>, y int").toArrow()
-    y = seen["y"].to_numpy().astype(float)
+    y, found = seen["y"].to_numpy().astype(float), seen["found"].combine_chunks()
     if clean and toxic:
-        weights, bias = fit_weights(seen["found"].to_pylist(), seen["counts"].to_pylist(), y, len(number))
+        weights, bias = fit_weights(
+            np.asarray(found.value_lengths()), np.asarray(found.flatten()), np.asarray(seen["counts"].combine_chunks().flatten()), y, len(number)
+        )
     else:
         share = min(max(toxic / max(1, clean + toxic), 1e-9), 1 - 1e-9)
         weights, bias = np.zeros(len(number)), math.log(share / (1 - share))
