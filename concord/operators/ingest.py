@@ -57,7 +57,7 @@ def resolve_tenant(deliveries: DataFrame, tenants: DataFrame, connections: DataF
     )
     return deliveries.join(
         small(tenants.select("tenant_id", F.col("slug").alias("tenant_slug"))), "tenant_slug", "left"
-    ).join(small(conn), ["tenant_id", "provider"], "left")
+    ).join(small(conn, store=False), ["tenant_id", "provider"], "left")
 
 
 def bad_time() -> Column:

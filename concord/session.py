@@ -59,10 +59,10 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, store: bool = True) -> DataFrame:
     """Mark a dimension for broadcast only if it is proven to be small. It is evaluated once: what is measured and
-    broadcast is a stored copy."""
-    stored = cut_lineage(df, "dimension")
+    broadcast is a stored copy. `store=False` keeps secrets off the disk and evaluates it twice."""
+    stored = cut_lineage(df, "dimension") if store else df
     size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns])))), F.lit(0))
     found = stored.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
     return F.broadcast(stored) if found.n <= max_rows and found.bytes <= max_bytes else stored
