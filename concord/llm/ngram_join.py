@@ -29,7 +29,7 @@ from concord.session import cut_lineage
 
 #: Bits of a bitmap signature for each element (a power of two at least, between these bounds), members of a block of a large
 #: tile, rows up to which a stored table is broadcast.
-BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 16_384
+BITS_EACH, LEAST_BITS, MOST_BITS = 1, 256, 16_384
 BLOCK, BROADCAST_ROWS = 1000, 400_000
 #: Tiles (two numbers each) up to which they are broadcast, so that only the members of shared tiles are shuffled.
 TILE_ROWS = 2_000_000
