@@ -5,8 +5,8 @@ looked up from its rarest term: its postings, moved back by the term's offset, a
 begin. They are intersected with the moved postings of the second rarest term, and what is left is held against all other
 terms. Proximity queries start from the rarest term in the same way.
 
-Rows are known by a hash of id and text, so that repeated rows share their (equal) postings and rows that share an id
-but not the text stay apart.
+Rows are known by a hash of id and text and indexed once, so that repeated rows share their postings and rows that share
+an id but not the text stay apart.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def build_index(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (tid, k, pos) of the given terms (term, tid), stored. One pass over the texts; positions count from 0."""
-    places = df.select(row_key(id_col, text_col).alias("k"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    """Postings (tid, k, pos) of the given terms (term, tid), stored. Each place is one posting, however often its row is
+    repeated; positions count from 0."""
+    rows = df.select(id_col, text_col).distinct()
+    places = rows.select(row_key(id_col, text_col).alias("k"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
     return cut_lineage(places.join(sized(terms), "term").select("tid", "k", "pos"), "postings")
 
 

@@ -58,6 +58,15 @@ def test_like_a_plain_search(spark, items):
     assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
 
 
+def test_repeated_rows_are_hit_like_single_ones(spark):
+    leak = f"{prose(40, 9)} {prose(2, 10)} {prose(41, 9)}"
+    rows = [(1, leak), (1, leak), (1, leak), (None, leak), (None, leak), (2, leak), (3, prose(42, 30)), (3, prose(42, 30))]
+    docs = documents(spark, rows)
+    out = sorted(map(tuple, contamination(docs, benchmark(spark, ITEMS)).collect()), key=str)
+    assert out == sorted(plain(rows, ITEMS), key=str) and sum(r[5] for r in out) == 6
+    assert [r.doc_id for r in without_benchmark(docs, benchmark(spark, ITEMS)).collect()] == [3, 3]
+
+
 def test_words_are_those_of_the_definition(spark):
     texts = ["A-b_c 1É é", None, "", "...", "ÄÖ\x7fx", "İ I ı"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
