@@ -182,8 +182,8 @@ def log_probability(keys: np.ndarray, model: tuple[dict, dict]) -> np.ndarray:
 
 
 def score(texts: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(k, total, n): sum of log probabilities and number of bytes of each text of (k, lang, body); total is null for
-    a language without a model."""
+    """(k, total, n): sum of log probabilities and number of bytes of each k of (k, lang, body), over all rows that share it;
+    total is null for a language without a model."""
     spark = texts.sparkSession
     probability, weights = (cut_lineage(m, "model") for m in model)
     shards = max(1, -(-(probability.count() + weights.count()) // SHARD_ROWS))
@@ -249,8 +249,8 @@ def classify(
     model = train(chosen.where(fold > 0))
     scores = cut_lineage(score(rows, model), "scores")
     known = rows.select("k", "id", "lang", F.length("body").cast("long").alias("n_bytes"))
-    known = cut_lineage(known.join(scores.drop("n"), "k", "left"), "scored").withColumn(
-        "loss", -F.col("total") / F.nullif(F.col("n_bytes"), F.lit(0))
+    known = cut_lineage(known.join(scores, "k", "left"), "scored").withColumn(
+        "loss", -F.col("total") / F.nullif(F.col("n"), F.lit(0))
     )
     held_out = known.join(good, "id", "left_semi").where((fold == 0) & F.col("loss").isNotNull())
     cuts = held_out.groupBy("lang").agg(F.percentile_approx("loss", F.array(F.lit(0.5), F.lit(quantile)), 10_000).alias("q"))

@@ -92,6 +92,22 @@ def test_junk_goes_and_good_text_stays(spark):
     assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in bad)
 
 
+def test_repeated_rows_count_like_single_ones(spark):
+    rows, _ = corpus()
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows[:200]], "doc_id long, quality int")
+    twice = [rows[i] for i in range(200, 240) for _ in range(3)] + [(None, rows[250][1])] * 2
+
+    def found(docs):
+        return {(r.doc_id, r.n_bytes): r for r in classify(documents(spark, docs), labels).collect()}
+
+    one, many = found([*rows, (None, rows[250][1])]), found([*rows, *twice])
+    assert one.keys() == many.keys()
+    for k, r in one.items():
+        assert abs(many[k].perplexity / r.perplexity - 1) < 1e-9 and (many[k].keep, many[k].threshold) == (r.keep, r.threshold)
+    assert many[None, len(rows[250][1].encode())].keep
+    assert sum(r.doc_id in range(200, 240) for r in keep_good(documents(spark, [*rows, *twice]), labels).collect()) == 4 * sum(one[k].keep for k in one if k[0] in range(200, 240))
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.keep for r in classify(documents(spark, [(1, "some text"), (2, None)]), none).collect()] == [True, True]
