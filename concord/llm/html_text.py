@@ -27,8 +27,10 @@ PATH, WORD, SHAPE = 256, 32, 8
 #: Blocks of one step of the network, at most (one page may have more).
 STEP_BLOCKS = 20_000
 
+#: Attributes up to the end of a self-closed tag; a slash at the end of a value without quotes belongs to the value.
+CLOSED = r"(?:\s+[^\s\"'=<>/]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?)*+\s*+/>"
 SPLIT = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|math|iframe|object)\b.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])(?!{CLOSED}).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^'\">])*|/)?)>|<[!?/][^>]*>",
     re.I | re.S,
 )
@@ -36,8 +38,14 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 PART = re.compile(r"[a-z]+")
 #: Tags that do not end a block; all others do.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta q rp rt ruby s samp "
-    "small source span strike strong sub sup time track tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i iframe img input ins kbd label mark math meta noscript object "
+    "q rp rt ruby s samp script small source span strike strong style sub sup svg time track tt u var wbr".split()
+)
+#: All tags inside drawings and formulas are inline, up to their end or the first tag that only a page can have.
+FOREIGN = frozenset(["svg", "math"])
+PAGE_TAGS = frozenset(
+    "article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre "
+    "section table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A new tag of the first kind closes open ones of the second at the end of the path.
@@ -70,6 +78,7 @@ def blocks(html: str) -> list[Block]:
     path: list[tuple[str, tuple[str, ...]]] = []
     texts: list[str] = []
     links = linked = at = 0
+    foreign = False
 
     def flush() -> None:
         nonlocal linked
@@ -95,6 +104,12 @@ def blocks(html: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        closed = not m[2] and m[4].endswith("/")
+        if tag in FOREIGN and not closed:
+            foreign = not m[2]
+        foreign = foreign and tag not in PAGE_TAGS
+        if foreign and tag not in INLINE or closed and tag == "template":
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m[2] else 1

@@ -23,6 +23,20 @@ def test_blocks():
     assert blocks("<p>" * 5000 + "x")[0].text == "x"
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<p>one <svg class="i"/> two</p><p>three</p><svg><path d="M0"/></svg>', ["one two", "three"]),
+    ('<p>one <svg viewBox="0"><g><path d="M0"/><text>label</text></g></svg> two</p><p>three', ["one label two", "three"]),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <math/> so</p><p>end", ["if x=1 then so", "end"]),
+    ('<object data="a"/><p>one</p><iframe src="a"/><p>two</p><template/><noscript/><p>three', ["one", "two", "three"]),
+    ("<p>one <object data=a>two</object> three <noscript>four</noscript></p>", ["one two three four"]),
+    ("<object-view><p>one</p></object-view><template-card>two</template-card><script-x>three</script-x><style-y>four", ["one", "two", "three", "four"]),
+    ("<p>one<svg><p>two<div>three</div>", ["one", "two", "three"]),
+    ('<script src="a.js"/><p>one</p><style/><p>two<script async src=http://a/>no</script><style >no</style><p>three<script>no', ["one", "two", "three"]),
+])
+def test_only_script_and_style_are_swallowed(html, want):
+    assert [b.text for b in blocks(html)] == want
+
+
 def test_gradients():
     """The way back through time against differences."""
     html_text_hidden = html_text.HIDDEN
