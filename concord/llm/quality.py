@@ -2,9 +2,10 @@
 
 Counts of the highest order come from all trusted texts, added up inside each task before they are shuffled. Lower orders
 are continuation counts of the next higher one, so all else is made by joins and sums over the count tables, which stay
-sharded. A model row holds the probability of an n-gram or the weight of a context. For scoring, the model is cut by
-language and by the byte before the scored one: all rows that one byte of text can need lie in one shard. A shard has a bounded
-number of rows and is broadcast; texts pass once for each shard, and the sums of log probabilities are added per document.
+sharded. A model row holds the probability of an n-gram or the weight of a context. For scoring, the model is cut into ranges
+of language and context (the nearest byte first) at measured quantiles: all rows that one byte of text can need lie in one
+shard. A shard has a bounded number of rows, however frequent a byte is; the driver reads and broadcasts one at a time. Texts
+pass once for each shard, and the sums of log probabilities are added per document.
 
 The perplexity of a text, shrunk towards the language's median for very short texts, is held against a quantile of trusted
 texts of the same language that were kept out of the counts.
@@ -181,31 +182,56 @@ def log_probability(keys: np.ndarray, model: tuple[dict, dict]) -> np.ndarray:
     return out
 
 
+def context_place(keys: np.ndarray) -> np.ndarray:
+    """Place of the context of a highest-order n-gram: by language, then by context bytes, the nearest one first."""
+    out = keys >> LANG_SHIFT
+    for back in range(1, ORDER):
+        out = (out << 8) | ((keys >> (8 * back)) & 255)
+    return out
+
+
+def first_place(lead: int) -> Column:
+    """The least place to which a model row (o, key) applies: the bytes it does not have are 0. Its context begins `lead`
+    bytes before the end of the key."""
+    out = F.shiftright("key", LANG_SHIFT)
+    for back in range(ORDER - 1):
+        byte = F.when(F.col("o") > back + 1, F.shiftright("key", 8 * (back + lead)).bitwiseAND(F.lit(255))).otherwise(0)
+        out = F.shiftleft(out, 8).bitwiseOR(byte)
+    return out
+
+
+def shard_cuts(placed: list[DataFrame]) -> list[int]:
+    """Places that cut the model tables (o, first, ...) into shards of at most SHARD_ROWS rows that start in them. Besides, a
+    shard needs the rows of the contexts around its lower end, at most 257 for each order."""
+    starts = placed[0].select("first").union(placed[1].select("first"))
+    total = starts.count()
+    if total <= SHARD_ROWS:
+        return []
+    # each cut may be off by a twentieth of a shard
+    shards = -(-total * 5 // (SHARD_ROWS * 4))
+    at = F.array(*[F.lit(i / shards) for i in range(1, shards)])
+    return sorted(set(starts.agg(F.percentile_approx("first", at, max(10_000, 20 * shards))).first()[0]) - {0})
+
+
 def score(texts: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(k, total, n): sum of log probabilities and number of bytes of each k of (k, lang, body), over all rows that share it;
     total is null for a language without a model."""
     spark = texts.sparkSession
-    probability, weights = (cut_lineage(m, "model") for m in model)
-    shards = max(1, -(-(probability.count() + weights.count()) // SHARD_ROWS))
-
-    def shard_of(before: Column, key: str) -> Column:
-        return F.pmod(F.shiftright(lang_part(key), LANG_SHIFT) * 31 + before * 7919, F.lit(shards))
-
-    before_gram = F.shiftright(F.col("key"), 8).bitwiseAND(F.lit(255))
-    before_context = F.col("key").bitwiseAND(F.lit(255))
+    placed = [cut_lineage(m.withColumn("first", first_place(lead)), "model") for m, lead in zip(model, (1, 0), strict=True)]
+    cuts = shard_cuts(placed)
     parts = []
-    for shard in range(shards):
-        mine = (F.col("o") == 1) | (shard_of(before_gram, "key") == shard)
-        mine_context = (F.col("o") == 1) | (shard_of(before_context, "key") == shard)
-        held = spark.sparkContext.broadcast((packed(probability.where(mine)), packed(weights.where(mine_context))))
+    for low, high in zip([0, *cuts], [*cuts, 1 << 52], strict=True):
+        applies = (F.col("first") < high) & (F.col("first") + F.expr(f"shiftleft(1L, 8 * ({ORDER} - o))") > low)
+        held = spark.sparkContext.broadcast(tuple(packed(m.where(applies).drop("first")) for m in placed))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, shard=shard) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, low=low, high=high) -> Iterator[pa.RecordBatch]:
             tables = held.value
             for batch in slices(batches, SLICE):
                 data, ends = flat(batch.column(2))
                 keys, text = grams(data, ends, batch.column(1).to_numpy())
-                if shards > 1:
-                    mine = (((keys >> LANG_SHIFT) & 0xFFFFF) * 31 + ((keys >> 8) & 255) * 7919) % shards == shard
+                if cuts:
+                    place = context_place(keys)
+                    mine = (place >= low) & (place < high)
                     keys, text = keys[mine], text[mine]
                 distinct, at = np.unique(keys, return_inverse=True)
                 logs = log_probability(distinct, tables)[at]

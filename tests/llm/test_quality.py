@@ -60,6 +60,27 @@ def test_like_dictionaries_with_one_shard_and_with_several(spark, monkeypatch):
         assert out[99].total is None
 
 
+def test_shards_are_bounded_after_a_frequent_byte(spark, monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)).encode()
+    frame = spark.createDataFrame([(7, text)], "lang long, body binary")
+    model, rows = train(frame), frame.selectExpr("1L AS k", "lang", "body")
+    want = score(rows, model).first().total
+    sizes, packed = [], quality.packed
+
+    def measured(table):
+        out = packed(table)
+        sizes.append(sum(len(keys) for keys, _ in out.values()))
+        return out
+
+    most = sum(m.count() for m in model) // 3
+    monkeypatch.setattr(quality, "packed", measured)
+    monkeypatch.setattr(quality, "SHARD_ROWS", most)
+    assert abs(score(rows, model).first().total / want - 1) < 1e-6
+    assert len(sizes) >= 6 and all(a + b <= most + 4 * 257 for a, b in zip(sizes[::2], sizes[1::2], strict=True))
+    assert max(a + b for a, b in zip(sizes[::2], sizes[1::2], strict=True)) < 1.2 * most
+
+
 def test_probabilities_add_up():
     p = plain_model([b"abracadabra", b"abba"])
     for context in (b"\0\0\0\0", b"cada", b"zzzz", b"abra"):
