@@ -3,11 +3,12 @@
 The automaton holds every run of words of all templates. Streaming a file through it gives the matching statistics: at
 each word the longest run ending there that some template holds. Runs that cannot be extended are matches; matches of
 one template that follow each other in file and template, with small gaps, are chained, and the share of the template
-that the best chain covers decides on a label and a span.
+that a chain covers decides on a label and a span. A notice that stands at several places has a span for each.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -157,7 +158,8 @@ class Automaton:
         return places, matches
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
-        """Best chain of each template: label, covered share, first word, word after the last."""
+        """Chains that cover enough of a template and do not overlap a better one of it: label, covered share, first word,
+        word after the last."""
         by_template = defaultdict(list)
         for at, size, state in matches:
             # the state may stand for shorter runs too; its end places hold the whole match
@@ -166,27 +168,49 @@ class Automaton:
         out = []
         for t, parts in by_template.items():
             label, numbers = self.templates[t]
-            parts.sort()
-            best: list[tuple[int, int]] = []  # covered words, first word of the chain
-            first = 0
-            top = (0, 0, 0)
-            for i, (a, b, c, d) in enumerate(parts):
-                while parts[first][1] + GAP + len(numbers) < a:
-                    first += 1
-                covered, start = b - a, a
-                for j in range(first, i):
-                    a2, b2, c2, d2 = parts[j]
-                    if a2 < a and c2 < c and b2 < b and d2 < d and a - b2 <= GAP and c - d2 <= GAP:
-                        gain = (b - a) - max(0, b2 - a, d2 - c)
-                        if best[j][0] + gain > covered:
-                            covered, start = best[j][0] + gain, best[j][1]
-                best.append((covered, start))
-                top = max(top, (covered, start, b))
-            if top[0] >= COVER * len(numbers):
-                out.append((label, min(1.0, top[0] / len(numbers)), top[1], top[2]))
+            least, found, waiting = COVER * len(numbers), [], [parts]
+            while waiting:
+                parts = sorted(waiting.pop())
+                if sum(b - a for a, b, _, _ in parts) < least:
+                    continue
+                taken: list[tuple[int, int, int]] = []  # first word, word after the last, covered words
+                for covered, start, stop in sorted(linked(parts, len(numbers)), reverse=True):
+                    if covered < least:
+                        break
+                    i = bisect_left(taken, (start,))
+                    if (not i or taken[i - 1][1] <= start) and (i == len(taken) or stop <= taken[i][0]):
+                        taken.insert(i, (start, stop, covered))
+                if not taken:
+                    continue
+                found += taken
+                # between those taken, chains may have been hidden by better ones that reach over the border
+                low = 0
+                for high, after, _ in [*taken, (parts[-1][0] + len(numbers) + 1, 0, 0)]:
+                    inside = parts[max(0, bisect_left(parts, (low - len(numbers),))) : bisect_left(parts, (high,))]
+                    waiting.append([(max(a, low), min(b, high), c + max(0, low - a), d - max(0, b - high)) for a, b, c, d in inside if b > low])
+                    low = after
+            out += [(label, min(1.0, covered / len(numbers)), start, stop) for start, stop, covered in sorted(found)]
         return out
 
 
+def linked(parts: list[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """The best chain that ends with each of the sorted parts, the later one of equals: covered words, first word, word after
+    the last."""
+    best: list[tuple[int, int]] = []
+    first = 0
+    for i, (a, b, c, d) in enumerate(parts):
+        while parts[first][1] + GAP + size < a:
+            first += 1
+        most = (b - a, a)
+        for j in range(first, i):
+            a2, b2, c2, d2 = parts[j]
+            if a2 < a and c2 < c and b2 < b and d2 < d and a - b2 <= GAP and c - d2 <= GAP:
+                gain = (b - a) - max(0, b2 - a, d2 - c)
+                most = max(most, (best[j][0] + gain, best[j][1]))
+        best.append(most)
+    return [(covered, start, part[1]) for (covered, start), part in zip(best, parts, strict=True)]
+
+
 @lru_cache(maxsize=4)
 def automaton(templates: tuple, phrases: tuple) -> Automaton:
     return Automaton(list(templates), dict(phrases))

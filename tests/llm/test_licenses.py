@@ -40,6 +40,28 @@ def test_templates_are_found_with_changes(spark):
     assert out[2].labels == "" and out[3].score == 0 and out[4].labels == "cc"
 
 
+def test_each_place_of_a_notice_has_a_span(spark):
+    isc = [w.decode() for w in words_of(TEMPLATES["isc"].encode())]
+    n = len(isc)
+    cut = [*isc[:20], "changed", *isc[21:]]
+    rows = [
+        (1, " ".join([*isc, *prose(1, 100).split(), *cut])), (2, " ".join([*isc, *isc, *isc])), (3, " ".join([*cut, *cut])),
+        (4, " ".join(isc[: n // 2 - 5])), (5, " ".join([*isc, "x", *isc[: n // 2 - 5], "y", *isc])),
+    ]
+    out = {r.doc_id: r for r in license_scan(documents(spark, rows)).collect()}
+    places = {i: [(s.start, s.stop) for s in r.spans if s.label == "isc"] for i, r in out.items()}
+    middle = n // 2 - 3
+    assert places == {1: [(0, n), (n + 100, 2 * n + 100)], 2: [(0, n), (n, 2 * n), (2 * n, 3 * n)], 3: [(0, n), (n, 2 * n)], 4: [], 5: [(0, n), (n + middle, 2 * n + middle)]}
+    assert [out[i].score for i in (1, 2, 5)] == [1, 1, 1] and 0.9 < out[3].score < 1 and out[3].labels == "isc"
+
+
+def test_many_notices_in_one_text():
+    scanner = Automaton(list(TEMPLATES.items()), {})
+    words = words_of((TEMPLATES["isc"] * 300).encode())
+    spans = scanner.chains(scanner.scan(words)[1])
+    assert sum(label == "isc" for label, *_ in spans) == 300
+
+
 def test_matching_statistics():
     """At each word the automaton knows the longest run ending there that a template holds."""
     import random
