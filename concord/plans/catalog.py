@@ -312,7 +312,7 @@ FROM {{edits}} e JOIN {{canonical_seed}} c ON e.tenant_id = c.tenant_id AND e.em
 
 
 def _contested(spark, sf):
-    e = frame(spark, sf, "edits").select("arrival_seq", "tenant_id", "strategy", "source", "source_version", "occurred_at", "priority", "email", X.fields_struct().alias("incoming"))
+    e = frame(spark, sf, "edits").select("arrival_seq", "event_id", "tenant_id", "strategy", "source", "source_version", "occurred_at", "priority", "email", X.fields_struct().alias("incoming"))
     c = X.canonical_seed(spark, sf).select(
         "tenant_id", "entity_id", F.col("fields.email").alias("email"), F.col("fields").alias("stored"),
         F.struct(*[F.col("field_provenance")[n].alias(n) for n in S.FIELDS]).alias("prov"),
@@ -384,7 +384,7 @@ def _(spark, sf):
 
     c = _contested(spark, sf)
     log = c.select(
-        "tenant_id", F.lit("customer").alias("entity_type"), "entity_id", "conflicts", "stored", "incoming", "strategy", "arrival_seq",
+        "tenant_id", F.lit("customer").alias("entity_type"), "entity_id", "event_id", "conflicts", "stored", "incoming", "strategy", "arrival_seq",
         F.lit(1).alias("delivery"), F.col("occurred_at").alias("received_at"),
         F.when((F.col("strategy") == "manual"), "parked").otherwise("applied").alias("outcome"),
     )
