@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm.common import table
 from concord.llm.decontaminate import ORACLE as DECONTAMINATION, contamination
+from concord.llm.exact_dedup import ORACLE as EQUAL_TEXTS, exact_duplicates
+from concord.llm.fill_middle import ORACLE as FILL_IN_MIDDLE, fill_in_middle_report
 from concord.llm.html_text import main_text
 from concord.llm.lattice_dedup import ORACLE as LINKED_VECTORS, near_duplicates as near_vectors
 from concord.llm.licenses import license_scan
@@ -80,3 +82,13 @@ def op8(spark, sf_dir):
 @query("op6_embedding_near_dedup", LINKED_VECTORS)
 def op6(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_exact_dedup", EQUAL_TEXTS)
+def op12(spark, sf_dir):
+    return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+@query("op13_fill_in_middle", FILL_IN_MIDDLE)
+def op13(spark, sf_dir):
+    return fill_in_middle_report(table(spark, sf_dir, "documents"))
