@@ -19,6 +19,7 @@ from concord.llm.quality import classify
 from concord.llm.suffix_dedup import dedup_report
 from concord.llm.tokens import token_counts
 from concord.llm.toxicity import toxicity
+from concord.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,8 @@ def op12(spark, sf_dir):
 @query("op13_fill_in_middle", FILL_IN_MIDDLE)
 def op13(spark, sf_dir):
     return fill_in_middle_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
