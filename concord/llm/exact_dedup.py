@@ -32,6 +32,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # a store reserves no disk ahead: there is one for each shuffle partition, most of them small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
