@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.session import cut_lineage
+from concord.session import cut_lineage, scratch_root
 
 #: `bytes.translate` tables: A-Z to a-z, and besides every ASCII byte but 0-9 and a-z to a space.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -26,6 +26,15 @@ def sized(stored: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(stored) if stored.limit(most + 1).count() <= most else stored
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that `cut_lineage` has written and that nothing reads any more; other frames are left alone."""
+    for df in stored:
+        files = df.inputFiles()
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent() if files else None
+        if path is not None and f"{scratch_root(df.sparkSession)}/".split("://")[-1].rstrip("/") == path.getParent().toUri().getPath():
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,9 @@ of sorted arrays.
 
 A tile is not expanded into all its pairs. Equal sets are one class from the start. First each class is held against the
 least class of its tiles, which settles groups of copies in time linear in their size. Only tiles that still hold
-several components are searched, large ones cut into blocks: each round verifies a number of the pairs that the bitmaps
-allow between components, until no tile has any left.
+several components are searched, large ones cut into blocks: each round verifies spanning forests of the pairs that the
+bitmaps allow between components, until no tile has any left. The first rounds take a class to one or few of its
+tiles only, since a group of near copies stands in many tiles and is joined in any of them.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concord.llm.common import LOWER, connected_components, flat, id_and_bytes, mix, sized, slices
+from concord.llm.common import LOWER, connected_components, discard, flat, id_and_bytes, mix, sized, slices
 from concord.session import cut_lineage
 
-#: Bits of a bitmap signature for each element (a power of two at least, between these bounds), members of a block of a large
-#: tile, rows up to which a stored table is broadcast.
+#: Bits of a bitmap signature for each element (a power of two at least, between these bounds). A class has a short one for the pairs
+#: with the least classes of its tiles, which carry two each, and a wide one for the searches inside tiles.
 BITS_EACH, LEAST_BITS, MOST_BITS = 1, 256, 16_384
+WIDE_EACH, WIDE_LEAST, WIDE_MOST = 4, 512, 131_072
+#: Members of a block of a large tile, rows up to which a stored table is broadcast.
 BLOCK, BROADCAST_ROWS = 1000, 400_000
 #: Tiles (two numbers each) up to which they are broadcast, so that only the members of shared tiles are shuffled.
 TILE_ROWS = 2_000_000
-#: Partners that a set is held against in the first search of its tile, and how many times more in each further one.
-PARTNERS, MORE = 4, 16
+#: The first searches: in how many of its tiles a class is searched, and how many spanning forests of pairs a pair of blocks offers;
+#: and how many times more forests each further search offers, which takes a class to all its open tiles.
+FIRST_ROUNDS, MORE = ((1, 1),), 8
 #: Bytes worked on at once; it bounds the scratch arrays of a task.
 SLICE = 2 << 20
 
@@ -140,9 +144,9 @@ def class_of(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
 
 
-def bitmap(members: np.ndarray) -> np.ndarray:
-    size = LEAST_BITS
-    while size < min(BITS_EACH * len(members), MOST_BITS):
+def bitmap(members: np.ndarray, each: int = BITS_EACH, least: int = LEAST_BITS, most: int = MOST_BITS) -> np.ndarray:
+    size = least
+    while size < min(each * len(members), most):
         size *= 2
     bits = np.zeros(size, np.uint8)
     bits[(members >> np.uint64(11)) % np.uint64(size)] = 1
@@ -174,28 +178,100 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def candidates_in_tile(group: pa.Table, percent: int, most_partners: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one block pair of a tile that the bitmaps allow, that join different components and were not refused before: at most
-    so many for each member, and whether there are more."""
+def candidates_in_tile(group: pa.Table, percent: int, forests: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one block pair of a tile that the bitmaps allow, that join different components and were not refused before, and
+    whether there are more. They make up so many spanning forests: a pair is offered if it joins two parts that no pair of
+    one of the forests has joined yet, so that a group of n near copies offers n - 1 pairs a forest and not all its pairs."""
     order = np.argsort(group["c"].to_numpy())
     group = group.take(pa.array(order))
     c, side, n, root = (group[k].to_numpy() for k in ("c", "side", "n", "root"))
     bits = [np.array(b.values, np.int64).view(np.uint64) for b in group["bits"]]
     words = min(map(len, bits))
     bits = np.stack([folded(b, words) for b in bits])
-    refused = [set(r.as_py() or ()) for r in group["refused"]]
+    # folding to the shortest signature keeps the bound, if a looser one
+    refused = [r.as_py() or () for r in group["refused"]]
+    parts = [np.unique(root, return_inverse=True)[1] for _ in range(min(forests, len(c)))]
     out, more = [], False
     for v in range(len(c)):
         others = np.arange(v + 1, len(c))
         others = others[(root[others] != root[v]) & ((side[others] != side[v]) | (side[v] == 2))]
         most = most_shared(bits[v], n[v], bits[others], n[others])
         others = others[100 * most >= percent * (n[v] + n[others] - most)]
-        partners = [u for u in c[others].tolist() if u not in refused[v]]
-        more |= len(partners) > most_partners
-        out.extend((int(c[v]), u) for u in partners[:most_partners])
+        others = others[~np.isin(c[others], refused[v])]
+        for part in parts:
+            new = np.flatnonzero(part[others] != part[v])
+            while len(new):
+                u = others[new[0]]
+                out.append((int(c[v]), int(c[u])))
+                part[part == part[u]] = part[v]
+                others = np.delete(others, new[0])
+                new = np.flatnonzero(part[others] != part[v])
+            if not len(others):
+                break
+        more |= len(others) > 0
     return out, more
 
 
+def rounds() -> Iterator[tuple[int | None, int]]:
+    """Of each round, in how many of its open tiles a class is searched (None: in all) and how many spanning forests are offered."""
+    yield from FIRST_ROUNDS
+    forests = FIRST_ROUNDS[-1][1]
+    while True:
+        forests *= MORE
+        yield None, forests
+
+
+def opened(members: DataFrame, roots: DataFrame, tiles_each: int | None) -> DataFrame | None:
+    """Members of tiles that hold several components, stored: (tile, c, root, block, others: blocks that it meets); None without such.
+
+    Of tiles with equal members one is searched. With `tiles_each`, a class is only taken to its largest tiles, and blocks
+    meet themselves if it is one tile. Else the classes of a tile's largest component have blocks of their own, which do not
+    meet each other.
+    """
+    placed = members.join(roots, members.c == roots.node, "left").select("tile", "c", F.coalesce("root", "c").alias("root"))
+    state = placed.groupBy("tile").agg(
+        F.count("*").alias("m"), F.min("root").alias("p"), F.max("root").alias("q"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("s")
+    )
+    # the only pair of a tile of two has been seen already
+    state = state.where("p < q and m > 2").groupBy("m", "s").agg(F.min("tile").alias("tile"))
+    state = cut_lineage(state.select("tile", "m"), "open-tiles")
+    if state.isEmpty():
+        discard(state)
+        return None
+    placed = placed.join(sized(state, BROADCAST_ROWS), "tile")
+    if tiles_each is not None:
+        first = F.row_number().over(W.partitionBy("c").orderBy(F.desc("m"), "tile"))
+        placed = placed.withColumn("__first", first).where(F.col("__first") <= tiles_each)
+    placed = cut_lineage(placed.select("tile", "c", "root"), "placed")
+    parts = placed.groupBy("tile", "root").agg(F.count("*").alias("k"))
+    tops = parts.groupBy("tile").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    if tiles_each == 1:
+        tops = tops.select("tile", F.lit(None).cast("long").alias("main"), F.ceil(F.col("m") / BLOCK).alias("few"), F.lit(0).cast("long").alias("many"))
+    else:
+        rest = F.ceil((F.col("m") - F.col("top.k")) / BLOCK).alias("few")
+        tops = tops.select("tile", F.col("top.root").alias("main"), rest, F.ceil(F.col("top.k") / BLOCK).alias("many"))
+    tops = cut_lineage(tops, "tops")
+    inside = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    spread = F.xxhash64("c", "tile")
+    block = F.when(inside, F.col("few") + F.pmod(spread, F.greatest("many", F.lit(1)))).otherwise(F.pmod(spread, "few"))
+    last = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    others = F.array("block") if tiles_each == 1 else F.sequence(F.lit(0).cast("long"), "last")
+    out = placed.join(sized(tops, BROADCAST_ROWS), "tile").withColumns({"block": block, "last": last})
+    out = cut_lineage(out.select("tile", "c", "root", "block", others.alias("others")), "opened")
+    discard(state, placed, tops)
+    return out
+
+
+def refusals(bad: DataFrame, placed: DataFrame) -> DataFrame:
+    """(tile, i, j, c, refused): classes of a pair of blocks that were held against c, the lesser one, and are not similar."""
+    at = placed.select("tile", "c", "block")
+    a = at.select("tile", F.col("c").alias("c"), F.col("block").alias("x"))
+    b = at.select("tile", F.col("c").alias("u"), F.col("block").alias("y"))
+    pairs = bad.select(F.least("a", "b").alias("c"), F.greatest("a", "b").alias("u"))
+    low, high = F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")
+    return pairs.join(a, "c").join(b, ["tile", "u"]).groupBy("tile", low, high, "c").agg(F.collect_set("u").alias("refused"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -213,8 +289,9 @@ def near_duplicates(
             keys = tile_keys(sets, at, bands)
             whole = class_of(sets, at)
             bits = [bitmap(sets[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            columns = [batch.column(0), pa.array(np.diff(at)), pa.array(whole), lists(bits), lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "bits", "tiles"])
+            wide = [bitmap(sets[a:b], WIDE_EACH, WIDE_LEAST, WIDE_MOST) for a, b in zip(at[:-1], at[1:], strict=True)]
+            columns = [batch.column(0), pa.array(np.diff(at)), pa.array(whole), lists(bits), lists(wide), lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c", "bits", "wide", "tiles"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
@@ -240,9 +317,9 @@ def near_duplicates(
             good = [similar(np.array(x[i].values), np.array(y[i].values), percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
-    def search(most_partners: int):
+    def search(forests: int):
         def inside(group: pa.Table) -> pa.Table:
-            found, more = candidates_in_tile(group, percent, most_partners)
+            found, more = candidates_in_tile(group, percent, forests)
             tile = group["tile"][0].as_py()
             columns = [[tile] * len(found), [a for a, _ in found], [b for _, b in found]]
             return pa.table([pa.array(c, pa.int64()) for c in columns] + [pa.array([more] * len(found), pa.bool_())], ["tile", "a", "b", "more"])
@@ -250,7 +327,7 @@ def near_duplicates(
         return inside
 
     texts = id_and_bytes(df, id_col, text_col)
-    rows = cut_lineage(texts.mapInArrow(describe, "id long, n long, c long, bits array<long>, tiles array<long>"), "sets")
+    rows = cut_lineage(texts.mapInArrow(describe, "id long, n long, c long, bits array<long>, wide array<long>, tiles array<long>"), "sets")
     members = rows.where("n > 0").select(F.explode("tiles").alias("tile"), "c")
     tiles = members.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top")
     tiles = cut_lineage(tiles.select("tile", "low"), "tiles")
@@ -260,7 +337,7 @@ def near_duplicates(
     classes = cut_lineage(members.select("c").distinct(), "classes")
     named = rows.where("id is not null").join(sized(classes), "c").groupBy("c").agg(F.min("id").alias("id"))
     named = cut_lineage(named, "named-classes")
-    signed = rows.join(sized(named), ["id", "c"]).select("c", "n", "bits").dropDuplicates(["c"])
+    signed = rows.join(sized(named), ["id", "c"]).select("c", "n", "bits", "wide").dropDuplicates(["c"])
     signed = cut_lineage(signed, "signatures")
 
     # every class against the least class of its tiles
@@ -282,41 +359,35 @@ def near_duplicates(
 
     # only what the bitmaps let pass is read as sets
     seen = verified(pairs)
-    roots, most_partners = connected_components(seen.where("good")), PARTNERS
-    while True:
-        # tiles with several components left; the only pair of a tile of two has been seen already
-        placed = members.join(roots, members.c == roots.node, "left")
-        placed = placed.select("tile", "c", F.coalesce("root", "c").alias("root"))
-        state = placed.groupBy("tile").agg(
-            F.count("*").alias("m"),
-            F.min("root").alias("p"),
-            F.max("root").alias("q"),
-            F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("s"),
-        )
-        # tiles of the same members need one search
-        state = state.where("p < q and m > 2").groupBy("m", "s").agg(F.min("tile").alias("tile"))
-        state = cut_lineage(state.select("tile", F.ceil(F.col("m") / BLOCK).alias("blocks")), "open-tiles")
-        placed = placed.join(sized(state, BROADCAST_ROWS), "tile")
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("c", "tile"), F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        placed = placed.select("tile", "c", "root", "block", other)
+    roots = connected_components(seen.where("good"))
+    for tiles_each, forests in rounds():
+        placed = opened(members, roots, tiles_each)
+        if placed is None:
+            break
+        refused = refusals(seen.where("not good").select("a", "b"), placed)
+        met = placed.select("tile", "c", "root", "block", F.explode("others").alias("other"))
         # side 0 and 1 of a pair of blocks meet each other, side 2 is a block by itself
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
         low, high = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-        placed = placed.select("tile", "c", "root", low, high, side)
-        refused = seen.where("not good").groupBy(F.least("a", "b").alias("c")).agg(F.collect_set(F.greatest("a", "b")).alias("refused"))
-        placed = placed.join(signed, "c").join(refused, "c", "left")
-        placed = placed.select("tile", "i", "j", "side", "c", "root", "n", "bits", "refused")
-        found = placed.groupBy("tile", "i", "j").applyInArrow(search(most_partners), "tile long, a long, b long, more boolean")
+        met = met.select("tile", "c", "root", low, high, side).join(signed, "c").join(refused, ["tile", "i", "j", "c"], "left")
+        met = met.select("tile", "i", "j", "side", "c", "root", "n", F.col("wide").alias("bits"), "refused")
+        found = met.groupBy("tile", "i", "j").applyInArrow(search(forests), "tile long, a long, b long, more boolean")
         found = cut_lineage(found, "candidates")
+        discard(placed)
         if found.isEmpty():
-            break
+            if tiles_each is None:
+                break
+            continue
         pairs = cut_lineage(found.select("a", "b").distinct(), "pairs")
-        seen = cut_lineage(seen.union(verified(pairs)), "seen")
-        roots = connected_components(seen.where("good"))
-        # in all other tiles every pair that the bitmaps allow has been verified
-        members = members.join(sized(cut_lineage(found.where("more").select("tile").distinct(), "tiles")), "tile", "left_semi")
-        most_partners *= MORE
+        before, seen = seen, cut_lineage(seen.union(verified(pairs)), "seen")
+        roots_before, roots = roots, connected_components(seen.where("good"))
+        discard(before, pairs, roots_before)
+        if tiles_each is None:
+            # in all other tiles every pair that the bitmaps allow has been verified
+            before, left = members, cut_lineage(found.where("more").select("tile").distinct(), "tiles")
+            members = cut_lineage(members.join(sized(left), "tile", "left_semi"), "tile-members")
+            discard(before, left)
+        discard(found)
 
     least = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first"))
     least = least.join(roots, least.c == roots.node, "left").select("c", "first", F.coalesce("root", "c").alias("root"))

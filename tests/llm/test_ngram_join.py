@@ -86,8 +86,38 @@ def test_search_of_a_tile_ends_with_no_pair_left():
     })
     found, more = candidates_in_tile(group, 90, 9)
     assert found == [(1, 2), (1, 3)] and not more
-    found, more = candidates_in_tile(group, 90, 1)
-    assert found == [(1, 2)] and more
+    group = group.set_column(group.column_names.index("refused"), "refused", pa.array([[2], [3], None, None, None]))
+    assert candidates_in_tile(group, 90, 1) == ([(1, 3)], False)
+
+
+def test_near_copies_offer_spanning_forests():
+    from concord.llm.ngram_join import bitmap
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[2:], rng.integers(0, 1 << 62, 2, dtype=np.uint64)]) for _ in range(60)]
+    group = pa.table({
+        "c": range(60), "side": [2] * 60, "n": [len(s) for s in sets], "root": range(60),
+        "bits": [bitmap(s).view(np.int64).tolist() for s in sets], "refused": pa.array([None] * 60, pa.list_(pa.int64())),
+    })
+    one, more = candidates_in_tile(group, 90, 1)
+    assert len(one) == 59 and more
+    three, more = candidates_in_tile(group, 90, 3)
+    assert len(set(three)) == len(three) <= 3 * 59 and more
+    everything, more = candidates_in_tile(group, 90, 60)
+    assert len(set(everything)) == 60 * 59 // 2 and not more
+
+
+def test_small_blocks_and_many_rounds_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr("concord.llm.ngram_join.BLOCK", 3)
+    monkeypatch.setattr("concord.llm.ngram_join.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("concord.llm.ngram_join.MORE", 2)
+    rows = corpus()
+    _, roots = plain(rows, 2, 60)
+    out = near_duplicates(documents(spark, rows).repartition(4), n=2, percent=60).collect()
+    assert all(r.component_id == roots[r.doc_id] for r in out if r.doc_id is not None)
 
 
 def test_empty_table(spark):
