@@ -238,33 +238,34 @@ def alert(observations: DataFrame, name: str, step: int = STEP) -> DataFrame:
     """Firing steps of one of the standard alerts."""
     rule = ALERTS[name]
     dense = series(observations, rule["metrics"], step)
-    scored = dense.select("step", rule["value"](step).alias("value"))
+    scored = dense.select("step", rule["value"](lambda name: trailing(name, rule["window"], step)).alias("value"))
     active = scored.withColumn("active", F.coalesce(rule["when"](F.col("value")), F.lit(False)))
     return held(active, rule["hold"], step).select(F.lit(name).alias("alert"), "step", "since", "value")
 
 
-def _ratio(top: str, bottom: str, seconds: int):
-    return lambda step: F.try_divide(trailing(top, seconds, step).cast("double"), trailing(bottom, seconds, step).cast("double"))
+def _ratio(top: str, bottom: str):
+    return lambda total: F.try_divide(total(top).cast("double"), total(bottom).cast("double"))
 
 
-def _growth(name: str, seconds: int):
-    return lambda step: trailing(name, seconds, step).cast("double")
+def _growth(name: str):
+    return lambda total: total(name).cast("double")
 
 
-# Metric, window, threshold and hold time of each standard alert.
+# Metrics, window, threshold and hold time of each standard alert. `value` is made from sums over the window.
 ALERTS = {
-    "event_failure_rate_high": {"metrics": ["failed", "events"], "value": _ratio("failed", "events", 300), "when": lambda v: v > 0.05, "hold": 600},
-    "dlq_growth": {"metrics": ["dlq"], "value": _growth("dlq", 600), "when": lambda v: v > 0, "hold": 300},
+    "event_failure_rate_high": {"metrics": ["failed", "events"], "window": 300, "value": _ratio("failed", "events"), "when": lambda v: v > 0.05, "hold": 600},
+    "dlq_growth": {"metrics": ["dlq"], "window": 600, "value": _growth("dlq"), "when": lambda v: v > 0, "hold": 300},
     "retry_backlog": {
         "metrics": ["retries", "success"],
-        "value": lambda step: (trailing("retries", 300, step) - trailing("success", 300, step)) / F.lit(300.0),
+        "window": 300,
+        "value": lambda total: (total("retries") - total("success")) / F.lit(300.0),
         "when": lambda v: v > 0.1,
         "hold": 900,
     },
-    "reconcile_drift_spike": {"metrics": ["findings"], "value": _growth("findings", 600), "when": lambda v: v > 100, "hold": 300},
-    "conflict_spike": {"metrics": ["conflicts"], "value": _growth("conflicts", 600), "when": lambda v: v > 100, "hold": 300},
-    "no_events_processed": {"metrics": ["events"], "value": _growth("events", 600), "when": lambda v: v == 0, "hold": 1800},
-    "api_error_rate_high": {"metrics": ["errors", "requests"], "value": _ratio("errors", "requests", 300), "when": lambda v: v > 0.1, "hold": 600},
+    "reconcile_drift_spike": {"metrics": ["findings"], "window": 600, "value": _growth("findings"), "when": lambda v: v > 100, "hold": 300},
+    "conflict_spike": {"metrics": ["conflicts"], "window": 600, "value": _growth("conflicts"), "when": lambda v: v > 100, "hold": 300},
+    "no_events_processed": {"metrics": ["events"], "window": 600, "value": _growth("events"), "when": lambda v: v == 0, "hold": 1800},
+    "api_error_rate_high": {"metrics": ["errors", "requests"], "window": 300, "value": _ratio("errors", "requests"), "when": lambda v: v > 0.1, "hold": 600},
 }
 
 

@@ -1003,6 +1003,7 @@ def _(spark, sf):
 
 
 ALERT_STEP = 60
+ALERT_SQL: dict[str, str] = {}
 _DENSE = """
 WITH g AS (SELECT unnest(generate_series(lo, hi, INTERVAL '60' SECOND)) AS step FROM (SELECT min(time_bucket(INTERVAL '60' SECOND, done_at)) AS lo, max(time_bucket(INTERVAL '60' SECOND, done_at)) AS hi FROM {write_results})),
      s AS (SELECT time_bucket(INTERVAL '60' SECOND, done_at) AS step, count(*) AS events, count(*) FILTER (status_code <> 200) AS failed, count(*) FILTER (status_code = 200) AS success,
@@ -1041,6 +1042,7 @@ for _name, _value, _cond in (
     _sql = _DENSE
     for _mark, _text in (("__VALUE__", _value), ("__COND__", _cond), ("__NAME__", _name), ("__HOLD__", str(metrics.ALERTS[_name]["hold"]))):
         _sql = _sql.replace(_mark, _text)
+    ALERT_SQL[_name] = _sql
     query(f"alert_{_name}", _sql)(lambda spark, sf, _n=_name: metrics.alert(_observations(spark, sf), _n, ALERT_STEP))
 
 
@@ -1155,7 +1157,7 @@ def _(spark, sf):
 
 from concord.sources.events import read_events, stream_files  # noqa: E402
 from concord.sources.tables import TableStore, load_dimension  # noqa: E402
-from concord.streaming import apply as streaming  # noqa: E402
+from concord.streaming import alerts as live, apply as streaming, redelivery  # noqa: E402
 
 
 FILES_PER_SLICE = 4
@@ -1221,6 +1223,67 @@ def _(spark, sf):
     return spark.read.schema("window_end timestamp_ntz, source string, n bigint, per_second double").parquet(out).select("source", "window_end", "n", "per_second")
 
 
+def _observation_stream(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Observations as a stream of time slices with a tick in each step and two at the end, when all windows have closed; and the last step."""
+    path = _fresh_dir(spark, "observation-files")
+    rows = cut_lineage(_observations(spark, sf), "observations")
+    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    beats = live.ticks(metrics.grid(rows.select(metrics.floor_to(F.col("at"), ALERT_STEP).alias("step")), ALERT_STEP), "step")
+    both = rows.unionByName(beats).crossJoin(F.broadcast(span))  # one row
+    cut = F.expr("lo + (hi - lo) / 2")
+    for part in (F.col("at") < cut, F.col("at") >= cut):
+        both.where(part).select("at", "metric", "n").repartition(FILES_PER_SLICE).write.mode("append").parquet(path)
+    for wait in ("2 minutes", "6 hours"):
+        live.ticks(span.select((F.col("hi") + F.expr(f"interval {wait}")).alias("end")), "end").repartition(FILES_PER_SLICE, "n").write.mode("append").parquet(path)
+    stream = stream_files(spark, path, schema="at timestamp_ntz, metric string, n bigint", files_per_trigger=FILES_PER_SLICE)
+    return stream, span.select(metrics.floor_to(F.col("hi"), ALERT_STEP).cast("timestamp_ntz").alias("end"))
+
+
+def _appended(spark, stream: DataFrame, label: str) -> DataFrame:
+    """What a stream appends until it has seen all its files."""
+    out = _fresh_dir(spark, label)
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", _fresh_dir(spark, "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+LIVE_ALERTS = ("event_failure_rate_high", "conflict_spike", "no_events_processed")
+
+
+@query("stream_alerts", " UNION ALL ".join(f"SELECT alert, step, value FROM ({ALERT_SQL[n]})" for n in LIVE_ALERTS))
+def _(spark, sf):
+    stream, last = _observation_stream(spark, sf)
+    out = None
+    for name in LIVE_ALERTS:
+        rows = _appended(spark, live.live_alerts(stream, name, ALERT_STEP), "live-alerts")
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(F.broadcast(last), F.col("step") <= F.col("end")).select("alert", "step", "value")
+
+
+@query("stream_incidents", f"""SELECT alert, since, min(step) AS first, count(*) AS fired FROM ({ALERT_SQL['api_error_rate_high']})
+       WHERE since < (SELECT max(since) FROM ({ALERT_SQL['api_error_rate_high']})) GROUP BY alert, since""")
+def _(spark, sf):
+    """All incidents but the last, which the end of the data cuts short."""
+    stream, _ = _observation_stream(spark, sf)
+    found = _appended(spark, live.incidents(stream, "api_error_rate_high", ALERT_STEP), "incidents")
+    return found.join(F.broadcast(found.agg(F.max("since").alias("end"))), F.col("since") < F.col("end")).select("alert", "since", "first", "fired")
+
+
+@query("stream_retry_timers", "SELECT tenant_id, source, event_id, attempt, received_at AS next_attempt_at, arrival_seq FROM {classified} WHERE kind IS NOT NULL")
+def _(spark, sf):
+    """Every result waits for a retry; those that succeeded are taken out again in the same batch. The rest has long been due."""
+    path = _fresh_dir(spark, "moves")
+    rows = frame(spark, sf, "write_results").select(*S.EK, "arrival_seq")
+    waiting = cut_lineage(_queue_rows(spark, sf).join(rows, S.EK), "waiting")
+    moves = redelivery.schedule(waiting).unionByName(redelivery.cancel(waiting.where("kind is null")))
+    moves.repartition(FILES_PER_SLICE, *S.EK).write.parquet(path)
+    stream = stream_files(spark, path, schema=moves.schema, files_per_trigger=1)
+    due, out = redelivery.redeliver(stream), _fresh_dir(spark, "redelivered")
+    writer = due.writeStream.format("parquet").option("path", out).option("checkpointLocation", _fresh_dir(spark, "offsets"))
+    redelivery.drain(writer.trigger(processingTime="0 seconds").start())
+    return spark.read.schema(due.schema).parquet(out).select(*S.EK, "attempt", "next_attempt_at", "arrival_seq")
+
+
 @query(
     "table_upsert",
     """SELECT c.entity_id, coalesce(e.company, c.company) AS company, CASE WHEN e.company IS NULL THEN c.version ELSE c.version + 1 END AS version FROM {canonical_seed} c
