@@ -165,7 +165,8 @@ def throttled(attempts: DataFrame, limit: int = 30, seconds: int = 60) -> DataFr
     later = firsts.select("ip", "slice", F.lead("first").over(W.partitionBy("ip").orderBy("slice")).alias("after"), "first")
     marks = times.select("ip", slice_.alias("slice"), F.col("us").alias("t"), F.col("us").alias("attempt"), F.lit(None).cast("bigint").alias("probe"))
     probes = times.select("ip", (slice_ + 1).alias("slice"), (F.col("us") + width).alias("t"), F.lit(None).cast("bigint").alias("attempt"), F.col("us").alias("probe"))
-    here = W.partitionBy("ip", "slice").orderBy("t").rangeBetween(0, W.unboundedFollowing)
+    # Latest first: a frame that begins with the partition is a running minimum, one that ends with it is worked out anew in each row.
+    here = W.partitionBy("ip", "slice").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, 0)
     inside = marks.unionByName(probes).withColumn("hit", F.min("attempt").over(here)).where("probe is not null")
     # When the probed slice is empty, its successor is the successor of the attempt's own slice.
     own = later.select("ip", (F.col("slice") + 1).alias("slice"), F.col("after").alias("own_after"))
