@@ -29,11 +29,9 @@ STEP_BLOCKS = 20_000
 
 #: Attributes up to the end of a self-closed tag; a slash at the end of a value without quotes belongs to the value.
 CLOSED = r"(?:\s+[^\s\"'=<>/]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?)*+\s*+/>"
-SPLIT = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])(?!{CLOSED}).*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^'\">])*|/)?)>|<[!?/][^>]*>",
-    re.I | re.S,
-)
+HIDDEN_TEXT = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])(?!{CLOSED}).*?(?:</\1\s*>|\Z)", re.I | re.S)
+HEAD = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)(?:(/?)>|(?=\s))", re.I)
+OUTSIDE = re.compile(r"[^'\"<>]*+")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Tags that do not end a block; all others do.
@@ -72,6 +70,52 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def markup(html: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """Comments, scripts, styles, tags and declarations in page order: start, end, slash of an end tag, tag (None for what is no
+    tag), attributes. A tag ends at the first `>` outside quotes; what never ends is text.
+
+    If a scan for a tag's end finds none, it finds none from any `<` that it passed outside quotes either, so those are not
+    scanned again and a page of unclosed tags takes time in line with its length.
+    """
+    at, last, endless = 0, html.rfind(">"), set()
+    quotes = {q: html.rfind(q) for q in "\"'"}
+
+    def end_of(pos: int) -> int:
+        passed = []
+        while True:
+            pos = OUTSIDE.match(html, pos).end()
+            if pos > last or pos in endless:
+                break
+            sign = html[pos]
+            if sign == ">":
+                return pos + 1
+            if sign == "<":
+                passed.append(pos)
+            elif pos >= quotes[sign]:
+                break
+            else:
+                pos = html.index(sign, pos + 1)
+            pos += 1
+        endless.update(passed)
+        return 0
+
+    while (at := html.find("<", at)) >= 0:
+        end, slash, tag, rest = 0, "", None, ""
+        if hidden := HIDDEN_TEXT.match(html, at):
+            end = hidden.end()
+        elif at < last:
+            head = HEAD.match(html, at)
+            if head and head[3] is not None:
+                end, slash, tag, rest = head.end(), head[1], head[2], head[3]
+            elif head and at not in endless and (end := end_of(head.end())):
+                slash, tag, rest = head[1], head[2], html[head.end() : end - 1]
+            elif html[at + 1] in "!?/":
+                end = html.find(">", at + 2) + 1
+        if end:
+            yield at, end, slash, tag, rest
+        at = end or at + 1
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order: path of (tag, name parts), text with character references decoded and white space joined."""
     out: list[Block] = []
@@ -97,27 +141,26 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    for m in SPLIT.finditer(html):
-        say(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    for start, end, slash, tag, rest in markup(html):
+        say(html[at:start])
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
-        closed = not m[2] and m[4].endswith("/")
+        closed = not slash and rest.endswith("/")
         if tag in FOREIGN and not closed:
-            foreign = not m[2]
+            foreign = not slash
         foreign = foreign and tag not in PAGE_TAGS
         if foreign and tag not in INLINE or closed and tag == "template":
             continue
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if slash else 1
             elif tag == "br":
                 texts.append(" ")
             continue
         flush()
-        if m[2]:
+        if slash:
             for i in range(len(path) - 1, -1, -1):
                 if path[i][0] == tag:
                     del path[i:]
@@ -128,7 +171,7 @@ def blocks(html: str) -> list[Block]:
         while path and path[-1][0] in closes:
             path.pop()
         if tag not in VOID:
-            names = NAMES.findall(m[4]) if "=" in m[4] else ()
+            names = NAMES.findall(rest) if "=" in rest else ()
             path.append((tag, tuple(p for n in names for p in PART.findall("".join(n).lower()))))
     say(html[at:])
     flush()

@@ -90,3 +90,16 @@ def test_pages(spark):
     assert out[103].n_chars == 40_000 * 5 - 1
     assert main_text(df.limit(0)).count() == 0
     assert main_text(df).count() == len(rows)
+
+
+def test_unclosed_tags_take_time_in_line_with_the_page():
+    import time
+
+    from concord.llm.html_text import blocks
+
+    for pattern in ("<a b='c' ", "<a ", '<p x="', "<!", "<p class='x'", '<a "', "</a "):
+        for end in ("", ">", "'", '"'):
+            started = time.perf_counter()
+            blocks(pattern * (1_000_000 // len(pattern)) + end)
+            assert time.perf_counter() - started < 5
+    assert [b.text for b in blocks("<p>one <b two</p><i x='>' y>three</i> < four <a 'five")] == ["one", "three < four <a 'five"]
