@@ -1,8 +1,12 @@
 """Near-duplicate documents by an exact Jaccard join of word shingles over size-banded tiles.
 
 Sets of similar size fall into one size band (a set near the upper edge also into the next), and a band allows at most H
-elements in which two of its similar sets differ. Each set is cut by hash into H + 1 parts, so two similar sets have at
-least one part in common: a tile is all sets of a band with one equal part. Nothing is lost, however frequent a shingle is.
+elements in which two of its similar sets differ. Each set is cut by hash into H + 1 + E parts, so two similar sets have at
+least E + 1 parts in common: a tile is all sets of a band with one equal part. Nothing is lost, however frequent a shingle is.
+
+An empty part says nothing and would be a tile of unlike sets. If one of two similar sets has at most E empty parts, they also share
+one that is not empty. So a set takes part in the tiles of its filled parts; sets with more than E empty parts are cut once
+more by another hash, for the pairs among themselves, and so on; only the last cut has tiles of empty parts too.
 
 Inside a tile sets carry bitmap signatures. If a bits of one signature are missing in the other, at least that many
 elements are missing too, which bounds the overlap from above; only pairs that pass go to the exact intersection
@@ -32,6 +36,8 @@ from concord.session import cut_lineage
 #: with the least classes of its tiles, which carry two each, and a wide one for the searches inside tiles.
 BITS_EACH, LEAST_BITS, MOST_BITS = 1, 256, 16_384
 WIDE_EACH, WIDE_LEAST, WIDE_MOST = 4, 512, 131_072
+#: How often a set may be cut anew because it has too many empty parts, and how many standard deviations above the mean are too many.
+CUTS, ABOVE = 6, 1.5
 #: Members of a block of a large tile, rows up to which a stored table is broadcast.
 BLOCK, BROADCAST_ROWS = 1000, 400_000
 #: Tiles (two numbers each) up to which they are broadcast, so that only the members of shared tiles are shuffled.
@@ -104,8 +110,17 @@ class Bands:
         while edges[-1] < most:
             edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2, -(-edges[-1] * 100 // percent)))
         self.edges = np.array(edges, np.int64)
-        top = self.edges[1:] - 1
-        self.parts = 2 * top * (100 - percent) // (100 + percent) + 1
+        low, top = self.edges[:-1], self.edges[1:] - 1
+        unequal = 2 * top * (100 - percent) // (100 + percent)
+        self.parts, enough = unequal + 1, unequal == 0
+        # as many parts as it takes for most of a band's smallest sets to have no more empty ones than may be left out
+        for _ in range(60):
+            each = low / self.parts
+            empty, spread = self.parts * np.exp(-each), 1 - (1 + each) * np.exp(-each)
+            enough |= empty + ABOVE * np.sqrt(empty * spread) <= self.parts - unequal - 1
+            self.parts = np.where(enough, self.parts, self.parts + 1 + self.parts // 50)
+        self.parts = np.where(enough, self.parts, unequal + 1)
+        self.spare, self.cuts = self.parts - unequal - 1, np.where(enough & (unequal > 0), CUTS, 1)
 
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last band in which a set of each size takes part."""
@@ -115,26 +130,35 @@ class Bands:
 
 
 def tile_keys(sets: np.ndarray, at: np.ndarray, bands: Bands) -> list[np.ndarray]:
-    """Keys of the tiles of each set: band, part number and a hash of the part's elements. Empty parts are equal too."""
+    """Keys of the tiles of each set: band, cut, part number and a hash of the part's elements. Empty parts only have tiles in the
+    last cut of a band."""
     sizes = np.diff(at)
     low, high = bands.of(np.maximum(sizes, 1))
     keys = [[] for _ in sizes]
     marks = mix(sets + _LANE[60])
     for step in range(int((high - low).max(initial=0)) + 1):
         chosen = np.flatnonzero((sizes > 0) & (low + step <= high))
-        band = (low + step)[chosen]
-        parts = bands.parts[band]
-        base = np.r_[0, np.cumsum(parts)]
-        index = np.repeat(np.arange(len(chosen)), sizes[chosen])
-        elements = np.concatenate([np.arange(at[i], at[i + 1]) for i in chosen]) if len(chosen) else np.zeros(0, np.int64)
-        part = (sets[elements] % parts[index].astype(np.uint64)).astype(np.int64) + base[index]
-        sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, part, marks[elements])
-        number = np.arange(base[-1]) - np.repeat(base[:-1], parts)
-        place = number.astype(np.uint64) * _LANE[61] + np.repeat(band, parts).astype(np.uint64) * _LANE[62]
-        found = mix(sums + mix(place)).astype(np.int64)
-        for i, a, b in zip(chosen, base[:-1], base[1:], strict=True):
-            keys[i].append(found[a:b])
+        for cut in range(CUTS):
+            if not len(chosen):
+                break
+            band = (low + step)[chosen]
+            parts = bands.parts[band]
+            base = np.r_[0, np.cumsum(parts)]
+            count = sizes[chosen]
+            index = np.repeat(np.arange(len(chosen)), count)
+            elements = np.arange(count.sum()) + np.repeat(at[chosen] - (np.cumsum(count) - count), count)
+            dealt = mix(sets[elements] + _LANE[50 + cut]) if cut else sets[elements]
+            part = (dealt % parts[index].astype(np.uint64)).astype(np.int64) + base[index]
+            sums = np.zeros(base[-1], np.uint64)
+            np.add.at(sums, part, marks[elements])
+            filled = np.bincount(part, minlength=base[-1]) > 0
+            number = np.arange(base[-1]) - np.repeat(base[:-1], parts)
+            place = number.astype(np.uint64) * _LANE[61] + np.repeat(band, parts).astype(np.uint64) * _LANE[62]
+            found = mix(sums + mix(place + np.uint64(cut) * _LANE[59])).astype(np.int64)
+            last = cut == bands.cuts[band] - 1
+            for i, a, b, whole in zip(chosen, base[:-1], base[1:], last, strict=True):
+                keys[i].append(found[a:b] if whole else found[a:b][filled[a:b]])
+            chosen = chosen[~last & (parts - np.add.reduceat(filled, base[:-1], dtype=np.int64) > bands.spare[band])]
     return [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
 
 

@@ -72,6 +72,28 @@ def test_bands_allow_for_every_similar_pair():
             assert any(bands.parts[band] > differ for band in shared)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_share_a_tile_and_unlike_sets_hardly_any(percent):
+    import numpy as np
+
+    from concord.llm.ngram_join import tile_keys
+
+    rng, bands = np.random.default_rng(percent), Bands(percent, 5000)
+    for size in [*range(1, 40), 133, 199, 291, 600]:
+        sets = []
+        for _ in range(8):
+            x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            gone = int(rng.integers(0, size * (100 - percent) // (100 + percent) + 1))  # so many replaced on both sides
+            y = np.r_[x[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)]
+            sets += [np.unique(x), np.unique(y), np.unique(x[: -(-size * percent // 100)])]
+        at = np.r_[0, np.cumsum([len(s) for s in sets])]
+        keys = [set(k.tolist()) for k in tile_keys(np.concatenate(sets), at, bands)]
+        for i in range(0, len(sets), 3):
+            assert keys[i] & keys[i + 1] and keys[i] & keys[i + 2]
+            if percent >= 80:
+                assert not keys[i] & keys[(i + 3) % len(sets)]
+
+
 def test_search_of_a_tile_ends_with_no_pair_left():
     from concord.llm.ngram_join import bitmap
 
