@@ -274,9 +274,9 @@ def contexts_by_join(long: DataFrame, repeated: DataFrame, length: int) -> DataF
 
 
 def shard_output(**columns) -> pa.RecordBatch:
-    names = ["k", "id", "a", "b", "c", "h", "n", "context"]
+    names = ["k", "id", "a", "b", "c", "h", "n", "context", "at"]
     size = len(next(iter(columns.values())))
-    kinds = [pa.int64()] * 7 + [pa.binary()]
+    kinds = [pa.int64()] * 7 + [pa.binary(), pa.list_(pa.int64())]
     given = [pa.array(columns[x], kind) if x in columns else pa.nulls(size, kind) for x, kind in zip(names, kinds, strict=True)]
     return pa.RecordBatch.from_arrays(given, names)
 
@@ -302,8 +302,8 @@ def repeated_spans(
     held = (contexts_by_broadcast if few else contexts_by_join)(long, repeated, length)
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans (k, a, b) of most rows. Rows of hot anchors pass (k, id, a: place, c: string), and their distinct strings
-        once (c, h, id: least id, n: rows, context)."""
+        """Spans (k, a, b) of most rows. Rows of hot anchors pass (k, id, c and h: string, at: its places in the text), and their
+        distinct strings once (c, h, id: least id, n: rows, context)."""
         number: dict[tuple, int] = {}
         parts: list[tuple[np.ndarray, ...]] = []
         hot_names: dict[tuple, list] = {}
@@ -320,11 +320,9 @@ def repeated_spans(
                     entry[1] = min(entry[1], int(ids[i]))
                     entry[2] += 1
                     names.append(entry[0])
-                n = [len(at[i]) // 8 for i in chosen]
-                yield shard_output(
-                    k=np.repeat(k[chosen], n), id=np.repeat(ids[chosen], n), a=np.frombuffer(b"".join(at[i] for i in chosen), np.int64),
-                    c=np.repeat(np.array(names, np.int64), n),
-                )
+                ends = np.cumsum([0, *(len(at[i]) // 8 for i in chosen)]).astype(np.int32)
+                places = pa.array(np.frombuffer(b"".join(at[i] for i in chosen), np.int64))
+                yield shard_output(k=k[chosen], id=ids[chosen], c=names, h=h[chosen], at=pa.ListArray.from_arrays(pa.array(ends), places))
             cold = np.flatnonzero(~hot).tolist()
             index = np.array([number.setdefault(strings[i], len(number)) for i in cold], np.int64)
             n = [len(at[i]) // 8 for i in cold]
@@ -357,33 +355,43 @@ def repeated_spans(
             yield shard_output(k=k[r], a=at[r] + a[s], b=at[r] + b[s])
 
     def sort_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, least, often, strings = [], [], [], []
+        """One row for each string with a window that stands elsewhere too: its stretches, which are fewer than its bytes."""
+        names, anchor, least, often, strings = [], [], [], [], []
         for batch in batches:
             names.append(batch.column(0).to_numpy())
-            least.append(batch.column(1).to_numpy())
-            often.append(batch.column(2).to_numpy() > 1)
-            strings.extend(batch.column(3).to_pylist())
+            anchor.append(batch.column(1).to_numpy())
+            least.append(batch.column(2).to_numpy())
+            often.append(batch.column(3).to_numpy() > 1)
+            strings.extend(batch.column(4).to_pylist())
         if strings:
             owner, a, b, low = judge(strings, np.concatenate(least), np.concatenate(often), length)
-            columns = [np.concatenate(names)[owner], a, b, low]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "from", "to", "low"])
+            order = np.argsort(owner, kind="stable")
+            who, begin = np.unique(owner[order], return_index=True)
+            stretches = pa.StructArray.from_arrays([pa.array(c[order]) for c in (a, b, low)], ["from", "to", "low"])
+            ends = pa.array(np.r_[begin, len(order)].astype(np.int32))
+            columns = [pa.array(np.concatenate(c)[who]) for c in (names, anchor)] + [pa.ListArray.from_arrays(ends, stretches)]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "h", "stretches"])
 
     size = long.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(shards, -(-size // SHARD_BYTES))
     # rows of hot anchors may go anywhere
     target = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("h"))
     out = held.repartition(shards, target).mapInArrow(
-        sort_shard, "k long, id long, a long, b long, c long, h long, n long, context binary"
+        sort_shard, "k long, id long, a long, b long, c long, h long, n long, context binary, at array<long>"
     )
     out = cut_lineage(out, "shards")
     strings = out.where("context is not null").groupBy("c", "h", "context").agg(F.min("id").alias("least"), F.sum("n").alias("n"))
-    judged = strings.repartition(partitions(spark), "h").select("c", "least", "n", "context")
-    judged = cut_lineage(judged.mapInArrow(sort_hot, "name long, from long, to long, low long"), "judged")
-    hot = out.where("id is not null and k is not null").select("k", "id", "a", "c").join(judged, F.col("c") == F.col("name"))
-    hot = hot.where("id > low").select("k", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
-    spans = out.where("b is not null").select("k", "a", "b").union(hot)
+    judged = strings.repartition(partitions(spark), "h").select("c", "h", "least", "n", "context")
+    judged = judged.mapInArrow(sort_hot, "c long, h long, stretches array<struct<from: long, to: long, low: long>>")
+    # a text and string meet one row
+    hot = out.where("at is not null").select("k", "id", "at", "c", "h").join(cut_lineage(judged, "judged"), ["c", "h"])
+    hot = hot.withColumn("stretches", F.filter("stretches", lambda s: s["low"] < F.col("id"))).where(F.size("stretches") > 0)
+    hot = hot.select("k", F.flatten(F.transform("at", lambda p: F.transform(
+        "stretches", lambda s: F.struct((p + s["from"]).alias("start"), (p + s["to"]).alias("stop"))
+    ))).alias("spans"))
+    cold = out.where("b is not null").select("k", F.array(F.struct(F.col("a").alias("start"), F.col("b").alias("stop"))).alias("spans"))
     # a document has no more spans than bytes; repeated rows have one key and equal spans
-    spans = spans.groupBy("k").agg(F.collect_set(F.struct(F.col("a").alias("start"), F.col("b").alias("stop"))).alias("spans"))
+    spans = cold.union(hot).groupBy("k").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
