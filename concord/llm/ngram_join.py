@@ -154,7 +154,7 @@ def tile_keys(sets: np.ndarray, at: np.ndarray, bands: Bands) -> list[np.ndarray
             filled = np.bincount(part, minlength=base[-1]) > 0
             number = np.arange(base[-1]) - np.repeat(base[:-1], parts)
             place = number.astype(np.uint64) * _LANE[61] + np.repeat(band, parts).astype(np.uint64) * _LANE[62]
-            found = mix(sums + mix(place + np.uint64(cut) * _LANE[59])).astype(np.int64)
+            found = mix(sums + mix(place + np.uint64(cut) * _LANE[59:60])).astype(np.int64)
             last = cut == bands.cuts[band] - 1
             for i, a, b, whole in zip(chosen, base[:-1], base[1:], last, strict=True):
                 keys[i].append(found[a:b] if whole else found[a:b][filled[a:b]])
