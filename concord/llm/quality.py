@@ -30,8 +30,9 @@ SHARD_ROWS, BROADCAST_ROWS = 4_000_000, 2_000_000
 SLICE, HELD = 1 << 20, 2_000_000
 #: One of so many trusted documents is kept out of the counts, to set thresholds.
 FOLDS = 5
-#: Threshold: the median times (quantile / median) to the power REACH. Texts count as if they had PRIOR more bytes of median quality.
-QUANTILE, REACH, PRIOR = 0.99, 2.0, 60
+#: Threshold: the median times (quantile / median) to the power REACH, so the quantile itself. Texts count as if they had PRIOR more bytes
+#: of median quality.
+QUANTILE, REACH, PRIOR = 0.99, 1.0, 60
 
 LANG_SHIFT, ORDER_SHIFT = 40, 60
 BYTES = (1 << LANG_SHIFT) - 1
