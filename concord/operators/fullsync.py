@@ -61,14 +61,20 @@ def dead_letters(examined: DataFrame, job: Column) -> DataFrame:
     )
 
 
-def counters(examined: DataFrame, reported: Column | None = None) -> DataFrame:
+def counters(examined: DataFrame, reported: Column | None = None, job: Column | None = None, failures: DataFrame | None = None) -> DataFrame:
     """Progress row per tenant: processed, failed, total (the provider's own count when positive)
-    and the cursor, which is the last id covered."""
+    and the cursor, which is the last id covered. With the `failures` of applying the job's events ({tenant_id, source,
+    event_id}), records that passed the check and could not be applied count as failed."""
     n = F.count(F.lit(1))
     total = n if reported is None else F.when(reported > 0, reported).otherwise(n)
+    bad = F.col("error").isNotNull()
+    if failures is not None:
+        known = failures.select("tenant_id", "source", "event_id").distinct().withColumn("unapplied", F.lit(True))
+        examined = examined.withColumn("event_id", compose_id("jobsync", job, F.col("id"))).join(known, ["tenant_id", "source", "event_id"], "left")
+        bad = bad | F.col("unapplied").isNotNull()
     return examined.groupBy("tenant_id", "source").agg(
-        F.count_if(F.col("error").isNull()).alias("processed"),
-        F.count_if(F.col("error").isNotNull()).alias("failed"),
+        F.count_if(~bad).alias("processed"),
+        F.count_if(bad).alias("failed"),
         total.alias("total"),
         F.max("id").alias("cursor"),
     )

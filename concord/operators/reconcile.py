@@ -287,6 +287,43 @@ def recreate_not_found(changes: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def repair_outcomes(changes: DataFrame, results: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the provider's answers make of repairs: (findings, operations, outbound).
+
+    `changes` are rows of `delete_repairs` or `push_repairs`, `results` {tenant_id, event_id, kind, message, new_version} with kind
+    null for success; of repeated answers a success counts. Deleting what is gone already succeeds. A repair without a canonical
+    record (op null) is skipped without an answer. Changes without an answer decide nothing, nor do updates answered with
+    NOT_FOUND: `recreate_not_found` makes creates of them, whose answers are judged here in their turn.
+
+    `findings` {finding_id, to, error} suits `set_finding_status`, `operations` are ledger rows, and `outbound` holds the
+    fingerprints by which echoes of the pushes are known.
+    """
+    answer = F.struct("kind", "message", "new_version")
+    best = F.struct(F.col("kind").isNotNull(), -F.coalesce("new_version", F.lit(0)), "kind", "message")
+    answers = results.groupBy("tenant_id", "event_id").agg(F.min_by(answer, best).alias("answer"))
+    kind, op = F.col("answer.kind"), F.col("op")
+    lost = F.coalesce(kind == "NOT_FOUND", F.lit(False))
+    state = (
+        F.when(op.isNull(), "skipped")
+        .when(F.col("answer").isNull() | (lost & (op == "update")), F.lit(None))
+        .when(kind.isNull() | (lost & (op == "delete")), "applied")
+        .otherwise("failed")
+    )
+    judged = changes.join(answers, ["tenant_id", "event_id"], "left").withColumn("to", state)
+    error = F.when(F.col("to") == "skipped", "the canonical record is gone").when(F.col("to") == "failed", F.coalesce("answer.message", "answer.kind"))
+    done = judged.where("to = 'applied'").withColumn("target_source", F.col("target"))
+    operations = done.select(
+        *CK, "source", "target_source", "event_id", F.col("provider_version").alias("applied_version"), "fingerprint", now.alias("created_at")
+    )
+    outbound = (
+        done.where(op != "delete")
+        .groupBy(*CK, "target_source")
+        .agg(F.max_by(F.struct("fingerprint", F.col("answer.new_version").alias("applied_version")), F.struct("answer.new_version", "event_id")).alias("m"))
+        .select(*CK, "target_source", "m.*")
+    )
+    return judged.where(F.col("to").isNotNull()).select("finding_id", "to", error.alias("error")), operations, outbound
+
+
 def pushed_state(canonical: DataFrame, pushed: DataFrame, results: DataFrame) -> DataFrame:
     """Canonical rows after successful pushes: id mapping, reported version, one version step, live.
 

@@ -571,6 +571,19 @@ def _(spark, sf):
     return fullsync.counters(_examined(spark, sf)).select("tenant_id", "processed", "failed", "total", "cursor")
 
 
+@query(
+    "fullsync_apply_counters",
+    """SELECT tenant_id, count(*) FILTER (last_name <> '' AND ok) AS processed, count(*) FILTER (last_name = '' OR NOT ok) AS failed, count(*) AS total FROM
+       (SELECT *, EXISTS (SELECT 1 FROM {connections} c WHERE c.tenant_id = s.tenant_id AND c.provider = 'salesforce' AND c.tenant_id <> 't1') AS ok FROM {sf_snapshot} s WHERE NOT deleted) GROUP BY 1""",
+)
+def _(spark, sf):
+    job = F.lit("job-1")
+    e = _examined(spark, sf)
+    connected = frame(spark, sf, "connections").where("tenant_id <> 't1'")
+    failed = routing.route(fullsync.to_events(e, job, X.now()), frame(spark, sf, "policies"), connected).where("static_outcome = 'failed'")
+    return fullsync.counters(e, job=job, failures=failed).select("tenant_id", "processed", "failed", "total")
+
+
 # Reconciliation -----------------------------------------------------------------------------------
 
 VIEWS["compared"] = """
@@ -696,6 +709,45 @@ def _(spark, sf):
     )
 
 
+VIEWS["repairs"] = """
+SELECT *, a <> 4 AND a <> 2 AND NOT gone AND NOT (a = 1 AND kind = 'missing') AS good FROM (
+  SELECT *, n % 5 AS a, direction = 'push_canonical' AND n % 7 = 3 AS gone FROM (
+    SELECT *, CAST(right(canonical_id, 6) AS int) AS n FROM {found} WHERE NOT blocked AND direction <> 'adopt_provider') x) y
+"""
+
+
+@query(
+    "reconcile_outcomes",
+    """SELECT run_id, kind, provider_id, canonical_id, CASE WHEN gone THEN 'skipped' WHEN good THEN 'applied' WHEN a = 4 THEN 'pending' ELSE 'failed' END AS status,
+       CASE WHEN gone THEN 'the canonical record is gone' WHEN a = 2 THEN 'slow down' WHEN a = 1 AND NOT good THEN 'NOT_FOUND' END AS error,
+       CASE WHEN good THEN provider_version END AS ledger_version, CASE WHEN good AND direction = 'push_canonical' THEN provider_version + CASE WHEN a = 1 THEN 2 ELSE 1 END END AS echo_version
+       FROM {repairs}
+       UNION ALL SELECT run_id, kind, provider_id, canonical_id, CASE WHEN blocked THEN 'skipped' ELSE 'pending' END,
+       CASE WHEN blocked THEN concat('delete_policy=', delete_policy, CASE kind WHEN 'deleted' THEN ': deletes stay where they are' ELSE ': the outside deletion stands' END) END, NULL, NULL
+       FROM {found} WHERE blocked OR direction = 'adopt_provider'""",
+)
+def _(spark, sf):
+    f, runs = cut_lineage(_findings(spark, sf), "findings"), _runs(spark, sf)
+    n = F.substring("entity_id", -6, 6).cast("int")
+    answer, none = n % 5, F.lit(None).cast("string")
+    kept = X.canonical_seed(spark, sf).where(n % 7 != 3)
+    changes = cut_lineage(reconcile.delete_repairs(f, runs).unionByName(reconcile.push_repairs(f, runs, kept)), "repairs")
+    results = changes.where(F.col("op").isNotNull() & (answer != 4)).select(
+        "tenant_id", "event_id", F.when(answer == 1, "NOT_FOUND").when(answer == 2, "RATE_LIMITED").alias("kind"),
+        F.when(answer == 2, "slow down").alias("message"), (F.col("provider_version") + 1).alias("new_version"),
+    )
+    again = reconcile.recreate_not_found(changes, results)
+    created = again.select("tenant_id", "event_id", none.alias("kind"), none.alias("message"), (F.col("provider_version") + 2).alias("new_version"))
+    rounds = [reconcile.repair_outcomes(c, r, X.now()) for c, r in ((changes, results), (again, created))]
+    moves, ledger, sent = (first.unionByName(second) for first, second in zip(*rounds, strict=True))
+    done = reconcile.set_finding_status(f, moves, X.now()).withColumn("event_id", C.compose_id("reconcile", F.col("finding_id")))
+    ledger = ledger.select("event_id", F.col("applied_version").alias("ledger_version"))
+    sent = sent.select("tenant_id", F.col("entity_id").alias("canonical_id"), F.col("applied_version").alias("echo_version"))
+    return done.join(ledger, "event_id", "left").join(sent, ["tenant_id", "canonical_id"], "left").select(
+        "run_id", "kind", "provider_id", "canonical_id", "status", "error", "ledger_version", "echo_version"
+    )
+
+
 def _adopted(spark, sf):
     from concord.operators.replay import replay
 

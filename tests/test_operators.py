@@ -281,6 +281,33 @@ def test_push_not_found_recreates_and_updates_state(spark, synced):
     assert gone.op is None
 
 
+def test_repair_outcomes(spark):
+    ddl = (
+        "finding_id string, op string, tenant_id string, entity_type string, entity_id string, source string, event_id string, "
+        "target string, provider_id string, payload map<string,string>, fingerprint string, provider_version bigint"
+    )
+    ops = {"f1": "delete", "f2": "delete", "f3": None, "f4": "update", "f5": "update", "f6": "create", "f7": "update"}
+    rows = [(f, op, "t0", "customer", f"c{f}", "hubspot", f"reconcile:{f}", "hubspot", "p", None, "" if op == "delete" else f"fp-{f}", 4) for f, op in ops.items()]
+    changes = spark.createDataFrame(rows, ddl)
+    answers = [("f1", "NOT_FOUND", None, None), ("f2", "RATE_LIMITED", "slow down", None), ("f4", "TIMEOUT", None, None), ("f4", None, None, 5),
+               ("f5", "NOT_FOUND", None, None), ("f6", "NOT_FOUND", None, None), ("zz", None, None, 9)]
+    ddl = "tenant_id string, event_id string, kind string, message string, new_version bigint"
+    results = spark.createDataFrame([("t0", f"reconcile:{f}", *rest) for f, *rest in answers], ddl)
+    found, operations, outbound = reconcile.repair_outcomes(changes, results, now())
+    assert {r.finding_id: (r.to, r.error) for r in found.collect()} == {
+        "f1": ("applied", None), "f2": ("failed", "slow down"), "f3": ("skipped", "the canonical record is gone"),
+        "f4": ("applied", None), "f6": ("failed", "NOT_FOUND"),
+    }
+    assert operations.columns == spark.createDataFrame([], S.OPERATION).columns
+    assert sorted((r.entity_id, r.applied_version, r.fingerprint) for r in operations.collect()) == [("cf1", 4, ""), ("cf4", 4, "fp-f4")]
+    assert outbound.columns == spark.createDataFrame([], S.OUTBOUND).columns
+    assert [(r.entity_id, r.fingerprint, r.applied_version) for r in outbound.collect()] == [("cf4", "fp-f4", 5)]
+    again = reconcile.recreate_not_found(changes, results)
+    found, _, outbound = reconcile.repair_outcomes(again, spark.createDataFrame([("t0", "reconcile:f5", None, None, 8)], ddl), now())
+    assert [tuple(r) for r in found.collect()] == [("f5", "applied", None)]
+    assert [(r.entity_id, r.applied_version) for r in outbound.collect()] == [("cf5", 8)]
+
+
 def test_stored_findings_stand(spark, synced):
     _, _, found, _ = sweep(spark, synced)
     assert reconcile.new_findings(found.where("kind = 'drift'"), found).count() == found.count() - 1
