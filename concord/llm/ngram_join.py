@@ -110,7 +110,8 @@ class Bands:
         while edges[-1] < most:
             edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2, -(-edges[-1] * 100 // percent)))
         self.edges = np.array(edges, np.int64)
-        low, top = self.edges[:-1], self.edges[1:] - 1
+        # sets of the band before, if similar ones may lie in this band, are smaller than its edge
+        low, top = np.maximum(self.edges[:-1] * percent // 100, 1), self.edges[1:] - 1
         unequal = 2 * top * (100 - percent) // (100 + percent)
         self.parts, enough = unequal + 1, unequal == 0
         # as many parts as it takes for most of a band's smallest sets to have no more empty ones than may be left out
