@@ -4,9 +4,11 @@ Sets of similar size fall into one size band (a set near the upper edge also int
 elements in which two of its similar sets differ. Each set is cut by hash into H + 1 + E parts, so two similar sets have at
 least E + 1 parts in common: a tile is all sets of a band with one equal part. Nothing is lost, however frequent a shingle is.
 
-An empty part says nothing and would be a tile of unlike sets. If one of two similar sets has at most E empty parts, they also share
-one that is not empty. So a set takes part in the tiles of its filled parts; sets with more than E empty parts are cut once
-more by another hash, for the pairs among themselves, and so on; only the last cut has tiles of empty parts too.
+An empty part says nothing and would be a tile of unlike sets, and a part of one frequent shingle nearly so. A set with at most E empty
+parts leaves out the E parts of fewest elements, the empty ones first, in an order that depends on a part's content alone. Of the
+equal parts of two similar sets, the set that leaves out more leaves out all that either does, E at most; one is left. Sets with
+more than E empty parts take part with all filled ones and are cut once more by another hash, for the pairs among themselves, and so
+on; only the last cut has tiles of empty parts too.
 
 Inside a tile sets carry bitmap signatures. If a bits of one signature are missing in the other, at least that many
 elements are missing too, which bounds the overlap from above; only pairs that pass go to the exact intersection
@@ -40,11 +42,13 @@ WIDE_EACH, WIDE_LEAST, WIDE_MOST = 4, 512, 131_072
 CUTS, ABOVE = 6, 1.5
 #: Members of a block of a large tile, rows up to which a stored table is broadcast.
 BLOCK, BROADCAST_ROWS = 1000, 400_000
-#: Tiles (two numbers each) up to which they are broadcast, so that only the members of shared tiles are shuffled.
+#: Tiles (a number each) up to which they are broadcast, so that only the members of shared tiles are shuffled.
 TILE_ROWS = 2_000_000
 #: The first searches: in how many of its tiles a class is searched, and how many spanning forests of pairs a pair of blocks offers;
 #: and how many times more forests each further search offers, which takes a class to all its open tiles.
 FIRST_ROUNDS, MORE = ((1, 1),), 8
+#: Words of bitmaps held against each other at once.
+PLANE = 1 << 19
 #: Bytes worked on at once; it bounds the scratch arrays of a task.
 SLICE = 2 << 20
 
@@ -152,14 +156,18 @@ def tile_keys(sets: np.ndarray, at: np.ndarray, bands: Bands) -> list[np.ndarray
             part = (dealt % parts[index].astype(np.uint64)).astype(np.int64) + base[index]
             sums = np.zeros(base[-1], np.uint64)
             np.add.at(sums, part, marks[elements])
-            filled = np.bincount(part, minlength=base[-1]) > 0
+            filled = np.bincount(part, minlength=base[-1])
             number = np.arange(base[-1]) - np.repeat(base[:-1], parts)
             place = number.astype(np.uint64) * _LANE[61] + np.repeat(band, parts).astype(np.uint64) * _LANE[62]
             found = mix(sums + mix(place + np.uint64(cut) * _LANE[59:60])).astype(np.int64)
-            last = cut == bands.cuts[band] - 1
-            for i, a, b, whole in zip(chosen, base[:-1], base[1:], last, strict=True):
-                keys[i].append(found[a:b] if whole else found[a:b][filled[a:b]])
-            chosen = chosen[~last & (parts - np.add.reduceat(filled, base[:-1], dtype=np.int64) > bands.spare[band])]
+            last, spare = cut == bands.cuts[band] - 1, bands.spare[band]
+            empty = np.add.reduceat((filled == 0).astype(np.int64), base[:-1])
+            # the parts of each set from the smallest on, of which as many as may be left out are
+            found = found[np.lexsort((number, filled, np.repeat(np.arange(len(chosen)), parts)))]
+            out = np.where(empty <= spare, spare, np.where(last, 0, empty))
+            for i, a, b in zip(chosen, base[:-1] + out, base[1:], strict=True):
+                keys[i].append(found[a:b])
+            chosen = chosen[~last & (empty > spare)]
     return [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
 
 
@@ -203,26 +211,56 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def candidates_in_tile(group: pa.Table, percent: int, forests: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one block pair of a tile that the bitmaps allow, that join different components and were not refused before, and
-    whether there are more. They make up so many spanning forests: a pair is offered if it joins two parts that no pair of
-    one of the forests has joined yet, so that a group of n near copies offers n - 1 pairs a forest and not all its pairs."""
-    order = np.argsort(group["c"].to_numpy())
-    group = group.take(pa.array(order))
+def partners(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one block pair of a tile, sorted by class: each member with the later ones that it may be similar to by the bitmaps, that
+    belong to other components and that were not refused before."""
     c, side, n, root = (group[k].to_numpy() for k in ("c", "side", "n", "root"))
     bits = [np.array(b.values, np.int64).view(np.uint64) for b in group["bits"]]
     words = min(map(len, bits))
     bits = np.stack([folded(b, words) for b in bits])
     # folding to the shortest signature keeps the bound, if a looser one
-    refused = [r.as_py() or () for r in group["refused"]]
-    parts = [np.unique(root, return_inverse=True)[1] for _ in range(min(forests, len(c)))]
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    step = max(1, PLANE // bits.size)
+    for a in range(0, len(c), step):
+        b = min(a + step, len(c))
+        both = np.bitwise_count(bits[a:b, None] & bits[None, a:]).sum(2, dtype=np.int64)
+        most = both + np.minimum((n - ones)[a:b, None], (n - ones)[None, a:])
+        good = 100 * most >= percent * (n[a:b, None] + n[None, a:] - most)
+        good &= root[a:b, None] != root[None, a:]
+        good &= (side[a:b, None] != side[None, a:]) | (side[a:b, None] == 2)
+        good &= np.arange(a, len(c))[None] > np.arange(a, b)[:, None]
+        for v in np.flatnonzero(good.any(1)).tolist():
+            others = a + np.flatnonzero(good[v])
+            refused = group["refused"][a + v].as_py()
+            if refused:
+                others = others[~np.isin(c[others], refused)]
+            if len(others):
+                yield a + v, others
+
+
+def in_order(group: pa.Table) -> pa.Table:
+    return group.take(pa.array(np.argsort(group["c"].to_numpy())))
+
+
+def possible_in_tile(group: pa.Table, percent: int) -> np.ndarray:
+    """The classes of one block pair of a tile that have a partner in it by the bitmaps."""
+    group = in_order(group)
+    c, live = group["c"].to_numpy(), np.zeros(len(group), bool)
+    for v, others in partners(group, percent):
+        live[v] = live[others] = True
+    return c[live]
+
+
+def candidates_in_tile(group: pa.Table, percent: int, forests: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one block pair of a tile that the bitmaps allow, that join different components and were not refused before, and
+    whether there are more. They make up so many spanning forests: a pair is offered if it joins two parts that no pair of
+    one of the forests has joined yet, so that a group of n near copies offers n - 1 pairs a forest and not all its pairs."""
+    group = in_order(group)
+    c, root = (group[k].to_numpy() for k in ("c", "root"))
+    first = np.unique(root, return_inverse=True)[1]
+    parts = [first.copy() for _ in range(min(forests, len(c)))]
     out, more = [], False
-    for v in range(len(c)):
-        others = np.arange(v + 1, len(c))
-        others = others[(root[others] != root[v]) & ((side[others] != side[v]) | (side[v] == 2))]
-        most = most_shared(bits[v], n[v], bits[others], n[others])
-        others = others[100 * most >= percent * (n[v] + n[others] - most)]
-        others = others[~np.isin(c[others], refused[v])]
+    for v, others in partners(group, percent):
         for part in parts:
             new = np.flatnonzero(part[others] != part[v])
             while len(new):
@@ -351,12 +389,24 @@ def near_duplicates(
 
         return inside
 
+    def possible(group: pa.Table) -> pa.Table:
+        live = pa.array(possible_in_tile(group, percent))
+        columns = [pa.array([group[k][0].as_py()] * len(live), pa.int64()) for k in ("tile", "i", "j")]
+        return pa.table([*columns, live], ["tile", "i", "j", "c"])
+
     texts = id_and_bytes(df, id_col, text_col)
     rows = cut_lineage(texts.mapInArrow(describe, "id long, n long, c long, bits array<long>, wide array<long>, tiles array<long>"), "sets")
-    members = rows.where("n > 0").select(F.explode("tiles").alias("tile"), "c")
-    tiles = members.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top")
-    tiles = cut_lineage(tiles.select("tile", "low"), "tiles")
-    members = cut_lineage(members.join(sized(tiles, TILE_ROWS), "tile").select("tile", "low", "c").distinct(), "tile-members")
+    # one row of each class; a class is known by rows with an id
+    whole = rows.where("n > 0 and id is not null")
+    again = whole.groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("c", "first")
+    again = cut_lineage(again, "repeated-classes")
+    members = whole.join(sized(again), "c", "left").where("first is null or id = first").select(F.explode("tiles").alias("tile"), "c")
+    # the tiles alone are counted first: most belong to one class, and their members need not move
+    tiles = cut_lineage(members.groupBy("tile").count().where("count > 1").select("tile"), "tiles")
+    members, alike = members.join(sized(tiles, TILE_ROWS), "tile"), W.partitionBy("tile")
+    members = members.withColumns({"low": F.min("c").over(alike), "top": F.max("c").over(alike)}).where("low < top")
+    members = cut_lineage(members.select("tile", "low", "c").distinct(), "tile-members")
+    discard(again, tiles)
 
     # the signatures of the classes that share a tile with another
     classes = cut_lineage(members.select("c").distinct(), "classes")
@@ -394,11 +444,22 @@ def near_duplicates(
         # side 0 and 1 of a pair of blocks meet each other, side 2 is a block by itself
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
         low, high = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-        met = met.select("tile", "c", "root", low, high, side).join(signed, "c").join(refused, ["tile", "i", "j", "c"], "left")
-        met = met.select("tile", "i", "j", "side", "c", "root", "n", F.col("wide").alias("bits"), "refused")
+        met = met.select("tile", "c", "root", low, high, side).join(refused, ["tile", "i", "j", "c"], "left")
+        columns, stored = ["tile", "i", "j", "side", "c", "root", "n"], None
+        if tiles_each is None:
+            # short signatures go to every tile, wide ones only to members that have a partner by the short ones
+            met = cut_lineage(met, "met")
+            short = met.join(signed, "c").select(*columns, "bits", "refused")
+            live = short.groupBy("tile", "i", "j").applyInArrow(possible, "tile long, i long, j long, c long")
+            live = cut_lineage(live, "live")
+            stored = (met, live)
+            met = met.join(sized(live), ["tile", "i", "j", "c"], "left_semi")
+        met = met.join(signed, "c").select(*columns, F.col("wide").alias("bits"), "refused")
         found = met.groupBy("tile", "i", "j").applyInArrow(search(forests), "tile long, a long, b long, more boolean")
         found = cut_lineage(found, "candidates")
         discard(placed)
+        if stored is not None:
+            discard(*stored)
         if found.isEmpty():
             if tiles_each is None:
                 break
