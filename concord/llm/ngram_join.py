@@ -424,13 +424,16 @@ def near_duplicates(
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-        wanted = cut_lineage(named.join(sized(cut_lineage(wanted, "wanted")), "c"), "wanted-ids")
+        classes = cut_lineage(wanted, "wanted")
+        wanted = cut_lineage(named.join(sized(classes), "c"), "wanted-ids")
         chosen = texts.join(sized(wanted), "id").select("c", "body")
         sets = chosen.mapInArrow(load, "c long, members array<long>").dropDuplicates(["c"])
         sets = cut_lineage(sets, "members")
         pairs = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
         pairs = pairs.join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-        return cut_lineage(pairs.mapInArrow(verify, "a long, b long, good boolean"), "verified")
+        out = cut_lineage(pairs.mapInArrow(verify, "a long, b long, good boolean"), "verified")
+        discard(classes, wanted, sets)
+        return out
 
     # only what the bitmaps let pass is read as sets
     seen = verified(pairs)
