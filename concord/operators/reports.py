@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.columns import clamp_limit, micros
 from concord.operators.scope import scoped
+from concord.schemas import EK
 from concord.session import cut_lineage
 
 
@@ -118,6 +119,44 @@ def convergence(events: DataFrame, canonical: DataFrame, letters: DataFrame, que
     return total.withColumn("data_loss", F.greatest(F.lit(0), F.col("source") - F.col("canonical") - F.col("dead")))
 
 
+#: Distinct keys (as a power of two) up to which a sketch is exact; it takes eight bytes for each at most.
+SKETCH_POWER = 14
+
+
+def key_sketches(df: DataFrame, at: str) -> DataFrame:
+    """(tenant_id, day, keys): theta sketches of the event keys of each tenant and day. They are folded before the shuffle, can be
+    stored, and merge with those of later runs. A repeated key counts once, one with a null part not at all."""
+    key = F.concat(F.octet_length("source"), F.lit(":"), "source", "event_id")
+    days = df.select("tenant_id", F.to_date(at).alias("day"), key.alias("key"))
+    return days.groupBy("tenant_id", "day").agg(F.theta_sketch_agg("key", SKETCH_POWER).alias("keys"))
+
+
+def unsettled_estimate(received: DataFrame, *settled: DataFrame) -> DataFrame:
+    """Per tenant and day, from sketches alone: how many events were received, and how many of them neither an applied change nor a
+    dead letter of any day accounts for. Exact while a tenant's sketches hold less than 2 ** SKETCH_POWER keys; beyond that the error of
+    `received` is below two percent, that of `unsettled` relative to the settled keys. Rows of sketches are merged by tenant; no raw row is read."""
+    days = received.groupBy("tenant_id", "day").agg(F.theta_union_agg("keys", SKETCH_POWER).alias("keys"))
+    done = None
+    for sketches in settled:
+        rows = sketches.select("tenant_id", "keys")
+        done = rows if done is None else done.unionByName(rows)
+    count = F.theta_sketch_estimate("keys").alias("received")
+    if done is None:
+        return days.select("tenant_id", "day", count, F.theta_sketch_estimate("keys").alias("unsettled"))
+    done = done.groupBy("tenant_id").agg(F.theta_union_agg("keys", SKETCH_POWER).alias("done"))
+    rest = F.theta_sketch_estimate(F.theta_difference("keys", F.col("done")))
+    left = F.when(F.col("done").isNull(), F.theta_sketch_estimate("keys")).otherwise(rest)
+    return days.join(done, "tenant_id", "left").select("tenant_id", "day", count, left.alias("unsettled"))
+
+
+def unsettled(events: DataFrame, *settled: DataFrame) -> DataFrame:
+    """The keys themselves, once each: events that none of the other tables holds."""
+    out = events.select(*EK).where(" AND ".join(f"{c} IS NOT NULL" for c in EK)).distinct()
+    for df in settled:
+        out = out.join(df.select(*EK), EK, "left_anti")
+    return out
+
+
 def duplicate_emails(records: DataFrame) -> DataFrame:
     """Destination records that share an email."""
     return records.groupBy("tenant_id", "email").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

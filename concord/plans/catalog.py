@@ -899,6 +899,32 @@ def _(spark, sf):
     return reports.convergence(e, X.canonical_seed(spark, sf), _letters(spark, sf), _queue_rows(spark, sf))
 
 
+def _settled(spark, sf):
+    r = frame(spark, sf, "write_results")
+    return r.where("status_code < 300"), r.where("status_code in (401, 422)")
+
+
+@query(
+    "report_unsettled",
+    """SELECT DISTINCT tenant_id, source, event_id FROM {change_feed} f WHERE event_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {write_results} r
+       WHERE r.tenant_id = f.tenant_id AND r.source = f.source AND r.event_id = f.event_id AND (status_code < 300 OR status_code IN (401, 422)))""",
+)
+def _(spark, sf):
+    return reports.unsettled(X.change_events(spark, sf), *_settled(spark, sf))
+
+
+@query(
+    "report_unsettled_estimate",
+    """WITH e AS (SELECT DISTINCT tenant_id, source, event_id, cast(received_at AS date) AS day FROM {change_feed} WHERE event_id IS NOT NULL),
+       d AS (SELECT DISTINCT tenant_id, source, event_id FROM {write_results} WHERE status_code < 300 OR status_code IN (401, 422))
+       SELECT e.tenant_id, day, count(*) AS received, count(*) - count(d.event_id) AS unsettled FROM e LEFT JOIN d
+       ON d.tenant_id = e.tenant_id AND d.source = e.source AND d.event_id = e.event_id GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    sketches = [reports.key_sketches(df, "received_at") for df in (X.change_events(spark, sf), *_settled(spark, sf))]
+    return reports.unsettled_estimate(*sketches)
+
+
 @query("report_duplicate_emails", "SELECT tenant_id, email, count(*) AS n FROM {edits} GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf):
     return reports.duplicate_emails(frame(spark, sf, "edits"))

@@ -418,3 +418,28 @@ def test_alert_needs_the_whole_hold_time(spark):
     obs = spark.createDataFrame(rows, "metric string, at timestamp_ntz, n bigint")
     fired = [r.step for r in metrics.alert(obs, "event_failure_rate_high", 60).orderBy("step").collect()]
     assert fired and fired[0] == minutes(30) and all(minutes(30) <= s <= minutes(46) for s in fired)
+
+
+# Settled and lost events as sets
+
+
+def test_unsettled_events_by_sketches_and_exactly(spark):
+    keys = "tenant_id string, source string, event_id string, at timestamp_ntz"
+    many = spark.range(60_000).selectExpr("'big' tenant_id", "'crm' source", "cast(id as string) event_id", "timestamp_ntz'2024-03-01 00:00:00' at")
+    rows = [("a", "crm", "1", T0), ("a", "crm", "1", T0), ("a", "crm1", "1", T0), ("a", "crm", "11", T0), ("b", "crm", "1", T0), ("b", "crm", None, T0)]
+    events = spark.createDataFrame([(*r[:3], r[3].replace(tzinfo=None)) for r in rows], keys).union(many)
+    applied = many.where("cast(event_id as int) % 2 = 0").union(events.where("tenant_id = 'a' and source = 'crm' and event_id = '1'"))
+    letters = spark.createDataFrame([("c", "crm", "1", T0.replace(tzinfo=None))], keys)
+    exact = reports.unsettled(events, applied, letters)
+    assert exact.count() == 30_000 + 3
+    assert {r.event_id for r in exact.where("tenant_id = 'a'").collect()} == {"1", "11"}
+    sketches = [reports.key_sketches(df, "at") for df in (events, applied, letters)]
+    found = {r.tenant_id: (r.received, r.unsettled) for r in reports.unsettled_estimate(*sketches).collect()}
+    assert found["a"] == (3, 2) and found["b"] == (1, 1) and set(found) == {"a", "b", "big"}
+    assert abs(found["big"][0] - 60_000) < 1_200 and abs(found["big"][1] - 30_000) < 1_800
+    # sketches of parts merge to those of the whole
+    parts = sketches[0].where("tenant_id <> 'big'").union(sketches[0].where("tenant_id <> 'big'"))
+    again = {r.tenant_id: (r.received, r.unsettled) for r in reports.unsettled_estimate(parts, *sketches[1:]).collect()}
+    assert again["a"] == (3, 2) and again["b"] == (1, 1)
+    assert {r.unsettled for r in reports.unsettled_estimate(parts).collect()} == {3, 1}
+    assert reports.unsettled_estimate(sketches[0].limit(0), sketches[1]).count() == 0
