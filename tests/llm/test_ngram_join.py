@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from concord.llm.ngram_join import Bands, candidates_in_tile, near_duplicates, one_of_each
+from concord.llm.ngram_join import Bands, candidates_in_tile, near_duplicates, one_of_each, tile_keys
 from tests.llm.helpers import LOWER, ODD, components, documents, edited, prose
 
 
@@ -145,3 +146,20 @@ def test_small_blocks_and_many_rounds_lose_no_link(spark, monkeypatch):
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
     assert one_of_each(documents(spark, [(1, None), (2, " ")])).count() == 2
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_tile_whatever_parts_are_left_out(percent):
+    rng, bands = np.random.default_rng(3), Bands(percent)
+    for size in [*range(1, 40), 60, 77, 100, 150, 230, 400, 900]:
+        for _ in range(6):
+            pool = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+            # the largest difference that still links: some elements of each set are its own
+            lost = int(rng.integers(0, 2 * size * (100 - percent) // (100 + percent) + 1))
+            own = int(rng.integers(0, lost + 1))
+            a, b = np.unique(pool[: size - own]), np.unique(np.r_[pool[lost - own : size - own], pool[size : size + own]])
+            shared = len(np.intersect1d(a, b))
+            if not len(a) or not len(b) or 100 * shared < percent * (len(a) + len(b) - shared):
+                continue
+            x, y = tile_keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), bands)
+            assert set(x.tolist()) & set(y.tolist()), (size, lost, own)
