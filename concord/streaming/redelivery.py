@@ -1,8 +1,9 @@
 """Delayed redelivery with timers: retries come back when they are due, without a scan of a queue.
 
-Each waiting retry is keyed state of its event with one processing-time timer, kept by the state store and its checkpoint. A
-trigger touches the entries that arrive or fall due and no others; after a restart timers go on where they stood, and
-an entry that was sent is gone with the batch that sent it.
+Waiting retries are keyed state with processing-time timers, kept by the state store and its checkpoint. Events are dealt to
+shelves by hash; a shelf is one state value with one timer, for its earliest retry, so a trigger asks the store a few times for each
+shelf and not for each event. It touches the shelves of the entries that arrive or fall due and no others; after a
+restart timers go on where they stood, and an entry that was sent is gone with the batch that sent it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from concord.schemas import EK
 
 #: State stores with timers need RocksDB.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Part of the checkpoint, as the key of the state. A trigger rewrites the shelves it touches, so a shelf should hold some thousands of entries at most.
+SHELVES = 1 << 12
 OUT = "tenant_id string, source string, event_id string, attempt int, due_us bigint, arrival_seq bigint, state string"
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -28,34 +31,57 @@ def micros(at: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), at)
 
 
+_NAMES = [c.split()[0] for c in OUT.split(", ")]
+_SHELF = ", ".join(f"{n} array<{t}>" for n, t in (c.split() for c in OUT.split(", "))) + ", timer bigint"
+
+
+def _fires(due_us: int) -> int:
+    """Milliseconds at which a retry is due."""
+    return -(-due_us // 1000)
+
+
 class Waiting(StatefulProcessor):
-    """The retry of one event, if any, and its timer."""
+    """The retries of one shelf, at most one for each event, and the timer of the earliest."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "attempt int, due_us bigint, arrival_seq bigint, state string, timer bigint")
+        self.shelf = handle.getValueState("shelf", _SHELF)
+
+    def _held(self) -> tuple[dict[tuple, tuple], int | None]:
+        held = self.shelf.get()
+        if held is None:
+            return {}, None
+        *columns, timer = held
+        return {entry[:3]: entry[3:] for entry in zip(*columns, strict=True)}, timer
+
+    def _send(self, entries: dict[tuple, tuple], now: int, timer: int | None, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        """Send what is due, keep the rest under the timer of the earliest. Spark deletes the timer that `fired` itself."""
+        due = [(*event, *entry) for event, entry in entries.items() if _fires(entry[1]) <= now]
+        rest = [(*event, *entry) for event, entry in entries.items() if _fires(entry[1]) > now]
+        first = min(_fires(entry[4]) for entry in rest) if rest else None
+        if timer is not None and timer != first and timer != fired:
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.shelf.update((*map(list, zip(*rest, strict=True)), first))
+            if first != timer:
+                self.handle.registerTimer(first)
+        elif timer is not None:
+            self.shelf.clear()
+        return iter([pd.DataFrame(due, columns=_NAMES)] if due else [])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entries, timer = self._held()
         moves = pd.concat(list(rows)).sort_values(["order", "arrival_seq"], kind="stable")
-        for move in moves.itertuples(index=False):
-            held = self.entry.get()
-            if held is not None:
-                self.handle.deleteTimer(held[4])
-                self.entry.clear()
-            if move.action == "schedule":
-                attempt = int(move.attempt) if held is None else held[0] + 1
-                due = int(move.due_us)
-                timer = -(-due // 1000)
-                self.entry.update((attempt, due, int(move.arrival_seq), move.state, timer))
-                self.handle.registerTimer(timer)
-        return iter([])
+        for action, *event, attempt, due, seq, state in zip(*(moves[n] for n in ["action", *_NAMES]), strict=True):
+            event = tuple(None if v != v else v for v in event)  # pandas may have nan for null
+            held = entries.pop(event, None)
+            if action == "schedule":
+                entries[event] = (int(attempt) if held is None else held[0] + 1, int(due), int(seq), None if state != state else state)
+        return self._send(entries, timerValues.getCurrentProcessingTimeInMs(), timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.entry.get()
-        if held is not None and held[4] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.entry.clear()
-            names = [c.split()[0] for c in OUT.split(", ")]
-            yield pd.DataFrame([[*key, *held[:4]]], columns=names)
+        entries, timer = self._held()
+        return self._send(entries, timerValues.getCurrentProcessingTimeInMs(), timer, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -79,13 +105,14 @@ def cancel(keys: DataFrame, order: Column | None = None) -> DataFrame:
     )
 
 
-def redeliver(moves: DataFrame) -> DataFrame:
+def redeliver(moves: DataFrame, shelves: int = SHELVES) -> DataFrame:
     """Stream of retries that have fallen due: EK, attempt, next_attempt_at, arrival_seq, state. Apply the rows of a batch in the
-    order of `next_attempt_at` and `arrival_seq`. Moves of one event in one batch count by `order`. Sets the session's state
-    store to RocksDB, which timers need, for the streams started from here on."""
+    order of `next_attempt_at` and `arrival_seq`. Moves of one event in one batch count by `order`. A checkpoint stays with its number
+    of `shelves`. Sets the session's state store to RocksDB, which timers need, for the streams started from here on."""
     spark = moves.sparkSession
     spark.conf.set(*PROVIDER)
-    due = moves.groupBy(*EK).transformWithStateInPandas(Waiting(), OUT, "Append", "ProcessingTime")
+    dealt = moves.withColumn("shelf", F.pmod(F.xxhash64(*EK), F.lit(shelves)).cast("int"))
+    due = dealt.groupBy("shelf").transformWithStateInPandas(Waiting(), OUT, "Append", "ProcessingTime")
     at = F.timestamp_add("MICROSECOND", F.col("due_us"), F.expr(_EPOCH))
     return due.select(*EK, "attempt", at.alias("next_attempt_at"), "arrival_seq", "state")
 

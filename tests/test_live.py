@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,68 @@ def test_retries_come_back_when_due_and_once_over_a_restart(spark, tmp_path):
     both = run(4)
     assert dt.datetime.now(dt.UTC).replace(tzinfo=None) >= soon
     assert [r[2:] for r in both] == [("b", 2, "s-b"), ("a", 1, "s-a"), ("e", 1, "s-e"), ("c", 2, "s-c")]
+
+
+class Shelf:
+    """The state and timers of one shelf, and how often they were asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def test_many_retries_take_few_calls_of_the_store():
+    shelf, waiting = Shelf(), redelivery.Waiting()
+    waiting.init(shelf)
+    columns = ["tenant_id", "source", "event_id", "action", "attempt", "due_us", "arrival_seq", "state", "order"]
+
+    def put(rows, now):
+        return sent(waiting.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), At(now)))
+
+    def sent(frames):
+        return [tuple(r) for f in frames for r in f.itertuples(index=False)]
+
+    def move(i, action="schedule", attempt=1, due=None, order=0):
+        return ("t0" if i % 2 else None, "hubspot", f"e{i}", action, attempt, (1_000_000 + i * 1000 if due is None else due), i, f"s{i}", order)
+
+    assert put([move(i) for i in range(2000)] + [move(i, "cancel", order=1) for i in range(0, 2000, 10)], 500) == []
+    assert shelf.timers == {1001} and shelf.calls <= 4
+    # one waits longer and counts one attempt more, one is due at once, one is taken out
+    assert [r[2:4] for r in put([move(1, due=9_000_000), move(2, due=0), move(3, "cancel")], 900)] == [("e2", 2)]
+    shelf.timers -= {1004}  # Spark takes out a timer that has fired
+    assert [r[2] for r in sent(waiting.handleExpiredTimer((0,), At(1005), At(1004)))] == ["e4", "e5"]
+    assert shelf.timers == {1006} and shelf.calls <= 12
+    shelf.timers -= {1006}
+    rest = sent(waiting.handleExpiredTimer((0,), At(9000), At(1006)))
+    assert [(r[2], r[3]) for r in rest if r[3] != 1] == [("e1", 2)] and rest[0][:3] == (None, "hubspot", "e6")
+    assert len(rest) == 2000 - 200 - 4 and shelf.value is None and not shelf.timers
