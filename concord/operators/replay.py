@@ -38,7 +38,7 @@ from concord.schemas import (
 from concord.session import cut_lineage
 
 CHUNK_ROWS = 2_000
-SLICE = 32
+LEVELS = 3
 PART_ROWS = 200_000
 # Above this many oversized clusters the list is no longer worth broadcasting: chunk everything.
 MAX_BROADCAST_CLUSTERS = 100_000
@@ -304,7 +304,8 @@ def _fold_expr(_application: str, _providers: tuple[str, ...]) -> Column:
     no_log = F.expr(f"cast(array() as array<{log_ddl()}>)")
 
     # An aggregate copies its state at every element, so a growing log must not be part of a long
-    # one: the steps are taken in slices, and only whole slices are added to the collected log. For
+    # one: the steps are taken in slices of slices, LEVELS deep, each with as many parts as the next, and only whole
+    # slices are added to the collected log. A step thus copies LEVELS * n ** (1 / LEVELS) / 2 entries. For
     # the same reason a step yields its own entry, which joins the slice's log as the next one starts.
     def grown(s: Column) -> Column:
         return F.when(s["last"]["entry"].isNull(), s["log"]).otherwise(F.concat(s["log"], F.array(s["last"]["entry"])))
@@ -320,15 +321,23 @@ def _fold_expr(_application: str, _providers: tuple[str, ...]) -> Column:
             lambda s: F.struct(s["last"]["slots"].alias("slots"), grown(s).alias("log")),
         )
 
-    starts = F.sequence(F.lit(1), F.size("steps"), F.lit(SLICE))
-    return F.aggregate(
-        starts,
-        F.struct(F.col("slots").alias("slots"), no_log.alias("log")),
-        lambda s, at: let(
-            slice_(s["slots"], F.slice("steps", at, SLICE)),
-            lambda done: F.struct(done["slots"].alias("slots"), F.concat(s["log"], done["log"]).alias("log")),
-        ),
-    )
+    def sliced(slots: Column, steps: Column, width: Column, level: int) -> Column:
+        if level == 0:
+            return slice_(slots, steps)
+        size = F.lit(1)
+        for _ in range(level):
+            size = size * width
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(steps), size),
+            F.struct(slots.alias("slots"), no_log.alias("log")),
+            lambda s, at: let(
+                sliced(s["slots"], F.slice(steps, at, size), width, level - 1),
+                lambda done: F.struct(done["slots"].alias("slots"), F.concat(s["log"], done["log"]).alias("log")),
+            ),
+        )
+
+    width = F.ceil(F.pow(F.size("steps"), F.lit(1 / LEVELS))).cast("int")
+    return let(width, lambda width: sliced(F.col("slots"), F.col("steps"), width, LEVELS - 1))
 
 
 def to_slots(canonical: DataFrame, outbound: DataFrame | None) -> DataFrame:
