@@ -443,7 +443,7 @@ def _wanted_starts(done: DataFrame) -> DataFrame:
     chunks earlier thus arrive in one round. Input is one small row per chunk and record.
     """
     key = [*GROUP, "part", "chunk"]
-    states = done.select(*key, "start", "given", _comparable(F.col("out.slots")).alias("made"))
+    states = done.select(*key, "start", "given", _comparable(F.col("made")).alias("made"))
     names = (
         states.select(*GROUP, F.explode(F.transform(F.concat("start", "made"), lambda x: x["entity_id"])).alias("entity_id")).distinct()
     )
@@ -495,12 +495,15 @@ def _fold_chunked(steps: DataFrame, start: DataFrame, chunk_rows: int, rows: int
     key = [*GROUP, "part", "chunk"]
     pieces = cut_lineage(_chunks(steps, chunk_rows, rows), "chunks")
     keys = pieces.select(*key)
-    first = keys.join(start, GROUP, "left").select(*key, F.coalesce("slots", _no_slots()).alias("start"))
+    first = cut_lineage(keys.join(start, GROUP, "left").select(*key, F.coalesce("slots", _no_slots()).alias("start")), "starts")
     assumed = first.withColumn("slots", F.col("start"))
-    done = cut_lineage(
-        fold(pieces.join(assumed, key)).select(*key, "start", F.col("slots").alias("given"), "out"), "folded"
-    )
+    made = cut_lineage(fold(pieces.join(assumed, key)).select(*key, F.col("slots").alias("given"), "out"), "folded")
+    folds = made.select(*key, F.lit(0).alias("round"), "out.slots", "out.log")
+    # Rounds compare states alone; the logs stay where they were written and are read once, at the end.
+    states = made.select(*key, "given", F.col("out.slots").alias("made"), F.lit(0).alias("round"))
+    rounds = 0
     while True:
+        done = states.join(first, key)
         wanted = done.select(*key, "given").join(_wanted_starts(done), key, "left").select(
             *key, "given", F.coalesce("wanted", _no_slots()).alias("wanted")
         )
@@ -509,10 +512,14 @@ def _fold_chunked(steps: DataFrame, start: DataFrame, chunk_rows: int, rows: int
         )
         if stale.limit(1).count() == 0:
             break
-        again = fold(pieces.join(stale, key)).select(*key, F.col("slots").alias("given"), "out")
-        redone = again.join(done.select(*key, "start"), key).select(*key, "start", "given", "out")
-        done = cut_lineage(done.join(stale.select(*key), key, "left_anti").unionByName(redone), "folded")
-    return done.select(*key, "out.slots", "out.log")
+        rounds += 1
+        made = cut_lineage(fold(pieces.join(stale, key)).select(*key, F.col("slots").alias("given"), "out"), "folded")
+        folds = folds.unionByName(made.select(*key, F.lit(rounds).alias("round"), "out.slots", "out.log"))
+        redone = made.select(*key, "given", F.col("out.slots").alias("made"), F.lit(rounds).alias("round"))
+        states = cut_lineage(states.join(stale.select(*key), key, "left_anti").unionByName(redone), "states")
+    if rounds:
+        folds = folds.join(states.select(*key, "round"), [*key, "round"], "left_semi")
+    return folds.select(*key, "slots", "log")
 
 
 @dataclass

@@ -202,3 +202,39 @@ def test_email_shared_by_many_stored_records_reaches_only_the_oldest_live(spark)
     assert touched_records(steps, canonical).count() == 3  # 1 + one delete + one other email
     got = {x.event_id: x.entity_id for x in replay(events, canonical, pols).outcomes.collect()}
     assert got == {"e100": "c001", "e101": "c001", "e102": "c002", "e103": "c002", "e104": "c003"}
+
+
+def test_rounds_over_chunks_write_only_what_they_fold_again(spark, monkeypatch):
+    from concord.operators import replay as R
+
+    kept, real = [], R.cut_lineage
+
+    def keep(df, label):
+        out = real(df, label)
+        kept.append((label, out))
+        return out
+
+    monkeypatch.setattr(R, "cut_lineage", keep)
+    run(spark, random_events(120, 2), policies() + policies(tenant="t1") + policies(tenant="t2"), chunk_rows=7)
+
+    def rows(label):
+        return sum(df.count() for name, df in kept if name == label)
+
+    assert rows("stale") > 0
+    assert rows("folded") == rows("chunks") + rows("stale")
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_slices_of_slices_give_the_same_log(spark, monkeypatch, levels):
+    from concord.operators import replay as R
+
+    monkeypatch.setattr(R, "LEVELS", levels)
+    R._fold_expr.cache_clear()
+    try:
+        ev = [event(i, "salesforce", "p", phone=str(i)) for i in range(1, 29)]
+        got = run(spark, ev, policies())
+        assert outcome_list(got) == ["applied"] * 28
+        (record,) = got.canonical.collect()
+        assert record.version == 28 and record.fields.phone == "28"
+    finally:
+        R._fold_expr.cache_clear()
