@@ -215,7 +215,7 @@ def test_rounds_over_chunks_write_only_what_they_fold_again(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(R, "cut_lineage", keep)
-    run(spark, random_events(120, 2), policies() + policies(tenant="t1") + policies(tenant="t2"), chunk_rows=7)
+    run(spark, [event(i, "salesforce", "p", phone=str(i)) for i in range(1, 25)], policies(), chunk_rows=8)
 
     def rows(label):
         return sum(df.count() for name, df in kept if name == label)
