@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +37,13 @@ def discard(*stored: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no frame needs any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    time.sleep(1.2)  # Py4J tells the driver once a second which frames are gone
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

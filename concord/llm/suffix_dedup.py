@@ -1,9 +1,10 @@
 """Removal of passages that an earlier document holds too, by suffix order.
 
 Only places that can lie in a repeated passage are sorted. Each window of `length` bytes is known by its anchor, the piece of
-a few bytes in it whose hash is least; equal windows have equal anchors at equal places. Anchors that stand in two
-documents or more are found from packed hash lists. The windows of such anchors, with their bytes, go to the shard of their
-anchor. A shard leaves out windows whose hash stands nowhere else and puts the suffixes of the rest, equal strings
+24 bytes or less in it whose hash is least; equal windows have equal anchors at equal places. Anchors that stand in two
+documents or more are found from packed hash lists and known to all tasks by a Bloom filter, or, where they are too many for
+that, told to each text by the places of its anchors. The windows of such anchors, with their bytes, go to the shard of their
+anchor, in rounds over the anchors if they are much more than the text; shuffle files are let go of after each step. A shard leaves out windows whose hash stands nowhere else and puts the suffixes of the rest, equal strings
 once, in order by external induced sorting; neighbours that share `length` bytes are equal windows, and the least document id
 of each run decides what is removed elsewhere.
 
@@ -14,23 +15,30 @@ rows meet in the shard of the anchor, and what it decides is joined back by stri
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import flat, id_and_bytes, mix, partitions, sized, slices
+from concord.llm.common import discard, flat, free_shuffles, id_and_bytes, mix, partitions, sized, slices
 from concord.llm.suffix_sort import sorted_suffixes
 from concord.session import cut_lineage
 
-#: Bytes worked on at once, text for each shard, and repeated anchors that are broadcast (8 bytes each); more are joined.
-SLICE, SHARD_BYTES, BROADCAST_ROWS = 256 << 10, 4 << 20, 8_000_000
+#: Bytes worked on at once, text for each shard, and repeated anchors that are broadcast (ten bits each); more are joined.
+SLICE, SHARD_BYTES, BROADCAST_ROWS = 256 << 10, 4 << 20, 48_000_000
+#: Text for one hash list, and for each group of lists; bytes of windows that are sorted in one round at least, and for each byte of text.
+LIST_BYTES, GROUP_BYTES, ROUND_BYTES, ROUND_SHARE = 16 << 20, 64 << 20, 256 << 20, 1.25
+#: Bytes that a row of windows takes on disk besides them; bits of the filter for each anchor, and how many of them are set.
+ROW_BYTES, FILTER_BITS, PROBES = 30, 10, 3
 #: Places that an anchor may have before it is dealt over all shards, and places in one hash list from which on they are counted.
 HOT, COUNTED = 20_000, 32
-#: Low bits of an anchor's hash are kept in the lists, the rest chooses the shard.
+#: Low bytes of an anchor's hash are kept in the lists, the rest chooses the group.
 KEPT_BYTES = 6
+KEPT = np.uint64((1 << 8 * KEPT_BYTES) - 1)
 PLACE = np.uint64((1 << 31) - 1)
 
 _rng = np.random.default_rng(11)
@@ -60,7 +68,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     if len(data) < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64)
-    size = max(4, min(16, length // 3))
+    size = max(4, min(24, length // 2))
     hashes = piece_hashes(data, size)
     least = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
     span, wanted = 1, length - size + 1
@@ -147,30 +155,54 @@ def judge(strings: list[bytes], least: np.ndarray, often: np.ndarray, length: in
     return owner[which[first]], begin + offset[first], begin + offset[last] + length, value[first]
 
 
-def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -> DataFrame:
-    """(h, hot): hashes of anchors that stand in several texts (body), stored."""
+def dealt(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each hash, and what is kept of it there."""
+    return ((hashes >> np.uint64(8 * KEPT_BYTES)) % np.uint64(groups)).astype(np.int64), hashes & KEPT
+
+
+def packed(kept: np.ndarray) -> bytes:
+    return np.ascontiguousarray(kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    data = np.frombuffer(b"".join(column.drop_null().to_pylist()), np.uint8).reshape(-1, KEPT_BYTES)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :KEPT_BYTES] = data
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def probes(kept: np.ndarray, sizes: np.ndarray | np.uint64) -> list[np.ndarray]:
+    """Places of a hash in a filter of `sizes` bits."""
+    mixed = mix(kept)
+    low, high = mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)
+    return [((low + np.uint64(i) * high) % sizes).astype(np.int64) for i in range(PROBES)]
+
+
+def repeated_anchors(long: DataFrame, length: int, groups: int, hot_from: int) -> DataFrame:
+    """Anchors that stand in several texts (body), stored, one row for each group: how many they are (n), about how many
+    places they have, a Bloom filter of them (bits), and what is kept of their hashes (anchors), of the hot ones also alone (hot)."""
 
     def list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hash lists per shard of about 16 MB of text; a hash of several texts stands twice."""
+        """Hash lists per group of about 16 MB of text; a hash of several texts stands twice."""
         held, size = [], 0
 
-        def packed() -> pa.RecordBatch:
+        def lists() -> pa.RecordBatch:
             hashes, places = (np.concatenate(c) for c in zip(*held, strict=True))
             distinct, where, count = np.unique(hashes, return_inverse=True, return_counts=True)
             places = np.bincount(where, places).astype(np.int64)
-            shard = ((distinct >> np.uint64(8 * KEPT_BYTES)) % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
+            group, distinct = dealt(distinct, groups)
+            order = np.argsort(group, kind="stable")
             distinct, count, places = distinct[order], count[order], places[order]
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            cuts = np.searchsorted(group[order], np.arange(groups + 1))
             rows = []
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    part, n = distinct[a:b], places[a:b]
-                    many = n >= COUNTED
-                    twice = np.repeat(part, np.minimum(count[a:b], 2))
-                    rows.append((s, twice.tobytes(), np.stack([part[many], n[many].view(np.uint64)], 1).tobytes()))
+            for g in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b = cuts[g], cuts[g + 1]
+                part, n = distinct[a:b], places[a:b]
+                many = n >= COUNTED
+                twice = np.repeat(part, np.minimum(count[a:b], 2))
+                rows.append((g, packed(twice), np.stack([part[many], n[many].view(np.uint64)], 1).tobytes()))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "many"])
+            return pa.RecordBatch.from_arrays(columns, ["group", "hashes", "many"])
 
         for batch in slices(batches, SLICE):
             data, ends = flat(batch.column(0))
@@ -182,25 +214,32 @@ def repeated_anchors(long: DataFrame, length: int, shards: int, hot_from: int) -
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
                 held.append((h[first], np.diff(np.r_[first, len(h)])))
             size += len(data)
-            if size > 16 << 20 and held:
-                yield packed()
+            if size > LIST_BYTES and held:
+                yield lists()
                 held, size = [], 0
         if held:
-            yield packed()
+            yield lists()
 
-    def twice(group: pa.Table) -> pa.Table:
-        both, many = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("hashes", "many"))
+    def twice(lists: pa.Table) -> pa.Table:
+        both, many = unpacked(lists["hashes"]), np.frombuffer(b"".join(lists["many"].to_pylist()), np.uint64)
         distinct, count = np.unique(both, return_counts=True)
+        # it has at most so many places, and about so many
+        most, places = count * (COUNTED - 1), count.copy()
+        at, n = np.searchsorted(distinct, many[0::2]), many[1::2].astype(np.int64)
+        np.add.at(most, at, n)
+        np.add.at(places, at, n)
         again = count > 1
-        # it has at most so many places
-        most = count * (COUNTED - 1)
-        if len(distinct):
-            np.add.at(most, np.searchsorted(distinct, many[0::2]), many[1::2].astype(np.int64))
-        often = most > hot_from
-        return pa.table({"h": pa.array(distinct[again].view(np.int64)), "hot": pa.array(often[again])})
+        found = distinct[again]
+        bits = np.zeros(-(-max(1, len(found)) * FILTER_BITS // 8) * 8, bool)
+        for place in probes(found, np.uint64(len(bits))):
+            bits[place] = True
+        row = (len(found), int(places[again].sum()), np.packbits(bits, bitorder="little").tobytes(), packed(found), packed(distinct[again & (most > hot_from)]))
+        columns = [pa.array([x], kind) for x, kind in zip(row, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)]
+        return pa.Table.from_arrays([lists["group"].slice(0, 1), *columns], ["group", "n", "places", "bits", "anchors", "hot"])
 
-    lists = long.select("body").mapInArrow(list_hashes, "shard int, hashes binary, many binary")
-    return cut_lineage(lists.groupBy("shard").applyInArrow(twice, "h long, hot boolean"), "repeated-anchors")
+    lists = long.select("body").mapInArrow(list_hashes, "group int, hashes binary, many binary")
+    found = lists.groupBy("group").applyInArrow(twice, "group int, n long, places long, bits binary, anchors binary, hot binary")
+    return cut_lineage(found, "repeated-anchors")
 
 
 CONTEXT = "k long, id long, at binary, h long, hot boolean, context binary"
@@ -223,54 +262,141 @@ def context_rows(k: np.ndarray, ids: np.ndarray, at: np.ndarray, h: np.ndarray,
     return pa.RecordBatch.from_arrays([columns[0], columns[1], packed, *columns[2:], strings], ["k", "id", "at", "h", "hot", "context"])
 
 
-def contexts_by_broadcast(long: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """The windows of repeated anchors with their bytes; the anchors are few enough to be known to every task."""
-    table = repeated.toArrow()
-    order = np.argsort(table["h"].to_numpy())
-    known = long.sparkSession.sparkContext.broadcast((table["h"].to_numpy()[order], table["hot"].to_numpy()[order]))
+def cut_out(batch: pa.RecordBatch, data: np.ndarray, ends: np.ndarray, length: int, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Rows of the windows found (text, first, last, hash, hot) in a batch (k, id, body)."""
+    which, first, last, h, hot = found
+    text, start = data.tobytes(), ends[which]
+    parts = [text[a:b] for a, b in zip((start + first).tolist(), (start + last + length).tolist(), strict=True)]
+    k, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    return context_rows(k[which], ids[which], first, h.view(np.int64), hot, parts)
+
+
+def of_round(hashes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    return (hashes >> np.uint64(8)) % np.uint64(rounds) == turn
+
+
+def contexts_by_broadcast(long: DataFrame, repeated: DataFrame, length: int, groups: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """The windows of repeated anchors with their bytes; a filter of the anchors is small enough for every task. It lets a few
+    others pass, whose windows are found to stand nowhere else later."""
+    table = repeated.select("group", "bits", "hot").toArrow()
+    # a group without a row has a filter of zeros
+    group, sizes = table["group"].to_numpy(), np.full(groups, 8, np.int64)
+    own = np.array([8 * len(b) for b in table["bits"].to_pylist()], np.int64)
+    sizes[group] = own
+    starts = np.full(groups, own.sum(), np.int64)
+    starts[group] = np.cumsum(own) - own
+    bits = np.frombuffer(b"".join([*table["bits"].to_pylist(), b"\0"]), np.uint8)
+    hot_of = [unpacked(table["hot"].slice(i, 1)) | np.uint64(g << 8 * KEPT_BYTES) for i, g in enumerate(group.tolist())]
+    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *hot_of]))
+    known = long.sparkSession.sparkContext.broadcast((bits, starts, sizes.astype(np.uint64), hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hot = known.value
-        if not len(hashes):
-            return
+        bits, starts, sizes, hot = known.value
         for batch in slices(batches, SLICE):
             data, ends = flat(batch.column(2))
             which, first, last, h = anchors(data, ends, length)
-            h = h.view(np.int64)
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[place] == h)
-            which, first, last, h, place = which[hit], first[hit], last[hit], h[hit], place[hit]
-            text, start = data.tobytes(), ends[which]
-            parts = [text[a:b] for a, b in zip((start + first).tolist(), (start + last + length).tolist(), strict=True)]
-            k, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield context_rows(k[which], ids[which], first, h, hot[place], parts)
+            hit = np.flatnonzero(of_round(h, turn, rounds))
+            group, kept = dealt(h[hit], groups)
+            start = starts[group]
+            inside = np.ones(len(hit), bool)
+            for place in probes(kept, sizes[group]):
+                place += start
+                inside &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            hit, whole = hit[inside], (kept | (group.astype(np.uint64) << np.uint64(8 * KEPT_BYTES)))[inside]
+            if len(hit):
+                yield cut_out(batch, data, ends, length, (which[hit], first[hit], last[hit], h[hit], np.isin(whole, hot)))
 
     return long.mapInArrow(run, CONTEXT)
 
 
-def contexts_by_join(long: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """The same for any number of repeated anchors: places are joined with them, and texts with what is found."""
+def repeated_places(long: DataFrame, repeated: DataFrame, length: int, groups: int) -> DataFrame:
+    """(k, at): for each text which of its anchors are repeated, as numbers of 32 bits, twice the anchor's place in the order of the
+    text's anchors and one more if it is hot; stored. Anchors are numbered over some texts, which are known by a digest of their
+    keys, and only hashes and numbers travel."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def lists() -> pa.RecordBatch:
+            keys, counts, hashes = (np.concatenate(c) for c in zip(*held, strict=True))
+            label = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), signed=True)
+            group, kept = dealt(hashes, groups)
+            order = np.argsort(group, kind="stable")
+            cuts = np.searchsorted(group[order], np.arange(groups + 1))
+            rows = [(label % groups, label, keys.tobytes(), counts.tobytes(), None, None)]
+            for g in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[g] : cuts[g + 1]]
+                rows.append((g, label, None, None, packed(kept[own]), np.diff(own, prepend=0).astype(np.uint32).tobytes()))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(columns, ["group", "label", "keys", "counts", "hashes", "numbers"])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
-            which, first, last, hashes = anchors(*flat(batch.column(1)), length)
-            k = batch.column(0).to_numpy()[which]
-            columns = [pa.array(k), pa.array(hashes.view(np.int64)), pa.array(first), pa.array(last)]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "h", "first", "last"])
+            data, ends = flat(batch.column(1))
+            which, _, _, hashes = anchors(data, ends, length)
+            held.append((batch.column(0).to_numpy(), np.bincount(which, minlength=len(batch)).astype(np.int64), hashes))
+            size += len(data)
+            if size > LIST_BYTES:
+                yield lists()
+                held, size = [], 0
+        if held:
+            yield lists()
+
+    def chosen(lists: pa.Table, repeated: pa.Table) -> pa.Table:
+        known, hot = (np.sort(unpacked(repeated[c])) for c in ("anchors", "hot"))
+        lists = lists.combine_chunks()
+        rows = [(x["label"], x["keys"], x["counts"], None) for x in lists.filter(lists["hashes"].is_null()).to_pylist()]
+        lists = lists.filter(lists["hashes"].is_valid())
+        for i, (label, numbers) in enumerate(zip(lists["label"].to_pylist(), lists["numbers"].to_pylist(), strict=True)):
+            kept = unpacked(lists["hashes"].slice(i, 1))
+            numbers = np.cumsum(np.frombuffer(numbers, np.uint32).astype(np.int64))
+            hit = np.isin(kept, known)
+            if hit.any():
+                rows.append((label, None, None, (2 * numbers[hit] + np.isin(kept[hit], hot)).tobytes()))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int64(), *[pa.binary()] * 3])]
+        return pa.Table.from_arrays(columns, ["label", "keys", "counts", "found"])
+
+    def by_text(rows: pa.Table) -> pa.Table:
+        keys, counts = (np.frombuffer(next(x for x in rows[c].to_pylist() if x is not None), np.int64) for c in ("keys", "counts"))
+        found = np.unique(np.frombuffer(b"".join(rows["found"].drop_null().to_pylist()), np.int64))
+        ends = np.cumsum(counts)
+        text = np.searchsorted(ends, found >> 1, "right")
+        own = (found - 2 * (ends - counts)[text]).astype(np.uint32)
+        who, begin = np.unique(text, return_index=True)
+        cuts = np.r_[begin, len(own)]
+        at = pa.array([own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        return pa.Table.from_arrays([pa.array(keys[who]), at], ["k", "at"])
+
+    lists = long.select("k", "body").mapInArrow(
+        numbered, "group int, label long, keys binary, counts binary, hashes binary, numbers binary"
+    )
+    found = lists.groupBy("group").cogroup(repeated.select("group", "anchors", "hot").groupBy("group"))
+    found = cut_lineage(found.applyInArrow(chosen, "label long, keys binary, counts binary, found binary"), "found-anchors")
+    places = cut_lineage(found.groupBy("label").applyInArrow(by_text, "k long, at binary"), "repeated-places")
+    discard(found)
+    free_shuffles(long.sparkSession)
+    return places
+
+
+def contexts_by_join(long: DataFrame, places: DataFrame, length: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """The same for any number of repeated anchors: texts are joined with the places of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, doc, body, found in zip(*(batch.column(i) for i in range(4)), strict=True):
-                body, (h, hot, first, last) = body.as_py(), (np.asarray(c) for c in found.values.flatten())
-                parts = [body[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
-                n = len(first)
-                yield context_rows(np.full(n, k.as_py()), np.full(n, doc.as_py()), first, h, hot.astype(bool), parts)
+        for batch in slices(batches, SLICE):
+            data, ends = flat(batch.column(2))
+            which, first, last, h = anchors(data, ends, length)
+            begin = np.searchsorted(which, np.arange(len(batch)))
+            own = [np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column(3).to_pylist()]
+            at = np.concatenate(own)
+            hit, hot = (at >> 1) + np.repeat(begin, [len(x) for x in own]), at & 1 == 1
+            mine = of_round(h[hit], turn, rounds)
+            hit, hot = hit[mine], hot[mine]
+            if len(hit):
+                yield cut_out(batch, data, ends, length, (which[hit], first[hit], last[hit], h[hit], hot))
 
-    found = long.select("k", "body").mapInArrow(places, "k long, h long, first long, last long").join(repeated, "h")
-    # a document has no more places than bytes; repeated rows have equal places
-    found = found.groupBy("k").agg(F.collect_set(F.struct("h", "hot", "first", "last")).alias("found"))
-    rows = long.join(found.withColumnRenamed("k", "__k"), F.col("k") == F.col("__k"))
-    return rows.select("k", "id", "body", "found").mapInArrow(run, CONTEXT)
+    # repeated rows have one key and equal places
+    rows = long.join(places.dropDuplicates(["k"]).withColumnRenamed("k", "__k"), F.col("k") == F.col("__k"))
+    return rows.select("k", "id", "body", "at").mapInArrow(run, CONTEXT)
 
 
 def shard_output(**columns) -> pa.RecordBatch:
@@ -282,7 +408,14 @@ def shard_output(**columns) -> pa.RecordBatch:
 
 
 def repeated_spans(
-    df: DataFrame, id_col: str, text_col: str, length: int, hot_from: int = HOT, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    length: int,
+    hot_from: int = HOT,
+    broadcast_rows: int = BROADCAST_ROWS,
+    round_bytes: int = ROUND_BYTES,
+    round_share: float = ROUND_SHARE,
 ) -> tuple[DataFrame, DataFrame]:
     """The texts (k, id, body, copy), and for each key k of them the spans to remove, in order and apart (k, spans: array of
     start, stop). A text without spans has no row there, nor has one that is a copy of a text with a smaller id, which goes
@@ -297,9 +430,14 @@ def repeated_spans(
     texts = texts.join(sized(copies), ["h1", "h2"], "left")
     texts = texts.select("k", "id", "body", (judged & F.coalesce(F.col("id") > F.col("first"), F.lit(False))).alias("copy"))
     long = texts.where(judged & ~F.col("copy")).drop("copy")
-    repeated = repeated_anchors(long, length, shards, hot_from)
-    few = repeated.limit(broadcast_rows + 1).count() <= broadcast_rows
-    held = (contexts_by_broadcast if few else contexts_by_join)(long, repeated, length)
+    size = long.agg(F.sum(F.length("body"))).first()[0] or 0
+    groups = max(shards, -(-size // GROUP_BYTES))
+    shards = max(shards, -(-size // SHARD_BYTES))
+    repeated = repeated_anchors(long, length, groups, hot_from)
+    free_shuffles(spark)
+    anchored = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("places"), F.lit(0)).alias("places")).first()
+    rounds = max(1, math.ceil(anchored.places * (length + ROW_BYTES) / max(round_bytes, round_share * size)))
+    places = None if anchored.n <= broadcast_rows else repeated_places(long, repeated, length, groups)
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spans (k, a, b) of most rows. Rows of hot anchors pass (k, id, c and h: string, at: its places in the text), and their
@@ -372,19 +510,26 @@ def repeated_spans(
             columns = [pa.array(np.concatenate(c)[who]) for c in (names, anchor)] + [pa.ListArray.from_arrays(ends, stretches)]
             yield pa.RecordBatch.from_arrays(columns, ["c", "h", "stretches"])
 
-    size = long.agg(F.sum(F.length("body"))).first()[0] or 0
-    shards = max(shards, -(-size // SHARD_BYTES))
     # rows of hot anchors may go anywhere
     target = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("h"))
-    out = held.repartition(shards, target).mapInArrow(
-        sort_shard, "k long, id long, a long, b long, c long, h long, n long, context binary, at array<long>"
-    )
-    out = cut_lineage(out, "shards")
+    done = []
+    for turn in range(rounds):
+        if places is None:
+            held = contexts_by_broadcast(long, repeated, length, groups, turn, rounds)
+        else:
+            held = contexts_by_join(long, places, length, turn, rounds)
+        sorted_out = held.repartition(shards, target).mapInArrow(
+            sort_shard, "k long, id long, a long, b long, c long, h long, n long, context binary, at array<long>"
+        )
+        done.append(cut_lineage(sorted_out, "shards"))
+        free_shuffles(spark)
+    out = reduce(DataFrame.unionByName, done)
     strings = out.where("context is not null").groupBy("c", "h", "context").agg(F.min("id").alias("least"), F.sum("n").alias("n"))
     judged = strings.repartition(partitions(spark), "h").select("c", "h", "least", "n", "context")
     judged = judged.mapInArrow(sort_hot, "c long, h long, stretches array<struct<from: long, to: long, low: long>>")
+    judged = cut_lineage(judged, "judged")
     # a text and string meet one row
-    hot = out.where("at is not null").select("k", "id", "at", "c", "h").join(cut_lineage(judged, "judged"), ["c", "h"])
+    hot = out.where("at is not null").select("k", "id", "at", "c", "h").join(judged, ["c", "h"])
     hot = hot.withColumn("stretches", F.filter("stretches", lambda s: s["low"] < F.col("id"))).where(F.size("stretches") > 0)
     hot = hot.select("k", F.flatten(F.transform("at", lambda p: F.transform(
         "stretches", lambda s: F.struct((p + s["from"]).alias("start"), (p + s["to"]).alias("stop"))
@@ -399,7 +544,10 @@ def repeated_spans(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(apart, batch.schema.field(1).type)], ["k", "spans"])
 
     spans = spans.mapInArrow(join_spans, "k long, spans array<struct<start: long, stop: long>>")
-    return texts, sized(cut_lineage(spans, "spans"), 400_000)
+    spans = cut_lineage(spans, "spans")
+    discard(repeated, judged, *done, *([] if places is None else [places]))
+    free_shuffles(spark)
+    return texts, sized(spans, 400_000)
 
 
 def merged(spans: pa.Scalar) -> list[tuple[int, int]]:
@@ -441,6 +589,8 @@ def dedup_report(
     length: int = 50,
     hot_from: int = HOT,
     broadcast_rows: int = BROADCAST_ROWS,
+    round_bytes: int = ROUND_BYTES,
+    round_share: float = ROUND_SHARE,
 ) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes left, joined.
 
@@ -461,7 +611,7 @@ def dedup_report(
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, removed, runs)), pa.array(digests)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts, spans = repeated_spans(df, id_col, text_col, length, hot_from, broadcast_rows)
+    texts, spans = repeated_spans(df, id_col, text_col, length, hot_from, broadcast_rows, round_bytes, round_share)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("body").cast("long").alias("stop")))
     rows = texts.join(spans, "k", "left").select("id", "body", F.when(F.col("copy"), whole).otherwise(F.col("spans")).alias("spans"))
     out = rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,10 +1,14 @@
 import hashlib
+import os
 import random
+import time
 
+import numpy as np
 import pytest
 
-from concord.llm.suffix_dedup import dedup_report, remove_repeats
+from concord.llm.suffix_dedup import anchors, dedup_report, remove_repeats
 from concord.llm.suffix_sort import sorted_suffixes
+from concord.session import scratch_root
 from tests.llm.helpers import ODD, documents, prose
 
 
@@ -87,3 +91,45 @@ def test_texts_keep_whole_letters_and_columns(spark):
 def test_empty_table(spark):
     assert dedup_report(documents(spark, [])).count() == 0
     assert remove_repeats(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_from": 3}, {"broadcast_rows": 0}, {"hot_from": 3, "broadcast_rows": 0}])
+def test_rounds_like_a_plain_search(spark, options):
+    rows = corpus()
+    docs = documents(spark, rows).repartition(5)
+    found = sorted(map(tuple, dedup_report(docs, round_bytes=10_000, round_share=0, **options).collect()), key=str)
+    assert found == sorted((r[:5] for r in plain_report(rows, 50)), key=str)
+
+
+def test_words_that_meet_by_chance_are_no_repeated_anchors():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(200)]
+    bodies = [" ".join(rng.choice(words) for _ in range(200)).encode() for _ in range(200)]
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    hashes = anchors(data, np.cumsum([0, *map(len, bodies)]), 50)[3]
+    _, count = np.unique(hashes, return_counts=True)
+    # one anchor in seven, with pieces of 16 bytes
+    assert count[count > 1].sum() < 0.02 * len(hashes)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}])
+def test_disk_is_let_go_of_after_each_step(spark, options):
+    rows = [(i, f"{prose(i, 300)} {prose(i // 2, 200)}") for i in range(300)]
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in manager.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f and os.path.exists(f)}
+
+    docs = documents(spark, rows)
+    root = scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    files = shuffled()
+    report = dedup_report(docs, **options)
+    kept = {x.rpartition("-")[0] for x in set(os.listdir(root)) - before}
+    assert kept == {"copied-texts", "spans"}
+    for _ in range(40):  # Spark deletes in a thread of its own
+        if not (left := sum(os.path.getsize(f) for f in shuffled() - files if os.path.exists(f))):
+            break
+        time.sleep(0.5)
+    assert left < 0.05 * sum(len(t) for _, t in rows)
+    assert report.count() == 300
