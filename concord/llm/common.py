@@ -39,9 +39,10 @@ def discard(*stored: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that no frame needs any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    time.sleep(1.2)  # Py4J tells the driver once a second which frames are gone
-    spark.sparkContext._jvm.System.gc()
+    for wait in (1.2, 1.0):  # Py4J tells the driver once a second which frames are gone, and what they held may go only then
+        gc.collect()
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
